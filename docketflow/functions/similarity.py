@@ -103,7 +103,9 @@ def best_scores(needles: Column, haystacks: Column, cutoff: float) -> Column:
                 out.append([max((best_window_score(x, y, cutoff) for y in ys), default=0.0) for x in xs])
         return pd.Series(out, dtype=object)
 
-    return scored(needles, haystacks)
+    # Declared non-deterministic only to keep the optimizer from copying the call
+    # into filters and lambdas; its result depends on its arguments alone.
+    return scored.asNondeterministic()(needles, haystacks)
 
 
 def unsettled(needles: Column, haystacks: Column) -> Column:

@@ -227,8 +227,8 @@ def finalize_reviews(
     asked = F.col("decision") == "revise"
     ordered = F.transform(
         F.col("criteria"),
-        lambda c: F.element_at(
-            F.filter(F.col("revised_scores"), lambda s: s["criterion_id"] == c["criterion_id"]), -1
+        lambda c: F.try_element_at(
+            F.filter(F.col("revised_scores"), lambda s: s["criterion_id"] == c["criterion_id"]), F.lit(-1)
         ),
     )
     given = asked & (F.coalesce(F.size("revised_scores"), F.lit(0)) > 0)
