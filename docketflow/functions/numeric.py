@@ -32,6 +32,11 @@ def round_half_even(value: Column, digits: int = 1) -> Column:
     )
 
 
+def one_decimal(value: Column) -> Column:
+    """Text with one decimal; ties of the exact value go to the even digit."""
+    return F.format_string("%.1f", round_half_even(value))
+
+
 def exact_mean(value: Column) -> Column:
     """Mean whose sum does not depend on the order of the rows.
 

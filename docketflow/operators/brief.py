@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
 from docketflow.functions.numeric import round_half_even
+from docketflow.functions.columns import fixed_column
 from docketflow.functions.text import fill, matches, page_label, truncate
 from docketflow.operators.grounding import REF_FIELDS, REF_TYPE
 from docketflow.operators.skew import running_total
@@ -23,6 +24,7 @@ def _citing(refs: Column, pattern: str) -> Column:
     return F.filter(refs, lambda r: matches(r["excerpt"], pattern))
 
 
+@fixed_column
 def strengths() -> Column:
     """Strength structs of a submission's row: first applicable rule per topic, at most six."""
     cells, used = [], {}
@@ -46,6 +48,7 @@ def strengths() -> Column:
     return F.slice(numbered, F.lit(1), F.lit(V.MAX_STRENGTHS))
 
 
+@fixed_column
 def highlights() -> Column:
     """Topics in display order, "team" left out; ids count the topics that are present."""
     labels = {t[0]: t[1] for t in V.TOPICS}
@@ -63,6 +66,7 @@ def highlights() -> Column:
     return F.filter(numbered, lambda h: F.size(h["evidence"]) > 0)
 
 
+@fixed_column
 def coverage() -> Column:
     """Where each criterion is addressed — no judgement, no score."""
 
@@ -77,6 +81,7 @@ def coverage() -> Column:
     return F.transform("criteria", one)
 
 
+@fixed_column
 def assessment() -> Column:
     """Scores clamped to the scale; the total covers assessed weight only."""
     scale = F.col("scale").cast("double")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
+from docketflow.functions.columns import fixed_column
 from docketflow.functions.text import (
     any_match,
     dependency_phrase,
@@ -58,6 +59,7 @@ def _weak_hit(index: int, body_pattern: str) -> Column:
     return let(F.get(_matching("_content", body_pattern), F.lit(0)), cell)
 
 
+@fixed_column
 def _topic_hits() -> Column:
     """Strong hits of all topics, and for two topics a weak one, in topic order."""
     cells = []
@@ -87,6 +89,7 @@ def is_claim(sentence: Column) -> Column:
     )
 
 
+@fixed_column
 def _claims() -> Column:
     def row(s: Column) -> Column:
         category = claim_category(s)
@@ -99,6 +102,7 @@ def _claims() -> Column:
     return F.transform(F.filter("sentences", is_claim), row)
 
 
+@fixed_column
 def _mentions(index: int, key: str, pattern: str) -> Column:
     return F.transform(
         F.slice(_matching("sentences", pattern), F.lit(1), F.lit(2)),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
 from docketflow.functions.similarity import score_map, score_of, unsettled
+from docketflow.functions.columns import fixed_column
 from docketflow.functions.text import (
     content_lines,
     fill,
@@ -46,6 +47,7 @@ def _one(condition: Column, flag: Column) -> Column:
     return F.when(condition, F.array(flag)).otherwise(F.array().cast(f"array<{FLAG_TYPE}>"))
 
 
+@fixed_column
 def _hidden_flags() -> Column:
     D = V.FLAG_DETAILS
     text = F.coalesce("text", F.lit(""))
@@ -61,6 +63,7 @@ def _hidden_flags() -> Column:
     return _one(F.col("hidden") & (text != ""), flag)
 
 
+@fixed_column
 def _structural_flags() -> Column:
     D = V.FLAG_DETAILS
 
@@ -81,6 +84,7 @@ def _structural_flags() -> Column:
     return F.transform("signals", flag)
 
 
+@fixed_column
 def _comparable_lines() -> Column:
     """Lines worth comparing: long enough and not part of a text already flagged."""
     text = F.coalesce("text", F.lit(""))
@@ -111,6 +115,7 @@ def _comparable_lines() -> Column:
     ))
 
 
+@fixed_column
 def _comparison_flags() -> Column:
     D = V.FLAG_DETAILS
     hidden_lines = F.filter("_scored", lambda x: ~x["seen"])
@@ -134,6 +139,7 @@ def _comparison_flags() -> Column:
     )
 
 
+@fixed_column
 def _unavailable_flags() -> Column:
     D = V.FLAG_DETAILS
     detail = F.concat(
@@ -142,6 +148,7 @@ def _unavailable_flags() -> Column:
     return F.array(_flag("visual_check_unavailable", "manual_review_required", "slide", "", detail, False))
 
 
+@fixed_column
 def _note_flags() -> Column:
     lines = F.filter(content_lines(F.col("speaker_notes")), looks_like_instruction)
     return F.transform(lines, lambda x: _flag(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
+from docketflow.functions.columns import fixed_column
 from docketflow.functions.text import fill, is_video_host, page_label, url_host, word_count
 
 UNIT = ["submission_id", "page_number"]
@@ -20,6 +21,7 @@ def _list(condition: Column, *items: Column) -> Column:
     return F.when(condition, F.array(*items)).otherwise(F.array().cast(f"array<{ITEM_TYPE}>"))
 
 
+@fixed_column
 def unit_items() -> Column:
     """Items of one unit, in order."""
     N = V.NOT_ASSESSED

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
+from docketflow.functions.columns import fixed_column
 from docketflow.functions.text import fill, lookup, matches, page_label, short_claim
 from docketflow.operators.grounding import REF_TYPE, distinct_refs
 from docketflow.operators.skew import first_per_group
@@ -56,6 +57,7 @@ def claim_items(claim_rows: DataFrame) -> DataFrame:
     return claim_rows.filter("unsupported_no is not null").select("submission_id", item.alias("item"))
 
 
+@fixed_column
 def _other_items() -> Column:
     """Dependency, appendix, differentiation and rubric items, numbered after the claims."""
     makers = []

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
-from docketflow.functions.numeric import contrast_ratio
+from docketflow.functions.numeric import contrast_ratio, one_decimal
 from docketflow.functions.text import fill, strip
 
 UNIT = ["submission_id", "page_number"]
@@ -18,7 +18,7 @@ def _signal(reason: str, detail: Column) -> Column:
 
 
 def _points(size: Column) -> Column:
-    return fill(V.SIGNAL_DETAILS["tiny"], size=F.format_string("%.1f", size.cast("double")))
+    return fill(V.SIGNAL_DETAILS["tiny"], size=one_decimal(size))
 
 
 def _low_contrast(bg: tuple[Column, Column, Column]) -> Column:

@@ -38,7 +38,7 @@ def analyse(
     views = view.build_views(flagged)
     findings = extraction.unit_findings(views)
     if stored:
-        findings = cut(findings)
+        findings = cut(findings, "findings")
     facts = extraction.submission_facts(findings)
     topic_rows = extraction.topics(findings, facts)
     claim_rows = extraction.claims(findings, facts)

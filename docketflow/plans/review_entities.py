@@ -38,6 +38,7 @@ ENTITIES: dict[str, tuple[list[str], str]] = {
         SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS organization_id, n_name AS name,
           CASE n_nationkey % 4 WHEN 0 THEN 'closed' WHEN 1 THEN 'draft' ELSE 'open' END AS status,
           50 AS score_scale_max, CASE WHEN n_nationkey % 3 = 0 THEN 150 END AS max_submissions,
+          CASE WHEN n_nationkey % 5 = 0 THEN 'pdf' ELSE 'pdf,pptx' END AS types,
           10 AS max_file_size_mb, 5 AS max_pages, 3 + n_nationkey % 2 AS judges_per_submission,
           TS(1700000000000000 + (n_nationkey * 7 % 11) * 86400000000) AS created_at
         FROM nation"""),
@@ -141,6 +142,8 @@ def entity(spark: SparkSession, folder: str, name: str) -> DataFrame:
         df = df.withColumn(
             "ord", F.struct("shipped", "price", "l_partkey", "l_suppkey", "l_discount", "l_tax", "score")
         )
+    if name == "rounds":
+        df = df.withColumn("allowed_file_types", F.split("types", ",")).drop("types")
     if name == "analyses":
         df = df.withColumn(
             "verify_these",

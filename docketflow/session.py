@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ def build_session(app: str = "docketflow", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Plans here have thousands of expressions; recording a call site for each is costly.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
@@ -50,12 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and read it from there.
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a table in the checkpoint folder and read it from there.
 
-    Used where several branches read the same narrow but costly table; the
-    files are on shared storage, so a lost executor costs one task, not the
-    whole plan.
+    Used where several branches read the same costly table.  The files are on
+    shared storage, so a lost executor costs one task instead of the whole plan,
+    and as Parquet each branch reads only the columns it needs.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

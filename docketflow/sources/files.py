@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow import fixed_values as V
+from docketflow.functions.numeric import one_decimal
 from docketflow.functions.text import fill, strip
 from docketflow.operators.skew import first_per_group_salted
 
@@ -94,7 +95,7 @@ def validate_files(files: DataFrame, rounds: DataFrame) -> DataFrame:
     E = V.INTAKE_ERRORS
     reason = (
         F.when(size / _MB > F.col("_mb"),
-               fill(E["size"], size=F.format_string("%.1f", size / _MB), limit=F.col("_mb")))
+               fill(E["size"], size=one_decimal(size / _MB), limit=F.col("_mb")))
         .when(size == 0, E["empty"])
         .when(kind.isNull(), E["unknown"])
         .when(~F.array_contains("_types", kind), fill(E["type"], detected=kind))

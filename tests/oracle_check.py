@@ -18,6 +18,9 @@ TABLES = (
 ).split()
 
 
+LAPS: dict[str, float] = {}
+
+
 def duck(folder: str):
     import duckdb
 
@@ -49,12 +52,16 @@ def rows_of(names, rows):
 
 
 def difference(spark, folder, fn, sql, con=None) -> tuple[str | None, int]:
+    start = time.time()
     df = fn(spark, folder)
     got_names, got = rows_of(df.columns, df.collect())
+    LAPS["spark"] = time.time() - start
     if sql is None:
         return None, len(got)
+    start = time.time()
     res = (con or duck(folder)).execute(sql)
     want_names, want = rows_of([d[0] for d in res.description], res.fetchall())
+    LAPS["sql"] = time.time() - start
     if got_names != want_names:
         return f"columns {got_names} != {want_names}", len(got)
     if len(got) != len(want):
@@ -84,13 +91,13 @@ def main() -> int:
     for name, fn in all_queries().items():
         if wanted and not name.startswith(wanted):
             continue
-        start = time.time()
+        LAPS.update(spark=0.0, sql=0.0)
         try:
             problem, n = difference(spark, folder, fn, sql.get(name), con)
         except Exception as exc:  # report and go on to the next query
             problem, n = f"{type(exc).__name__}: {str(exc)[:700]}", -1
         state = "FAIL" if problem else ("ok" if name in sql else "ran")
-        print(f"{state:4} {name:34} rows={n:7} {time.time() - start:6.2f}s {problem or ''}", flush=True)
+        print(f"{state:4} {name:34} rows={n:7} {LAPS['spark']:6.2f}s sql {LAPS['sql']:6.2f}s {problem or ''}", flush=True)
         failed += bool(problem)
     print("failed", failed)
     return failed
