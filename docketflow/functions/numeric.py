@@ -60,8 +60,10 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 
 def contrast_ratio(fg: tuple[Column, Column, Column], bg: tuple[Column, Column, Column]) -> Column:
+    """Null when a colour is unknown (``greatest`` and ``least`` would skip the null)."""
     one, two = luminance(*fg), luminance(*bg)
-    return (F.greatest(one, two) + 0.05) / (F.least(one, two) + 0.05)
+    ratio = (F.greatest(one, two) + 0.05) / (F.least(one, two) + 0.05)
+    return F.when(one.isNotNull() & two.isNotNull(), ratio)
 
 
 def hex_channel(hex_rgb: Column, index: int) -> Column:

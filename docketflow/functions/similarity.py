@@ -61,20 +61,23 @@ def _one_way(short: str, long: str, cutoff: float) -> float:
     n_windows = n + m - 1
     at = np.arange(n_windows)
     width = np.minimum(np.minimum(at + 1, m), np.minimum(n_windows - at, n))
-    starts = None
-    if m > 32:
-        # A window cannot beat its shared letter count: skip those below the cutoff.
-        bound = np.zeros(n_windows, dtype=np.int64)
-        for symbol, count in zip(*np.unique(s, return_counts=True)):
-            seen = np.concatenate(([0], np.cumsum(padded == symbol)))
-            bound += np.minimum(seen[m:m + n_windows] - seen[:n_windows], count)
-        keep = np.flatnonzero(200.0 * bound >= cutoff * (width + m))
-        if len(keep) == 0:
-            return 0.0
-        if len(keep) < n_windows // 4:
-            starts, width, n_windows = keep, width[keep], len(keep)
-    lcs = _window_lcs(s, padded, starts, n_windows)
-    return float(np.max(200.0 * lcs / (width + m)))
+    if m <= 16:
+        return float(np.max(200.0 * _window_lcs(s, padded, None, n_windows) / (width + m)))
+    # A window cannot beat its shared letter count.  Windows are taken in the
+    # order of that bound until none left can beat the best score so far.
+    bound = np.zeros(n_windows, dtype=np.int64)
+    for symbol, count in zip(*np.unique(s, return_counts=True)):
+        seen = np.concatenate(([0], np.cumsum(padded == symbol)))
+        bound += np.minimum(seen[m:m + n_windows] - seen[:n_windows], count)
+    limit = 200.0 * bound / (width + m)
+    order = np.argsort(-limit, kind="stable")
+    best, at, step = 0.0, 0, 32
+    while at < n_windows and limit[order[at]] > best and limit[order[at]] >= cutoff:
+        chosen = order[at:at + step]
+        lcs = _window_lcs(s, padded, chosen, len(chosen))
+        best = max(best, float(np.max(200.0 * lcs / (width[chosen] + m))))
+        at, step = at + step, step * 2
+    return best
 
 
 def best_window_score(a: str, b: str, cutoff: float = 0.0) -> float:
