@@ -53,7 +53,20 @@ def _window_lcs(short: np.ndarray, padded: np.ndarray, starts: np.ndarray | None
     return found
 
 
-def _one_way(short: str, long: str, cutoff: float) -> float:
+def _single_lcs(short: str, window: str) -> int:
+    """LCS of two strings with one Python integer as the bit row."""
+    masks: dict[str, int] = {}
+    for row, ch in enumerate(short):
+        masks[ch] = masks.get(ch, 0) | 1 << row
+    full = (1 << len(short)) - 1
+    state = full
+    for ch in window:
+        shared = state & masks.get(ch, 0)
+        state = ((state + shared) | (state - shared)) & full
+    return len(short) - state.bit_count()
+
+
+def _one_way(short: str, long: str, cutoff: float, decide: bool) -> float:
     m, n = len(short), len(long)
     s = np.frombuffer(short.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     padded = np.full(n + 2 * (m - 1), -1, dtype=np.int64)
@@ -71,8 +84,15 @@ def _one_way(short: str, long: str, cutoff: float) -> float:
         bound += np.minimum(seen[m:m + n_windows] - seen[:n_windows], count)
     limit = 200.0 * bound / (width + m)
     order = np.argsort(-limit, kind="stable")
-    best, at, step = 0.0, 0, 32
+    best, at, step = 0.0, 0, 256
     while at < n_windows and limit[order[at]] > best and limit[order[at]] >= cutoff:
+        if decide and best >= cutoff:
+            break
+        if at < 2:  # the likeliest windows one by one
+            first = int(order[at]) - (m - 1)
+            window = long[max(first, 0):first + m]
+            best, at = max(best, 200.0 * _single_lcs(short, window) / (len(window) + m)), at + 1
+            continue
         chosen = order[at:at + step]
         lcs = _window_lcs(s, padded, chosen, len(chosen))
         best = max(best, float(np.max(200.0 * lcs / (width[chosen] + m))))
@@ -80,20 +100,24 @@ def _one_way(short: str, long: str, cutoff: float) -> float:
     return best
 
 
-def best_window_score(a: str, b: str, cutoff: float = 0.0) -> float:
-    """Score of two strings; a score below ``cutoff`` may be reported as 0."""
+def best_window_score(a: str, b: str, cutoff: float = 0.0, decide: bool = False) -> float:
+    """Score of two strings; a score below ``cutoff`` may be reported as 0.
+
+    With ``decide`` any score at or above ``cutoff`` may be reported for one that
+    is: the search stops at the first window that reaches it.
+    """
     if not a or not b:
         return 100.0 if not a and not b else 0.0
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     if short in long:
         return 100.0
-    score = _one_way(short, long, cutoff)
+    score = _one_way(short, long, cutoff, decide)
     if len(short) == len(long):
-        score = max(score, _one_way(long, short, cutoff))
+        score = max(score, _one_way(long, short, cutoff, decide))
     return score if score >= cutoff else 0.0
 
 
-def best_scores(needles: Column, haystacks: Column, cutoff: float) -> Column:
+def best_scores(needles: Column, haystacks: Column, cutoff: float, decide: bool = False) -> Column:
     """For each needle the best score over the haystacks (array<double>); null in, null out."""
 
     @F.pandas_udf("array<double>")
@@ -103,7 +127,7 @@ def best_scores(needles: Column, haystacks: Column, cutoff: float) -> Column:
             if xs is None or ys is None:
                 out.append(None)
             else:
-                out.append([max((best_window_score(x, y, cutoff) for y in ys), default=0.0) for x in xs])
+                out.append([max((best_window_score(x, y, cutoff, decide) for y in ys), default=0.0) for x in xs])
         return pd.Series(out, dtype=object)
 
     # Declared non-deterministic only to keep the optimizer from copying the call
@@ -128,10 +152,12 @@ def unsettled(needles: Column, haystacks: Column) -> Column:
 def score_map(rest: Column, haystacks: Column, cutoff: float) -> Column:
     """map<needle, score> of the unsettled needles; null when there are none.
 
+    Scores tell on which side of ``cutoff`` a needle is.
+
     Rows with nothing left send nulls, so no text of theirs goes to Python.
     """
     busy = F.size(rest) > 0
-    scores = best_scores(F.when(busy, rest), F.when(busy, haystacks), cutoff)
+    scores = best_scores(F.when(busy, rest), F.when(busy, haystacks), cutoff, decide=True)
     return F.map_from_arrays(F.when(busy, rest), scores)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,40 +61,55 @@ def _deal(steps: pd.DataFrame, judges: pd.DataFrame) -> pd.DataFrame:
     if steps.empty or judges.empty:
         return pd.DataFrame(columns=["round_id", "kind", "step", "submission_id", "head", "cycle"])
     load = {int(j): int(n) for j, n in zip(judges["judge_id"], judges["load"])}
-
-    def seat(taken: set[int], seats: int) -> list[int]:
-        free = sorted((n, j) for j, n in load.items() if j not in taken)
-        chosen = [j for _, j in free[: max(0, seats - len(taken))]]
+    heap = [(n, j) for j, n in load.items()]
+    heapq.heapify(heap)
+
+    def seat(taken: set[int], free: int) -> list[int]:
+        chosen, skipped = [], []
+        while len(chosen) < free and heap:
+            n, j = heapq.heappop(heap)
+            if j in taken:
+                skipped.append((n, j))
+            else:
+                chosen.append(j)
         for j in chosen:
             load[j] += 1
+            skipped.append((load[j], j))
+        for entry in skipped:
+            heapq.heappush(heap, entry)
         return chosen
 
+    def shape() -> tuple:
+        low = min(load.values())
+        return tuple(n - low for n in load.values())
+
     out = []
     for row in steps.sort_values(["step", "kind"]).itertuples():
         seats = int(row.seats)
         if row.kind == "part":
-            picked = seat({int(j) for j in row.taken}, seats)
-            out.append((row.round_id, "part", row.step, row.submission_id, [picked], []))
+            taken = {int(j) for j in row.taken}
+            out.append((row.round_id, "part", row.step, row.submission_id, [seat(taken, seats - len(taken))], []))
             continue
-        seen: dict[tuple, int] = {}
-        picks: list[list[int]] = []
-        head = length = int(row.length)
+        # Once loads are level, picks repeat after every judge got equally many.
+        period = max(1, len(load) // math.gcd(len(load), min(seats, len(load))))
+        length, picks, before = int(row.length), [], shape()
+        head = length
         while len(picks) < length:
-            low = min(load.values())
-            state = tuple(load[j] - low for j in sorted(load))
-            if state in seen:
-                head = seen[state]
-                break
-            seen[state] = len(picks)
             picks.append(seat(set(), seats))
-        cycle = picks[head:] if len(picks) < length else []
-        if cycle:
-            rest = length - len(picks)
+            if len(picks) % period == 0:
+                after = shape()
+                if after == before:
+                    head = len(picks) - period
+                    break
+                before = after
+        cycle = picks[head:]
+        rest = length - len(picks)
+        if rest:
             for i, picked in enumerate(cycle):
                 for j in picked:
-                    load[j] += rest // len(cycle) + (1 if i < rest % len(cycle) else 0)
-        else:
-            head = len(picks)
+                    load[j] += rest // period + (1 if i < rest % period else 0)
+            heap = [(n, j) for j, n in load.items()]
+            heapq.heapify(heap)
         out.append((row.round_id, "run", row.step, None, picks[:head], cycle))
     return pd.DataFrame(out, columns=["round_id", "kind", "step", "submission_id", "head", "cycle"])
 

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketflow import fixed_values as V
 from docketflow.schemas import ALLOWED, model_contract
 
 PARSED_SCHEMA = (
@@ -68,7 +67,7 @@ def apply_plugin(rows: DataFrame, plugin: Plugin) -> DataFrame:
     """Run a plugin over ``rows``; an exception becomes an output row that says so."""
     schema = _KINDS[plugin.kind]
     names = [part.split()[0] for part in _top_level(schema)]
-    run, kind = plugin.run, plugin.kind
+    run = plugin.run
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -84,7 +83,6 @@ def apply_plugin(rows: DataFrame, plugin: Plugin) -> DataFrame:
             yield pd.DataFrame(out, columns=names).astype(object).where(lambda x: x.notna(), None) if out else (
                 pd.DataFrame(columns=names))
 
-    del kind
     return rows.mapInPandas(batches, schema)
 
 
@@ -314,5 +312,3 @@ def check_criteria(decoded: DataFrame, known: DataFrame) -> DataFrame:
         .select("submission_id", F.when(F.col("error").isNull(), F.col("criteria")).alias("criteria"), "error")
     )
 
-
-PROMPT_MARK = V.WITHHELD_MARK

@@ -28,3 +28,14 @@ class Catalog:
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
+
+
+def read_texts(spark: SparkSession, folder: str, table: str, key: str) -> DataFrame:
+    """A table whose rows are costly to process.
+
+    A handful of files would leave most cores idle, so such an input is spread
+    by its key; a table of many files is read as it is.
+    """
+    df = read(spark, folder, table)
+    slots = spark.sparkContext.defaultParallelism
+    return df.repartition(slots, key) if len(df.inputFiles()) < slots else df

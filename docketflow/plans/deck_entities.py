@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketflow.plans.catalog import read
+from docketflow.plans.catalog import read, read_texts
 from docketflow.plans.dialect import quote, to_duck, to_spark
 
 LISTS: dict[str, list[str]] = {
@@ -177,7 +177,7 @@ def _pick(sql: str, spark: bool) -> str:
 def deck_units(spark: SparkSession, folder: str) -> DataFrame:
     """Units with every column the integrity stage needs."""
     sql = to_spark(_pick(UNITS_SQL, True)).replace("FROM conversations", "FROM {conversations}")
-    flat = spark.sql(sql, conversations=read(spark, folder, "conversations"))
+    flat = spark.sql(sql, conversations=read_texts(spark, folder, "conversations", "conv_id"))
     return flat.selectExpr(
         "submission_id", "page_number", "format_string('slide_%02d', page_number) AS slide_id", "team_name",
         "submission_title", "title", "text", "speaker_notes", "hidden", "has_visual_content", "has_embedded_media",

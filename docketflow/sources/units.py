@@ -97,15 +97,17 @@ def _with_defaults(units: DataFrame) -> DataFrame:
 
 def units_from_documents(documents: DataFrame, lines_per_unit: int = 12) -> DataFrame:
     """documents(submission_id, text) → units of ``lines_per_unit`` lines; nothing is cut off."""
-    lines = split_lines(F.col("text"))
-    n = F.greatest(F.ceil(F.size("lines") / lines_per_unit), F.lit(1)).cast("int")
-    block = F.array_join(
-        F.slice("lines", F.col("pos") * lines_per_unit + 1, F.lit(lines_per_unit)), "\n"
+    def blocks(lines: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(lines) / lines_per_unit), F.lit(1)).cast("int") - 1
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda i: F.array_join(F.slice(lines, i * lines_per_unit + 1, F.lit(lines_per_unit)), "\n"),
+        )
+
+    exploded = documents.select("submission_id", F.posexplode(let(split_lines(F.col("text")), blocks)).alias("pos", "block"))
+    units = exploded.select(
+        "submission_id", (F.col("pos") + 1).alias("page_number"), clean_text(F.col("block")).alias("text")
     )
-    exploded = documents.select("submission_id", lines.alias("lines")).select(
-        "submission_id", "lines", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos")
-    )
-    units = exploded.select("submission_id", (F.col("pos") + 1).alias("page_number"), clean_text(block).alias("text"))
     return _with_defaults(units.withColumn("title", first_line_title(F.col("text"))))
 
 
