@@ -98,26 +98,44 @@ def latest_responses(responses: DataFrame, reveals: DataFrame) -> DataFrame:
 
 
 def visible_submissions(submissions: DataFrame, rounds: DataFrame, assignments: DataFrame, users: DataFrame) -> DataFrame:
-    """(user_id, submission_id) pairs a user may open.
+    """scope, holder, submission_id: who may open a submission.
 
-    Organizers see every submission of their organization, judges only those
-    they are assigned to.  The judge side starts from the assignments, so it
-    never pairs all judges with all submissions.
+    Organizers see every submission of their organization, so that scope is held
+    once by the organization instead of once per organizer; judges hold only the
+    submissions of their organization they are assigned to.
     """
     subs = submissions.select(F.col("id").alias("submission_id"), "round_id").join(
         rounds.select(F.col("id").alias("round_id"), "organization_id"), "round_id"
     )
-    active = users.filter("is_active").select(F.col("id").alias("user_id"), "organization_id", "role")
-    organizers = active.filter("role = 'organizer'").drop("role")
-    judges = active.filter("role = 'judge'").drop("role")
-    by_org = subs.join(organizers, "organization_id").select("user_id", "submission_id")
-    held = assignments.select(F.col("judge_id").alias("user_id"), "submission_id").distinct()
-    by_hand = (
-        held.join(judges, "user_id")
+    active = users.filter("is_active")
+    managed = active.filter("role = 'organizer'").select("organization_id").distinct()
+    judges = active.filter("role = 'judge'").select(F.col("id").alias("judge_id"), "organization_id")
+    by_org = subs.join(managed, "organization_id", "left_semi").select(
+        F.lit("organization").alias("scope"), F.col("organization_id").alias("holder"), "submission_id"
+    )
+    by_judge = (
+        assignments.select("judge_id", "submission_id").distinct()
+        .join(judges, "judge_id")
         .join(subs.select("submission_id", "organization_id"), ["submission_id", "organization_id"])
-        .select("user_id", "submission_id")
+        .select(F.lit("judge").alias("scope"), F.col("judge_id").alias("holder"), "submission_id")
+    )
+    return by_org.unionByName(by_judge)
+
+
+def visible_to(
+    submissions: DataFrame, rounds: DataFrame, assignments: DataFrame, users: DataFrame, user_id: int
+) -> DataFrame:
+    """submission_id of everything one user may open."""
+    me = users.filter((F.col("id") == user_id) & F.col("is_active")).select("organization_id", "role")
+    held = assignments.filter(F.col("judge_id") == user_id).select("submission_id", F.lit(True).alias("held")).distinct()
+    return (
+        submissions.select(F.col("id").alias("submission_id"), "round_id")
+        .join(rounds.select(F.col("id").alias("round_id"), "organization_id"), "round_id")
+        .join(me, "organization_id")
+        .join(held, "submission_id", "left")
+        .filter("role = 'organizer' or held")
+        .select("submission_id")
     )
-    return by_org.unionByName(by_hand)
 
 
 def own_assignments(assignments: DataFrame, users: DataFrame) -> DataFrame:

@@ -393,28 +393,19 @@ def next_assignment(assignments: DataFrame) -> DataFrame:
 
 
 def submission_summaries(
-    submissions: DataFrame, files: DataFrame, analyses: DataFrame, assignments: DataFrame, users: DataFrame
+    submissions: DataFrame, files: DataFrame, analyses: DataFrame, assignments: DataFrame
 ) -> DataFrame:
-    """List rows with file, analysis state, stage and assigned judges."""
+    """List rows with file, analysis state, stage and judge counts; present by creation time."""
     file = primary_file(files.select("id", "submission_id", "original_filename", "file_type", "size_bytes",
                                      "page_count")).drop("id")
     analysis = latest_analysis(
         analyses.select("id", "submission_id", F.col("status").alias("analysis_status"))
     ).drop("id")
-    # A submission holds at most the round's seats (<= 10), so its list is short.
-    people = (
-        assignments.join(users.select(F.col("id").alias("judge_id"), "name"), "judge_id")
-        .groupBy("submission_id")
-        .agg(F.sort_array(F.collect_list(F.struct(
-            F.col("assignment_id"), "judge_id", F.col("name").alias("judge_name"), "status"
-        ))).alias("assignments"))
-    )
     return (
         submission_stages(submissions, assignments)
         .withColumnRenamed("id", "submission_id")
         .join(file, "submission_id", "left")
         .join(analysis, "submission_id", "left")
-        .join(people, "submission_id", "left")
         .select(
             "submission_id", "round_id", "team_name", "title", "status", "stage", "processing_error",
             "integrity_status", "integrity_summary", "not_assessed_count",
@@ -422,11 +413,18 @@ def submission_summaries(
             F.when(F.col("original_filename").isNotNull(), F.struct(
                 F.col("original_filename").alias("name"), F.col("file_type").alias("type"), "size_bytes",
                 F.col("page_count").alias("pages"))).alias("file"),
-            "created_at", "assignments",
+            "created_at", "n_assigned", "n_completed",
         )
     )
 
 
+def submission_judges(assignments: DataFrame, users: DataFrame) -> DataFrame:
+    """The judges of each submission, one row each (the list beside a summary row)."""
+    return assignments.join(users.select(F.col("id").alias("judge_id"), "name"), "judge_id").select(
+        "submission_id", "assignment_id", "judge_id", F.col("name").alias("judge_name"), "status"
+    )
+
+
 def round_list(rounds: DataFrame, submissions: DataFrame) -> DataFrame:
     """Rounds with their submission count; present newest first."""
     n = submissions.groupBy(F.col("round_id").alias("id")).agg(F.count("*").alias("n"))

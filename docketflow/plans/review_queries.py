@@ -611,22 +611,24 @@ def organizer_scores(spark, folder):
     return R.organizer_score_view(*_get(spark, folder, "assignments", "revisions"))
 
 
-@CATALOG.query("rep15_submission_summaries", duck_entities("submissions", "files", "analyses", "assignments", "users").rstrip() + "," + _STAGES + """,
+@CATALOG.query("rep15_submission_summaries", duck_entities("submissions", "files", "analyses", "assignments").rstrip() + "," + _STAGES + """,
 f AS (SELECT submission_id, arg_min(original_filename, id) AS fn, arg_min(size_bytes, id) AS sz FROM files GROUP BY 1),
-l AS (SELECT submission_id, arg_max(status, id) AS st FROM analyses GROUP BY 1),
-p AS (SELECT a.submission_id, string_agg(a.assignment_id || ':' || a.judge_id || ':' || u.name || ':' || a.status, ',' ORDER BY a.assignment_id) AS people
-  FROM assignments a JOIN users u ON u.id = a.judge_id GROUP BY 1)
+l AS (SELECT submission_id, arg_max(status, id) AS st FROM analyses GROUP BY 1)
 SELECT s.id AS submission_id, s.round_id, s.team_name, s.title, s.status, s.stage, s.processing_error, s.integrity_status, s.integrity_summary,
-  s.not_assessed_count, coalesce(l.st, 'pending') AS analysis_status, f.fn AS file_name, f.sz AS size_bytes, epoch_us(s.created_at) AS created_at, p.people
-FROM staged s LEFT JOIN f ON f.submission_id = s.id LEFT JOIN l ON l.submission_id = s.id LEFT JOIN p ON p.submission_id = s.id""")
+  s.not_assessed_count, coalesce(l.st, 'pending') AS analysis_status, f.fn AS file_name, f.sz AS size_bytes, epoch_us(s.created_at) AS created_at, s.n_assigned, s.n_completed
+FROM staged s LEFT JOIN f ON f.submission_id = s.id LEFT JOIN l ON l.submission_id = s.id""")
 def submission_summaries(spark, folder):
-    rows = R.submission_summaries(*_get(spark, folder, "submissions", "files", "analyses", "assignments", "users"))
-    people = F.transform("assignments", lambda a: F.concat_ws(
-        ":", a["assignment_id"].cast("string"), a["judge_id"].cast("string"), a["judge_name"], a["status"]))
+    rows = R.submission_summaries(*_get(spark, folder, "submissions", "files", "analyses", "assignments"))
     return rows.select(
         "submission_id", "round_id", "team_name", "title", "status", "stage", "processing_error", "integrity_status",
         "integrity_summary", "not_assessed_count", "analysis_status", F.col("file.name").alias("file_name"),
-        F.col("file.size_bytes").alias("size_bytes"), *_micros("created_at"), F.array_join(people, ",").alias("people"))
+        F.col("file.size_bytes").alias("size_bytes"), *_micros("created_at"), "n_assigned", "n_completed")
+
+
+@CATALOG.query("rep15_submission_judges", duck_entities("assignments", "users") + """
+SELECT a.submission_id, a.assignment_id, a.judge_id, u.name AS judge_name, a.status FROM assignments a JOIN users u ON u.id = a.judge_id""")
+def submission_judges(spark, folder):
+    return R.submission_judges(*_get(spark, folder, "assignments", "users"))
 
 
 @CATALOG.query("rep16_round_list", duck_entities("rounds", "submissions") + """
@@ -687,13 +689,21 @@ def latest_responses(spark, folder):
 
 
 @CATALOG.query("aud5_visible_submissions", duck_entities("submissions", "rounds", "assignments", "users") + """
-SELECT DISTINCT u.id AS user_id, s.id AS submission_id FROM submissions s JOIN rounds r ON r.id = s.round_id
-JOIN users u ON u.organization_id = r.organization_id AND u.is_active
-WHERE u.role = 'organizer' OR EXISTS (SELECT 1 FROM assignments a WHERE a.judge_id = u.id AND a.submission_id = s.id)""")
+SELECT 'organization' AS scope, r.organization_id AS holder, s.id AS submission_id FROM submissions s JOIN rounds r ON r.id = s.round_id
+WHERE EXISTS (SELECT 1 FROM users u WHERE u.organization_id = r.organization_id AND u.role = 'organizer' AND u.is_active)
+UNION ALL SELECT DISTINCT 'judge', u.id, s.id FROM assignments a JOIN users u ON u.id = a.judge_id AND u.role = 'judge' AND u.is_active
+JOIN submissions s ON s.id = a.submission_id JOIN rounds r ON r.id = s.round_id AND r.organization_id = u.organization_id""")
 def visible_submissions(spark, folder):
     return E.visible_submissions(*_get(spark, folder, "submissions", "rounds", "assignments", "users"))
 
 
+@CATALOG.query("aud5_visible_to_user", duck_entities("submissions", "rounds", "assignments", "users") + """
+SELECT s.id AS submission_id FROM submissions s JOIN rounds r ON r.id = s.round_id JOIN users u ON u.id = 7 AND u.is_active AND u.organization_id = r.organization_id
+WHERE u.role = 'organizer' OR EXISTS (SELECT 1 FROM assignments a WHERE a.judge_id = u.id AND a.submission_id = s.id)""")
+def visible_to_user(spark, folder):
+    return E.visible_to(*_get(spark, folder, "submissions", "rounds", "assignments", "users"), 7)
+
+
 @CATALOG.query("aud5_own_assignments", duck_entities("assignments", "users") + """
 SELECT assignment_id, judge_id FROM assignments a JOIN users u ON u.id = a.judge_id AND u.role = 'judge' AND u.is_active""")
 def own_assignments(spark, folder):

@@ -25,6 +25,13 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def with_content(uploads: DataFrame, files: DataFrame) -> DataFrame:
+    """uploads(path, …) + content.  File scans skip empty files, so those have no row: their content is empty."""
+    return uploads.join(files.select("path", "content"), "path", "left").withColumn(
+        "content", F.coalesce("content", F.lit(b""))
+    )
+
+
 def file_digests(files: DataFrame) -> DataFrame:
     """files + size_bytes, sha256; the content itself is dropped."""
     kept = [c for c in files.columns if c not in ("content", "length")]
@@ -113,7 +120,8 @@ def check_page_limit(units: DataFrame, submissions: DataFrame, rounds: DataFrame
     """submission_id, page_count, reject_reason (null when within the round's limit)."""
     pages = units.groupBy("submission_id").agg(F.count("*").alias("page_count"))
     limits = rounds.select(
-        F.col("id").alias("round_id"), F.coalesce("max_pages", F.lit(V.MAX_PAGES_DEFAULT)).alias("max_pages")
+        F.col("id").alias("round_id"),
+        F.least(F.coalesce("max_pages", F.lit(V.MAX_PAGES_DEFAULT)), F.lit(V.MAX_PAGES_BOUND)).alias("max_pages"),
     )
     return (
         pages.join(submissions.select(F.col("id").alias("submission_id"), "round_id"), "submission_id")
