@@ -33,26 +33,32 @@ def weighted_score(assignments: DataFrame, scores: DataFrame, rubric: DataFrame,
     Criteria without a score add nothing but keep their weight in the divisor.
     """
     totals = rubric.groupBy("round_id").agg(F.sum("weight").alias("total_weight"))
-    scale = rounds.select(F.col("id").alias("round_id"), "score_scale_max")
-    # The round of an assignment is joined after the scores are down to one row
-    # per criterion, so duplicates never travel.
-    terms = (
-        latest_scores(scores)
-        .join(assignments.select("assignment_id", "round_id"), "assignment_id")
-        .join(rubric.select("round_id", "criterion_id", "weight"), ["round_id", "criterion_id"])
-        .join(scale, "round_id")
-        .groupBy("assignment_id")
-        .agg(F.sum(F.col("weight") * (F.col("score") / F.col("score_scale_max"))).alias("value"))
-    )
+    sums = _weighted_sums(assignments, scores, rubric, rounds)
     divisor = F.coalesce(F.nullif(F.col("total_weight"), F.lit(0.0)), F.lit(1.0))
+    return sums.join(totals, "round_id", "left").select(
+        "assignment_id",
+        "round_id",
+        round_half_even(F.coalesce(100 * F.col("value") / divisor, F.lit(0.0))).alias("weighted_score"),
+    )
+
+
+def _weighted_sums(assignments: DataFrame, scores: DataFrame, rubric: DataFrame, rounds: DataFrame) -> DataFrame:
+    """assignment_id, round_id, value, n_scored.
+
+    Scores are down to one row per criterion before they are joined, and the
+    rubric joins keep the partitioning by assignment, so the sum needs no
+    further exchange while the rubric is small.
+    """
+    scale = rounds.select(F.col("id").alias("round_id"), "score_scale_max")
     return (
         assignments.select("assignment_id", "round_id")
-        .join(terms, "assignment_id", "left")
-        .join(totals, "round_id", "left")
-        .select(
-            "assignment_id",
-            "round_id",
-            round_half_even(F.coalesce(100 * F.col("value") / divisor, F.lit(0.0))).alias("weighted_score"),
+        .join(latest_scores(scores), "assignment_id", "left")
+        .join(rubric.select("round_id", "criterion_id", "weight"), ["round_id", "criterion_id"], "left")
+        .join(scale, "round_id", "left")
+        .groupBy("assignment_id", "round_id")
+        .agg(
+            F.sum(F.col("weight") * (F.col("score") / F.col("score_scale_max"))).alias("value"),
+            F.count("weight").alias("n_scored"),
         )
     )
 
@@ -303,28 +309,10 @@ def draft_total(assignments: DataFrame, scores: DataFrame, rubric: DataFrame, ro
     totals = rubric.groupBy("round_id").agg(
         F.sum("weight").alias("total_weight"), F.count("*").alias("n_criteria")
     )
-    scale = rounds.select(F.col("id").alias("round_id"), "score_scale_max")
-    sums = (
-        latest_scores(scores)
-        .join(assignments.select("assignment_id", "round_id"), "assignment_id")
-        .join(rubric.select("round_id", "criterion_id", "weight"), ["round_id", "criterion_id"])
-        .join(scale, "round_id")
-        .groupBy("assignment_id")
-        .agg(
-            F.count("*").alias("n_scored"),
-            F.sum(F.col("weight") * (F.col("score") / F.col("score_scale_max"))).alias("value"),
-        )
-    )
     divisor = F.when(F.col("total_weight") == 0, 1.0).otherwise(F.col("total_weight"))
     total = F.floor(1000 * F.col("value") / divisor + 0.5) / 10
-    return (
-        assignments.select("assignment_id", "round_id")
-        .join(sums, "assignment_id", "left")
-        .join(totals, "round_id")
-        .select(
-            "assignment_id",
-            F.when(F.coalesce("n_scored", F.lit(0)) == F.col("n_criteria"), total).alias("draft_total"),
-        )
+    return _weighted_sums(assignments, scores, rubric, rounds).join(totals, "round_id").select(
+        "assignment_id", F.when(F.col("n_scored") == F.col("n_criteria"), total).alias("draft_total")
     )
 
 

@@ -30,7 +30,7 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def read_texts(spark: SparkSession, folder: str, table: str, key: str) -> DataFrame:
+def read_spread(spark: SparkSession, folder: str, table: str, key: str) -> DataFrame:
     """A table whose rows are costly to process.
 
     A handful of files would leave most cores idle, so such an input is spread

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docketflow import fixed_values as V
 from docketflow.functions import display, numeric, similarity, text
 from docketflow.operators import visibility as VI
-from docketflow.plans.catalog import Catalog, read, read_texts
+from docketflow.plans.catalog import Catalog, read, read_spread
 from docketflow.plans.deck_entities import deck_submissions, deck_units, duck_decks
 from docketflow.plans.deck_sql import HOST, cut, flat, has, instruction, norm
 from docketflow.plans.dialect import case_of, duck_lookup, quote, to_duck, to_spark
@@ -21,7 +21,7 @@ BULLETS = "' •-–—*' || chr(9)"
 
 
 def _docs(spark, folder):
-    return read_texts(spark, folder, "documents", "doc_id")
+    return read_spread(spark, folder, "documents", "doc_id")
 
 
 # --- text functions on whole documents -------------------------------------
@@ -118,7 +118,7 @@ def url_hosts(spark, folder):
     links = F.concat(extra, F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
     host = text.url_host(F.col("link"))
     return (
-        read_texts(spark, folder, "pages", "page_id").select("page_id", F.explode(links).alias("link"))
+        read_spread(spark, folder, "pages", "page_id").select("page_id", F.explode(links).alias("link"))
         .select("page_id", "link", host.alias("host"), text.is_video_host(host).alias("video"))
         .groupBy("page_id", "link", "host", "video").agg(F.count("*").alias("n"))
     )
@@ -215,7 +215,7 @@ def code_labels(spark, folder):
 @CATALOG.query("txt16_best_window_scores")
 def best_window_scores(spark, folder):
     """Each turn's lines against the same turn; every fourth turn has lost each seventh character."""
-    said = read_texts(spark, folder, "conversations", "conv_id")
+    said = read_spread(spark, folder, "conversations", "conv_id")
     lines = F.transform(text.content_lines(F.col("text")), text.normalize)
     whole = text.normalize(F.col("text"))
     worn = F.when(F.col("turn") % 4 == 1, F.regexp_replace(whole, "(.{6}).", "$1")).otherwise(whole)
@@ -333,7 +333,7 @@ def duplicates(spark, folder):
 @CATALOG.query("src7_titles", """SELECT page_id, 'Team ' || page_id AS team_name, trim(CASE WHEN page_id % 3 = 0 THEN ' Title ' || page_id ELSE regexp_replace(left(regexp_extract(f, '([^/]*)/*$', 1), 300), '^([^/].*)[.][^./]+$', '\\1') END) AS title
 FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '/' ELSE '' END AS f FROM pages)""")
 def titles(spark, folder):
-    rows = read_texts(spark, folder, "pages", "page_id").select(
+    rows = read_spread(spark, folder, "pages", "page_id").select(
         "page_id", F.expr("'  Team ' || page_id || ' '").alias("team_name"),
         F.expr("CASE WHEN page_id % 3 = 0 THEN ' Title ' || page_id || ' ' WHEN page_id % 3 = 1 THEN '' END").alias("title"),
         F.expr("url || CASE page_id % 4 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '/' ELSE '' END").alias("original_filename"))
@@ -372,7 +372,7 @@ _HTML = (
     array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x <> ''))), ' ') AS links
   FROM (SELECT *, {_HTML} AS html_text FROM pages))""")
 def units_from_pages(spark, folder):
-    rows = UN.units_from_pages(read_texts(spark, folder, "pages", "page_id"))
+    rows = UN.units_from_pages(read_spread(spark, folder, "pages", "page_id"))
     return rows.select("submission_id", "title", F.md5("text").alias("text_md5"), F.array_join("links", " ").alias("links"))
 
 
@@ -381,7 +381,7 @@ _LI = """SELECT l_orderkey AS submission_id, CAST(l_linenumber % 2 + 1 AS INT) A
 
 
 def _li(spark, folder) -> DataFrame:
-    return spark.sql(to_spark(_LI).replace("FROM lineitem", "FROM {lineitem}"), lineitem=read(spark, folder, "lineitem"))
+    return spark.sql(to_spark(_LI).replace("FROM lineitem", "FROM {lineitem}"), lineitem=read_spread(spark, folder, "lineitem", "l_orderkey"))
 
 
 @CATALOG.query("src9_text_assembly", f"""WITH li AS ({to_duck(_LI)}), p AS (SELECT *, CASE WHEN st = 'O' THEN CASE WHEN qty > 10 THEN flag || ' | | ' || CAST(qty AS INT) END ELSE nullif('part ' || pk, 'part 7') END AS line FROM li)
@@ -407,7 +407,7 @@ def first_line_title(spark, folder):
 @CATALOG.query("src12_links", """SELECT page_id AS submission_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x <> ''))), ' ') AS links
 FROM pages WHERE len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x <> '')) > 0""")
 def links(spark, folder):
-    rows = read_texts(spark, folder, "pages", "page_id").select(
+    rows = read_spread(spark, folder, "pages", "page_id").select(
         F.col("page_id").alias("submission_id"), F.lit(1).alias("page_number"),
         F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("uri"))
     return UN.merge_links(rows).select("submission_id", F.array_join("links", " ").alias("links"))

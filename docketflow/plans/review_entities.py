@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
-from docketflow.plans.catalog import read
+from docketflow.plans.catalog import read, read_spread
 from docketflow.plans.dialect import case_of, to_duck, to_spark
 
 _STATUS = (
@@ -132,7 +132,9 @@ ENTITIES: dict[str, tuple[list[str], str]] = {
 
 def entity(spark: SparkSession, folder: str, name: str) -> DataFrame:
     tables, sql = ENTITIES[name]
-    sources = {t: read(spark, folder, t) for t in tables}
+    sources = {
+        t: read_spread(spark, folder, t, "l_orderkey") if t == "lineitem" else read(spark, folder, t) for t in tables
+    }
     text = to_spark(sql)
     for t in tables:
         text = text.replace(f"FROM {t}", "FROM {" + t + "}")
