@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from docketflow import fixed_values as V
 from docketflow.plans.deck_entities import duck_decks
-from docketflow.plans.dialect import duck_any, duck_ascii, duck_match, duck_round, quote
+from docketflow.plans.dialect import duck_ascii, duck_match, duck_round, quote
 
 
 def norm(x: str) -> str:
@@ -242,8 +242,6 @@ overviews AS (SELECT submission_id, team || ' proposes ' || trim(coalesce(nullif
       AND NOT contains(left({_LF_FIRST}, 3), '-')) THEN lower(left(tag, 1)) || substr(tag, 2) ELSE tag END ELSE '' END || '.'
     || CASE WHEN ex IS NOT NULL THEN ' ' || regexp_replace(ex, '[.]+$', '') || '.' ELSE '' END AS overview, target_users FROM ov0)"""
 
-_HINT = "list_distinct_ordered"
-
 
 def _topics_of(text: str) -> str:
     """Topic and first position pairs of a criterion text."""
@@ -389,5 +387,3 @@ evidence AS (SELECT submission_id, finding_key, unnest(string_split(refs, chr(10
 def deck_sql(select: str, *stages: str) -> str:
     return duck_decks().rstrip() + "," + ",".join(stages) + "\n" + select
 
-
-__all__ = ["deck_sql", "duck_any"]

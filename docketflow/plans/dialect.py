@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import re
 
-from docketflow import fixed_values as V
-
 
 def to_spark(sql: str) -> str:
     sql = re.sub(r"US\[([^\]]*)\]", r"unix_micros(CAST(\1 AS TIMESTAMP))", sql)
@@ -58,19 +56,11 @@ def duck_mean(x: str, where: str = "TRUE") -> str:
     )
 
 
-def duck_pattern(pattern: str) -> str:
-    return quote(pattern)
-
-
 def duck_match(text: str, pattern: str) -> str:
     """Search as in Unicode: accented letters count as word characters."""
     return f"regexp_matches({text}, {quote(pattern)}, 'i')"
 
 
-def duck_any(text: str, patterns: list[str]) -> str:
-    return "(" + " OR ".join(duck_match(text, p) for p in patterns) + ")"
-
-
 def duck_ascii(text: str) -> str:
     """Replace Latin letters beyond ASCII by ``x`` so that word boundaries agree."""
     return f"regexp_replace({text}, '[À-ÖØ-öø-ſ]', 'x', 'g')"
@@ -80,5 +70,3 @@ def duck_lookup(key: str, table: dict[str, str], default: str | None = None) ->
     arms = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in table.items())
     return f"CASE {key} {arms}" + (f" ELSE {default}" if default else "") + " END"
 
-
-DUCK_INSTRUCTION = V.INSTRUCTION_PATTERNS

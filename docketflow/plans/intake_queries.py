@@ -10,7 +10,7 @@ from docketflow.functions import display, numeric, similarity, text
 from docketflow.operators import visibility as VI
 from docketflow.plans.catalog import Catalog, read, read_spread
 from docketflow.plans.deck_entities import deck_submissions, deck_units, duck_decks
-from docketflow.plans.deck_sql import HOST, cut, flat, has, instruction, norm
+from docketflow.plans.deck_sql import HOST, cut, flat, instruction, norm
 from docketflow.plans.dialect import case_of, duck_lookup, quote, to_duck, to_spark
 from docketflow.plans.review_entities import duck_entities, entity
 from docketflow.sources import files as FI
@@ -572,5 +572,3 @@ def hidden_units(spark, folder):
     return deck_units(spark, folder).groupBy("submission_id").agg(
         F.count_if("hidden").alias("hidden"), F.count_if(~F.col("hidden")).alias("shown"))
 
-
-__all__ = ["CATALOG", "has"]

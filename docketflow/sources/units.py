@@ -229,6 +229,14 @@ def with_render_notes(units: DataFrame) -> DataFrame:
     return units.withColumn("processing_notes", F.coalesce(F.concat(notes, extra), notes))
 
 
+def with_hidden_notes(units: DataFrame) -> DataFrame:
+    """Append the note that a slide is hidden (slide decks only)."""
+    notes = F.col("processing_notes")
+    return units.withColumn(
+        "processing_notes", F.when(F.col("hidden"), F.concat(notes, F.array(F.lit(V.HIDDEN_SLIDE_NOTE)))).otherwise(notes)
+    )
+
+
 def partial_submissions(units: DataFrame) -> DataFrame:
     """submission_id, partial: nothing renderable, or any note that mentions a failure."""
     failed = F.exists("processing_notes", lambda n: F.contains(F.lower(n), F.lit("failed")))
@@ -246,7 +254,3 @@ def replace_units(existing: DataFrame, fresh: DataFrame) -> DataFrame:
 def lines_of(units: DataFrame) -> DataFrame:
     """submission_id, page_number, ord, line: raw lines of the unit text."""
     return units.select(*UNIT, F.posexplode(split_lines(F.col("text"))).alias("ord", "line"))
-
-
-def word_total(text: Column) -> Column:
-    return let(strip(text), lambda t: F.when(t == "", 0).otherwise(F.size(F.split(t, r"(?U)[\s\x1c-\x1f]+"))))

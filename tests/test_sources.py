@@ -99,3 +99,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries()) == set(all_queries())
+
+
+def test_hidden_note(spark):
+    df = spark.createDataFrame([(True, ["a"]), (False, ["b"])], "hidden boolean, processing_notes array<string>")
+    got = {r.hidden: r.processing_notes for r in UN.with_hidden_notes(df).collect()}
+    assert got == {True: ["a", V.HIDDEN_SLIDE_NOTE], False: ["b"]}
