@@ -17,12 +17,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` characters; one longer text is a range of its own."""
+def chunks(texts: list[str | None], limit: int = CHUNK_BYTES, rows: int = 1024) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows and ``limit`` characters; one longer text is a range of its own."""
     start, size = 0, 0
     for i, text in enumerate(texts):
         n = len(text) if text else 0
-        if i > start and size + n > limit:
+        if i > start and (size + n > limit or i - start >= rows):
             yield start, i
             start, size = i, 0
         size += n

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import sharding, simhash
+from docketflow.llm import quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -27,3 +27,9 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"))
+
+
+@CATALOG.query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document by the factorisation machine."""
+    return quality.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
