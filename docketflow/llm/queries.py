@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import quality, sharding, simhash
+from docketflow.llm import neighbours, quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -33,3 +33,9 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document by the factorisation machine."""
     return quality.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@CATALOG.query("op8_approximate_neighbours")
+def op8_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors found for every vector whose id is divisible by 100."""
+    return neighbours.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
