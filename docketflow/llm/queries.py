@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import neighbours, quality, sharding, simhash
+from docketflow.llm import neighbours, pii, quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -39,3 +39,9 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op8_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors found for every vector whose id is divisible by 100."""
     return neighbours.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@CATALOG.query("op9_pii")
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: base spans counted and digested, all spans listed."""
+    return pii.find(read(spark, folder, "documents"))
