@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import neighbours, pii, quality, sharding, simhash
+from docketflow.llm import language, neighbours, pii, quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -45,3 +45,9 @@ def op8_approximate_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data of every document: base spans counted and digested, all spans listed."""
     return pii.find(read(spark, folder, "documents"))
+
+
+@CATALOG.query("op10_language_id")
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document by the conditional random field."""
+    return language.identify(read(spark, folder, "documents"))
