@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import language, neighbours, pii, quality, sharding, simhash
+from docketflow.llm import extract, language, neighbours, pii, quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -51,3 +51,9 @@ def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document by the conditional random field."""
     return language.identify(read(spark, folder, "documents"))
+
+
+@CATALOG.query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(read(spark, folder, "pages"))
