@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import extract, language, neighbours, pii, quality, sharding, simhash
+from docketflow.llm import decontaminate, extract, language, neighbours, pii, quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -57,3 +57,9 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return extract.extract(read(spark, folder, "pages"))
+
+
+@CATALOG.query("op7_benchmark_decontamination")
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a copied or edited benchmark item."""
+    return decontaminate.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
