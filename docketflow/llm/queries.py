@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import decontaminate, extract, language, neighbours, pii, quality, sharding, simhash
+from docketflow.llm import decontaminate, extract, language, lm, neighbours, pii, quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -63,3 +63,9 @@ def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a copied or edited benchmark item."""
     return decontaminate.find_leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@CATALOG.query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under the hidden Markov model and under the base model."""
+    return lm.score_documents(read(spark, folder, "documents"))
