@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import decontaminate, extract, language, lm, neighbours, pii, quality, sharding, simhash
+from docketflow.llm import decontaminate, extract, language, lm, neighbours, pieces, pii, quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -69,3 +69,9 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Log-probability of every document under the hidden Markov model and under the base model."""
     return lm.score_documents(read(spark, folder, "documents"))
+
+
+@CATALOG.query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Sampled pieces of every document, with the check that they decode to it."""
+    return pieces.encode_documents(read(spark, folder, "documents"))
