@@ -11,8 +11,8 @@ The field is fitted on a bounded sample: ``SAMPLE_ROWS`` rows of each language i
 of a hash of their id, and of each text ``SAMPLE_WINDOWS`` windows of ``WINDOW`` words spread
 over the whole text; ``SAMPLE_TOTAL`` windows at most.  Labels are predicted from whole texts.
 
-A null text, and one without letters, is ``und`` with score 0.  Rows with a null language are
-not learned from.  If nothing can be learned every text is ``und``.
+A null text, and one without letters, is ``und`` with score 0.  Rows with a null language or
+id are not learned from.  If nothing can be learned every text is ``und``.
 """
 
 from __future__ import annotations
@@ -200,8 +200,9 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """A field fitted on a bounded sample of the rows of ``docs`` with a language."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null")
     order = [F.xxhash64("key"), F.col("key")]
-    # at most sample_rows ids of each language: small whatever the table
-    chosen = first_per_group(rows.select("key", "lang"), ["lang"], order, sample_rows).select("key", "lang").distinct()
+    # at most SAMPLE_TOTAL ids, whatever the table and however many languages: small enough for every task
+    chosen = first_per_group(rows.select("key", "lang").filter("key is not null"), ["lang"], order, sample_rows).orderBy(
+        "rn", *order, "lang").limit(SAMPLE_TOTAL).select("key", "lang").distinct()
 
     def cut_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,7 +216,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                     "words": [own[a : a + WINDOW] for a in taken],
                 })
 
-    windows = rows.join(chosen, ["key", "lang"], "left_semi").select("key", "lang", "text").mapInPandas(cut_windows, _WINDOWS)
+    windows = rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").select("key", "lang", "text").mapInPandas(cut_windows, _WINDOWS)
     found = windows.orderBy(*order, "lang", "at", "words").limit(SAMPLE_TOTAL).collect()
     return fit([(r["lang"], r["words"]) for r in found])
 

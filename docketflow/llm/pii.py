@@ -316,6 +316,6 @@ def mask(text: Column, scores: dict[int, float], threshold: float = 0.5) -> Colu
 
 def mask_documents(docs: DataFrame, text: str = "text", length: str = "n_chars", threshold: float = 0.5) -> DataFrame:
     """``docs`` with personal data masked and ``length`` (if there) restated; every row stays."""
-    scores = learn(scan_texts(docs.withColumn("__key", F.lit(0)), "__key", text))
+    scores = learn(scan_texts(docs.select(F.lit(0).alias("key"), F.col(text).alias("text")), "key", "text"))
     hidden = docs.withColumn(text, mask(F.col(text), scores, threshold))
     return hidden.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length in docs.columns else hidden

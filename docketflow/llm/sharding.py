@@ -82,11 +82,10 @@ def shard_records(
 ) -> DataFrame:
     """Every record with its ``shard`` (0 to ``shards`` - 1) and ``slot``; other columns keep their names.
 
-    Ties, repeated rows and null columns: each row is dealt on its own.  Names given
-    for the two new columns must not be among the records' own.
+    Ties, repeated rows and null columns: each row is dealt on its own.  The two new
+    columns take the place of records' own of the same names.  An empty table gives no row.
     """
-    if {shard, slot} & set(records.columns):
-        raise ValueError(f"columns {shard} and {slot} are taken; name others")
+    records = records.drop(*{shard, slot} - {*key, size})
     done = scatter_and_shuffle(records, key, size, seed, bucket_rows, bucket_bytes)
     counts = done.select("bucket", "n", F.lit(0).alias("all"))
     ahead = running_total(counts, ["all"], "bucket", {"first": F.col("n")}).select("bucket", "first")
