@@ -222,8 +222,9 @@ def contaminated(
                     all_grams = gram_codes(codes)
                     hits.append(np.unique(all_grams[table.found(all_grams)]).view(np.int64))
                 keep = [i for i, h in enumerate(hits) if len(h)]
-                yield pd.DataFrame({
-                    "row": batch["row"].iloc[a:b].iloc[keep], "text": [texts[a + i] for i in keep], "seeds": [hits[i] for i in keep]})
+                if keep:
+                    yield pd.DataFrame({
+                        "row": batch["row"].iloc[a:b].iloc[keep], "text": [texts[a + i] for i in keep], "seeds": [hits[i] for i in keep]})
 
     held = cut(docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text")).mapInPandas(
         holding, "row long, text string, seeds array<long>").withColumn("set", F.xxhash64("seeds")), "held")

@@ -211,10 +211,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
                 places = range(0, len(own), WINDOW)
                 step = max(1, -(-len(places) // SAMPLE_WINDOWS))
                 taken = places[::step]
-                yield pd.DataFrame({
-                    "key": [k] * len(taken), "lang": [language] * len(taken), "at": list(taken),
-                    "words": [own[a : a + WINDOW] for a in taken],
-                })
+                if taken:
+                    yield pd.DataFrame({
+                        "key": [k] * len(taken), "lang": [language] * len(taken), "at": list(taken),
+                        "words": [own[a : a + WINDOW] for a in taken],
+                    })
 
     windows = rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").select("key", "lang", "text").mapInPandas(cut_windows, _WINDOWS)
     found = windows.orderBy(*order, "lang", "at", "words").limit(SAMPLE_TOTAL).collect()

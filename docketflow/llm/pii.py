@@ -291,25 +291,29 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     return scanned.mapInPandas(final, schema)
 
 
-def mask(text: Column, scores: dict[int, float], threshold: float = 0.5) -> Column:
-    """``text`` with each span replaced by its kind in brackets; null stays null."""
+def masked(text: str | None, scores: dict[int, float], threshold: float) -> str | None:
+    """``text`` with each span replaced by its kind in brackets.
 
-    def masked(t: str | None) -> str | None:
-        if not t:
-            return t
-        spans = accepted(scan(t)[1], scores, threshold)
+    Without one span its neighbour may fit a rule that the two together did not, so the
+    text is read again until nothing is found; brackets fit no rule, so that ends.
+    """
+    while text and (spans := accepted(scan(text)[1], scores, threshold)):
         parts, at = [], 0
         for a, kind, b in spans:
-            if b <= at:
-                continue
-            parts += [t[at : max(a, at)], f"[{KINDS[kind].upper()}]"]
-            at = b
-        return "".join([*parts, t[at:]]) if spans else t
+            if b > at:
+                parts += [text[at : max(a, at)], f"[{KINDS[kind].upper()}]"]
+                at = b
+        text = "".join([*parts, text[at:]])
+    return text
+
+
+def mask(text: Column, scores: dict[int, float], threshold: float = 0.5) -> Column:
+    """``text`` without personal data; null stays null."""
 
     @F.pandas_udf(T.StringType())
     def masks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([masked(t) for t in batch], dtype=object)
+            yield pd.Series([masked(t, scores, threshold) for t in batch], dtype=object)
 
     return masks(text)
 
