@@ -6,72 +6,75 @@ import numpy as np
 
 
 class Chains:
-    """Sequences laid end to end in one array of symbols.
+    """Sequences given end to end, handled step by step.
 
-    A step of the recursion takes the t-th symbol of every sequence that is longer than t,
-    so the work is vectorised across sequences whatever their lengths.
+    A step of a recursion takes the t-th symbol of every sequence longer than t.  Inside,
+    symbols lie in the order of steps, longest sequences first, so that a step is one slice;
+    ``in_order`` brings values back to the order given.
     """
 
     def __init__(self, lengths: np.ndarray) -> None:
-        lengths = np.asarray(lengths, dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        self.order = np.argsort(-lengths, kind="stable")
-        self.lengths, self.starts = lengths[self.order], starts[self.order]
-        longest = int(self.lengths[0]) if len(lengths) else 0
-        self.active = np.searchsorted(-self.lengths, -np.arange(longest), side="left").tolist()
-        self.total = int(lengths.sum())
+        self.lengths = np.asarray(lengths, dtype=np.int64)
+        order = np.argsort(-self.lengths, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        longest = int(self.lengths.max()) if len(order) else 0
+        self.active = np.searchsorted(-self.lengths[order], -np.arange(longest), side="left")
+        self.offsets = np.concatenate([[0], np.cumsum(self.active)])
+        self.total = int(self.lengths.sum())
+        starts = np.cumsum(self.lengths) - self.lengths
+        step = np.arange(self.total) - np.repeat(starts, self.lengths)
+        self.place = self.offsets[step] + np.repeat(rank, self.lengths)
+        self.full = np.flatnonzero(self.lengths)
+        self.starts = starts[self.full]
+        self.weights = np.zeros((0, 0))
 
-    def forward(self, emit: np.ndarray, symbols: np.ndarray, start: np.ndarray, move: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of each sequence's weight (in the given order), and the scaled forward values if kept.
+    def in_order(self, values: np.ndarray) -> np.ndarray:
+        return values[self.place]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum over each sequence of values in the order given; zero for empty ones."""
+        out = np.zeros((len(self.lengths), *values.shape[1:]))
+        if len(self.full):
+            out[self.full] = np.add.reduceat(values, self.starts, axis=0)
+        return out
+
+    def forward(self, emit: np.ndarray, symbols: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log of each sequence's weight, and the scaled forward values in the order of steps.
 
         ``emit`` is symbols x states, ``start`` states, ``move`` states x states; none need be probabilities.
         """
-        logs = np.zeros(len(self.lengths))
-        kept = np.empty((self.total, emit.shape[1]), dtype=emit.dtype) if keep else None
-        a = None
-        for t, m in enumerate(self.active):
-            at = self.starts[:m] + t
-            e = emit[symbols[at]]
-            a = (start * e) if t == 0 else (a[:m] @ move) * e
-            scale = a.sum(axis=1)
-            a = a / scale[:, None]
-            logs[:m] += np.log(scale)
-            if keep:
-                kept[at] = a
-        out = np.empty_like(logs)
-        out[self.order] = logs
-        return out, kept
+        stepped = np.empty(self.total, dtype=np.int64)
+        stepped[self.place] = symbols
+        self.weights = emit[stepped]
+        kept, scale = self.weights.copy(), np.empty(self.total, dtype=emit.dtype)
+        ends = self.offsets.tolist()
+        before = None
+        for a, b in zip(ends[:-1], ends[1:]):
+            now = kept[a:b]
+            now *= start if before is None else before[: b - a] @ move
+            total = scale[a:b]
+            now.sum(axis=1, out=total)
+            now /= total[:, None]
+            before = now
+        return self.sums(np.log(scale.astype(float))[self.place]), kept
 
-    def smooth(self, emit: np.ndarray, symbols: np.ndarray, move: np.ndarray, forward: np.ndarray, moves: bool = False) -> np.ndarray | None:
-        """Turn scaled forward values into posteriors, in place; expected moves (states x states) if asked for."""
-        states = emit.shape[1]
+    def smooth(self, move: np.ndarray, forward: np.ndarray, moves: bool = False) -> np.ndarray | None:
+        """Turn the last forward values into posteriors, in place; expected moves (states x states) if asked for."""
+        states = move.shape[0]
         total = np.zeros((states, states)) if moves else None
-        b = np.zeros((0, states), dtype=emit.dtype)  # of the sequences active at t + 1: emission times backward value
-        for t in range(len(self.active) - 1, -1, -1):
-            m = self.active[t]
-            at = self.starts[:m] + t
-            a = forward[at]
-            later = len(b)
-            back = np.ones((m, states), dtype=emit.dtype)
+        ends, back_move = self.offsets.tolist(), np.ascontiguousarray(move.T)
+        ahead = np.zeros((0, states), dtype=forward.dtype)  # of the next step: weight times backward value
+        for a, b in zip(ends[-2::-1], ends[:0:-1]):
+            now, later = forward[a:b], len(ahead)
+            back = np.ones((b - a, states), dtype=forward.dtype)
             if later:
-                back[:later] = b @ move.T
+                np.matmul(ahead, back_move, out=back[:later])
                 if moves:
-                    weight = 1 / (a[:later] * back[:later]).sum(axis=1)
-                    total += ((a[:later] * weight[:, None]).T @ b) * move
-            g = a * back
-            forward[at] = g / g.sum(axis=1)[:, None]
-            b = back * emit[symbols[at]]
-            b /= b.sum(axis=1)[:, None]
-        return total
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sum of ``values`` (symbols x n) over each sequence, in the given order; empty ones give zero."""
-        out = np.zeros((len(self.lengths), values.shape[1]))
-        full = self.lengths > 0
-        if full.any():
-            by_start = np.argsort(self.starts[full], kind="stable")
-            rows = np.flatnonzero(full)[by_start]
-            out[rows] = np.add.reduceat(values, self.starts[rows], axis=0)
-        back = np.empty_like(out)
-        back[self.order] = out
-        return back
+                    held = now[:later] / (now[:later] * back[:later]).sum(axis=1)[:, None]
+                    total += held.T @ ahead
+            ahead = back * self.weights[a:b]
+            ahead /= ahead.sum(axis=1)[:, None]
+            now *= back
+            now /= now.sum(axis=1)[:, None]
+        return total * move if moves else None

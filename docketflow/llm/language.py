@@ -118,9 +118,9 @@ class Field:
         logs = self.weights(WordGrams(vocabulary), self.entries(vocabulary))
         emit, move = np.exp(logs - logs.max(axis=1, keepdims=True)) + 1e-12, np.exp(self.move)
         start = np.full(len(self.languages), 1 / len(self.languages))
-        _, kept = chain.forward(emit, symbols, start, move, True)
-        chain.smooth(emit, symbols, move, kept)
-        return flat, chain, kept
+        _, kept = chain.forward(emit, symbols, start, move)
+        chain.smooth(move, kept)
+        return flat, chain, chain.in_order(kept)
 
 
 def stitched(windows: list[tuple[str, list[str]]], rng: np.random.Generator) -> list[list[tuple[str, str]]]:
@@ -171,8 +171,9 @@ def fit(windows: list[tuple[str, list[str]]]) -> Field | None:
     for step in range(1, ROUNDS + 1):
         logs = field.weights(grams, entries)
         emit, move = np.exp(logs - logs.max(axis=1, keepdims=True)) + 1e-12, np.exp(field.move)
-        _, posterior = chain.forward(emit, symbols, np.full(size, 1 / size), move, True)
-        expected = chain.smooth(emit, symbols, move, posterior, moves=True)
+        _, kept = chain.forward(emit, symbols, np.full(size, 1 / size), move)
+        expected = chain.smooth(move, kept, moves=True)
+        posterior = chain.in_order(kept)
         posterior[np.arange(total), truth] -= 1
         by_word = np.stack([np.bincount(symbols, weights=posterior[:, i], minlength=len(vocabulary)) for i in range(size)], axis=1) / total
         spread = by_word * grams.share[:, None]

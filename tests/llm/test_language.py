@@ -20,8 +20,9 @@ def test_posteriors_against_enumeration():
     lengths = [4, 1, 0, 5, 4]
     symbols = rng.integers(0, 7, sum(lengths))
     chain = Chains(np.array(lengths))
-    logs, kept = chain.forward(emit, symbols, start, move, True)
-    moves = chain.smooth(emit, symbols, move, kept, moves=True)
+    logs, kept = chain.forward(emit, symbols, start, move)
+    moves = chain.smooth(move, kept, moves=True)
+    kept = chain.in_order(kept)
     want_moves, at = np.zeros((3, 3)), 0
     for i, n in enumerate(lengths):
         total, state = 0.0, np.zeros((n, 3))

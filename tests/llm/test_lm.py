@@ -55,7 +55,7 @@ def test_model_is_a_distribution_over_short_texts():
     model = lm.Model(lm._normal(rng.random(2), 0), lm._normal(rng.random((2, 2)), 1), lm._normal(rng.random((3, 2)), 0))
     texts = [np.array(t) for t in itertools.product(range(3), repeat=4)]
     chain = lm.Chains(np.array([4] * len(texts)))
-    logs, _ = chain.forward(model.emit, np.concatenate(texts), model.start, model.move, False)
+    logs, _ = chain.forward(model.emit, np.concatenate(texts), model.start, model.move)
     assert math.isclose(np.exp(logs).sum(), 1.0, rel_tol=1e-9)
 
 
@@ -65,7 +65,7 @@ def test_baum_welch_never_lowers_the_likelihood(monkeypatch):
     model, before = lm.first_model(texts, 2), -math.inf
     for _ in range(6):
         chain = lm.Chains(np.array([30] * 40))
-        now = chain.forward(model.emit, np.concatenate(texts), model.start, model.move, False)[0].sum()
+        now = chain.forward(model.emit, np.concatenate(texts), model.start, model.move)[0].sum()
         assert now >= before - 1e-3 * abs(now)
         before = now
         start, move, emit = lm.expected_counts(model, texts)
