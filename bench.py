@@ -15,7 +15,7 @@ from docketflow.session import build_session  # noqa: E402
 
 HEADLINE = [
     "sco1_weighted_score", "sco1_results_by_submission", "sco2_clean_scores", "sco4_finalize_reviews",
-    "asg1_auto_assign_empty", "asg1_auto_assign_loaded", "rep6_attention_list", "rep9_results", "rep11_shift_summary",
+    "asg1_auto_assign_empty", "asg1_auto_assign_chosen", "rep6_attention_list", "rep9_results", "rep11_shift_summary",
     "rep13_assignment_rows", "src21_shift_dataset", "aud5_visible_submissions", "aud6_lifecycle_violations",
     "txt1_clean_text", "txt3_split_sentences", "int1_instruction_documents", "src3_file_validation",
     "src5_round_intake", "src6_duplicates", "src8_units_from_documents", "src8_units_from_pages",
@@ -29,7 +29,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "20g",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "docketflow.spread": cpus,
     })
     spark.sparkContext.setLogLevel("ERROR")
     queries = all_queries()

@@ -349,6 +349,7 @@ ATTENTION_REASONS = {
 ATTENTION_ORDER = ["processing_failed", "integrity", "ai_failed", "unassigned", "partial"]
 ATTENTION_STATUSES = ["potential_discrepancy", "suspicious_instruction_detected", "manual_review_required"]
 
+COMMENT_LIMIT = 4000
 SCORE_ERRORS = {
     "unknown": "Unknown criterion {criterion}",
     "range": "Scores must be between 1 and {scale}",

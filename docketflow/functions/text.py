@@ -113,7 +113,7 @@ def short_claim(text: Column) -> Column:
 def lower_first(text: Column) -> Column:
     """Lower the first letter of an ordinary word; acronyms and names keep it."""
     first = F.split(text, " ")[0]
-    rest = F.substring(first, 2, 1 << 20)
+    rest = F.substr(first, F.lit(2))
     ordinary = (
         (F.length(first) > 1)
         & (rest == F.lower(rest))
@@ -122,7 +122,7 @@ def lower_first(text: Column) -> Column:
     )
     return F.when(
         first.isin("A", "An", "The") | ordinary,
-        F.concat(F.lower(F.substring(text, 1, 1)), F.substring(text, 2, 1 << 20)),
+        F.concat(F.lower(F.substring(text, 1, 1)), F.substr(text, F.lit(2))),
     ).otherwise(text)
 
 

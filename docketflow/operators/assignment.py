@@ -21,28 +21,35 @@ def eligible_judges(users: DataFrame) -> DataFrame:
     return running_total(judges, ["organization_id"], "judge_id", {"judge_index": F.lit(1)})
 
 
-def auto_assign_empty(rounds: DataFrame, submissions: DataFrame, users: DataFrame) -> DataFrame:
+def auto_assign_empty(
+    rounds: DataFrame, submissions: DataFrame, users: DataFrame, chosen: DataFrame | None = None, seats: int | None = None
+) -> DataFrame:
     """Balanced assignment of rounds that hold no assignment yet.
 
+    ``chosen`` (judge_id) limits the judges of this call, ``seats`` replaces the
+    rounds' own number of judges per submission.
+
     From equal loads "least loaded, then lowest id" simply deals judges out in
     turn: seat ``k`` of the ``r``-th submission goes to judge
     ``(r * seats + k) mod judges``.  No step depends on an earlier one.
     """
-    judges = eligible_judges(users)
+    judges = eligible_judges(
+        users if chosen is None else users.join(chosen.select(F.col("judge_id").alias("id")), "id", "left_semi"))
     crowd = judges.groupBy("organization_id").agg(F.count("*").alias("n_judges"))
     per_round = rounds.select(
-        F.col("id").alias("round_id"), "organization_id", F.col("judges_per_submission").alias("seats")
+        F.col("id").alias("round_id"), "organization_id",
+        (F.col("judges_per_submission") if seats is None else F.lit(seats)).alias("seats"),
     ).join(crowd, "organization_id")
     ranked = running_total(
         submissions.select("round_id", F.col("id").alias("submission_id")),
         ["round_id"], "submission_id", {"place": F.lit(1)},
     )
-    seats = (
+    dealt = (
         ranked.join(per_round, "round_id")
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.least("seats", "n_judges") - 1)))
         .withColumn("judge_index", F.pmod(F.col("place") * F.col("seats") + F.col("k"), F.col("n_judges")))
     )
-    return seats.join(judges, ["organization_id", "judge_index"]).select("round_id", "submission_id", "judge_id")
+    return dealt.join(judges, ["organization_id", "judge_index"]).select("round_id", "submission_id", "judge_id")
 
 
 _STEP_SCHEMA = (

@@ -168,30 +168,27 @@ def final_verify_rows(parts: DataFrame, integrity: DataFrame) -> DataFrame:
 
 
 def evidence_rows(parts: DataFrame, integrity: DataFrame) -> DataFrame:
-    """Every citation of the brief and the assessment: finding_key, ord, slide, excerpt, verified."""
+    """Every citation of the brief and the assessment: finding_key, ord, slide, excerpt, verified.
 
-    def cited(column: str, prefix: str, key: str) -> DataFrame:
-        return parts.select("submission_id", F.explode(column).alias("x")).select(
-            "submission_id", F.concat(F.lit(prefix), F.col(f"x.{key}").cast("string")).alias("finding_key"),
-            F.posexplode("x.evidence").alias("ord", "r"),
-        )
+    A submission's own citations are one array of its row, opened once.
+    """
 
-    from_flags = integrity.select(
-        "submission_id", F.concat(F.lit("verify:"), "id").alias("finding_key"),
-        F.posexplode("evidence").alias("ord", "r"),
-    )
-    rows = (
-        cited("highlights", "evidence:", "id")
-        .unionByName(cited("strengths", "strength:", "id"))
-        .unionByName(cited("listed_verify", "verify:", "id"))
-        .unionByName(cited("criteria", "criterion:", "criterion_id"))
-        .unionByName(from_flags)
-    )
-    return rows.select("submission_id", "finding_key", "ord", *[f"r.{f}" for f in REF_FIELDS])
+    def cited(column: str, prefix: str, key: str) -> Column:
+        return F.transform(column, lambda x: F.struct(
+            F.concat(F.lit(prefix), x[key].cast("string")).alias("finding_key"), x["evidence"].alias("evidence")))
+
+    own = F.concat(
+        cited("highlights", "evidence:", "id"), cited("strengths", "strength:", "id"),
+        cited("listed_verify", "verify:", "id"), cited("criteria", "criterion:", "criterion_id"))
+    rows = parts.select("submission_id", F.inline(own)).unionByName(
+        integrity.select("submission_id", F.concat(F.lit("verify:"), "id").alias("finding_key"), "evidence"))
+    return rows.select("submission_id", "finding_key", F.posexplode("evidence").alias("ord", "r")).select(
+        "submission_id", "finding_key", "ord", *[f"r.{f}" for f in REF_FIELDS])
 
 
 def briefs(
-    parts: DataFrame, final_verify: DataFrame, packs: DataFrame, issue_rows: DataFrame
+    parts: DataFrame, final_verify: DataFrame, packs: DataFrame, issue_rows: DataFrame, engine: str = "rule-based",
+    model: str | None = None, stages: list[str] | None = None, note: str = V.PROVENANCE_NOTE,
 ) -> DataFrame:
     """submission_id, brief, assessment_document: nested documents of accepted submissions.
 
@@ -230,9 +227,9 @@ def briefs(
                  report["limitations"].alias("limitations")).alias("integrity"),
         F.col("coverage").alias("rubric_coverage"),
         F.struct(
-            F.lit("rule-based").alias("engine"), F.lit(None).cast("string").alias("model"),
+            F.lit(engine).alias("engine"), F.lit(model).cast("string").alias("model"),
             F.lit(V.PIPELINE_VERSION).alias("pipeline_version"),
-            F.array(*[F.lit(s) for s in V.STAGE_NAMES]).alias("stages"), F.lit(V.PROVENANCE_NOTE).alias("note"),
+            F.array(*[F.lit(s) for s in stages or V.STAGE_NAMES]).alias("stages"), F.lit(note).alias("note"),
         ).alias("provenance"),
     )
     issue_type = "array<struct<ord:bigint,type:string,description:string,severity:string>>"
@@ -250,7 +247,7 @@ def briefs(
         F.lit(V.ASSESSMENT_LABEL).alias("label"), F.col("assessment.score_scale_max").alias("score_scale_max"),
         F.col("assessment.overall_score").alias("overall_score"),
         F.col("assessment.assessed_weight").alias("assessed_weight"), criteria.alias("criteria"),
-        F.lit("rule-based").alias("engine"), F.lit(None).cast("string").alias("model"),
+        F.lit(engine).alias("engine"), F.lit(model).cast("string").alias("model"),
     )
     return (
         parts.join(packs, "submission_id")

@@ -15,7 +15,10 @@ EVENT_COLUMNS = [
 
 
 def complete_events(raw: DataFrame, users: DataFrame) -> DataFrame:
-    """Events ready to append: actor label, and organization from the actor when not given."""
+    """Events ready to append: actor label, and organization from the actor when not given.
+
+    System events have no actor; they would all be one key of the join and go past it.
+    """
     actors = users.select(
         F.col("id").alias("actor_id"), F.col("name").alias("actor_name"), F.col("role").alias("actor_role"),
         F.col("organization_id").alias("actor_org"),
@@ -24,8 +27,10 @@ def complete_events(raw: DataFrame, users: DataFrame) -> DataFrame:
         F.col("actor_name").isNotNull(),
         F.concat(F.col("actor_name"), F.lit(" ("), F.col("actor_role"), F.lit(")")),
     ).otherwise("system")
+    nobody = [F.lit(None).cast(actors.schema[c].dataType).alias(c) for c in actors.columns if c != "actor_id"]
+    known = raw.filter("actor_id is not null").join(actors, "actor_id", "left")
     return (
-        raw.join(actors, "actor_id", "left")
+        known.unionByName(raw.filter("actor_id is null").select("*", *nobody))
         .withColumn("actor_label", label)
         .withColumn("organization_id", F.coalesce("organization_id", "actor_org"))
         .withColumn("details", F.coalesce("details", F.lit("{}")))

@@ -76,17 +76,19 @@ def ground_refs(refs: DataFrame, views: DataFrame) -> DataFrame:
     References to unknown slides go; of equal excerpts of one slide the first
     stays.  Used for findings that come from outside (plugged-in stages); the
     built-in rules ground inside the unit's row instead.
+
+    A slide's text meets the different excerpts cited from it once: they are
+    gathered to the slide (as many as answers cite, a few per finding), searched
+    there, and only where each was found goes back to the references.
     """
+    cited = refs.withColumn("slide_id", F.lower(strip(F.col("slide_id")))).withColumn(
+        "excerpt", truncate(F.col("excerpt"), 240)).withColumn("_norm", normalize(F.col("excerpt")))
+    wanted = cited.groupBy("submission_id", "slide_id").agg(F.collect_set("_norm").alias("_excerpts"))
     known = views.select("submission_id", "slide_id", "page_number", "text", "notes", "image_text", "withheld")
-    joined = (
-        refs.withColumn("slide_id", F.lower(strip(F.col("slide_id"))))
-        .withColumn("excerpt", truncate(F.col("excerpt"), 240))
-        .join(known, ["submission_id", "slide_id"])
-        .withColumn("_excerpts", F.array("excerpt"))
-    )
-    located = locate(joined, "_excerpts", "_via").withColumn("_norm", normalize(F.col("excerpt")))
+    found = locate(known.join(wanted, ["submission_id", "slide_id"]), "_excerpts", "_via").select(
+        "submission_id", "slide_id", "page_number", "_via")
     via = F.element_at("_via", F.col("_norm"))
-    rows = located.select(
+    rows = cited.join(found, ["submission_id", "slide_id"]).select(
         "submission_id", "owner", "ord", "slide_id", "excerpt", "page_number",
         via.isNotNull().alias("verified"), F.coalesce(via, F.lit("unknown")).alias("via"), "_norm",
     )

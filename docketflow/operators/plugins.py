@@ -242,19 +242,17 @@ def contract_problems(value, schema: T.DataType, path: str = "") -> list[str]:
 def call_model(prompts: DataFrame, call: Callable[[str], str], contract: T.StructType, stage: str) -> DataFrame:
     """prompts(submission_id, prompt) → submission_id, answer (JSON), error.
 
-    ``call`` turns a prompt into the model's JSON text.  An answer that breaks
-    the contract is asked for once more with the problems named; after that, and
-    on any exception, the submission has an error and no answer.
+    ``call`` turns a prompt into the model's JSON text.  An object that breaks
+    the contract is asked for once more with the problems named.  After that,
+    for text that is no JSON object, and on any exception, the submission has an
+    error and no answer.
     """
     shape = model_contract(contract)
 
     def attempt(prompt: str) -> tuple[str | None, list[str]]:
-        try:
-            value = json.loads(call(prompt))
-        except json.JSONDecodeError:
-            return None, ["answer: invalid JSON"]
+        value = json.loads(call(prompt))
         if not isinstance(value, dict):
-            return None, ["answer: not an object"]
+            raise TypeError("the answer is not a JSON object")
         problems = contract_problems(value, shape)
         return (None, problems) if problems else (json.dumps(value, ensure_ascii=False), [])
 
@@ -265,12 +263,11 @@ def call_model(prompts: DataFrame, call: Callable[[str], str], contract: T.Struc
                 try:
                     answer, problems = attempt(prompt)
                     if problems:
-                        listed = "\n".join(problems[:5])
-                        answer, problems = attempt(
-                            f"{prompt}\n\nYour previous answer did not match the required schema:\n{listed}\n"
-                            "Return a corrected JSON object."
-                        )
+                        listed = "".join(f"\n* {p}" for p in problems[:5])
+                        answer, problems = attempt(f"{prompt}\n\nThe last answer broke its contract:{listed}\nAnswer again in full.")
                     error = f"{stage}: model output failed schema validation" if problems else None
+                except json.JSONDecodeError:
+                    answer, error = None, f"{stage}: model output is not JSON"
                 except Exception as problem:
                     answer, error = None, f"{type(problem).__name__}: {problem}"
                 out.append((key, answer, error))

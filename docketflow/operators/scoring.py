@@ -47,22 +47,47 @@ def _weighted_sums(assignments: DataFrame, scores: DataFrame, rubric: DataFrame,
 
     Scores are down to one row per criterion before they are joined, and the
     rubric joins keep the partitioning by assignment, so the sum needs no
-    further exchange while the rubric is small.
+    further exchange while the rubric is small.  A sheet has one term per
+    criterion of the rubric; they are added in rubric order, because a sum of
+    doubles depends on it and is rounded later.
     """
     scale = rounds.select(F.col("id").alias("round_id"), "score_scale_max")
+    term = F.col("weight") * (F.col("score") / F.col("score_scale_max"))
+    terms = F.sort_array(F.collect_list(F.when(F.col("weight").isNotNull(), F.struct("position", term.alias("term")))))
     return (
         assignments.select("assignment_id", "round_id")
         .join(latest_scores(scores), "assignment_id", "left")
-        .join(rubric.select("round_id", "criterion_id", "weight"), ["round_id", "criterion_id"], "left")
+        .join(rubric.select("round_id", "criterion_id", "position", "weight"), ["round_id", "criterion_id"], "left")
         .join(scale, "round_id", "left")
         .groupBy("assignment_id", "round_id")
-        .agg(
-            F.sum(F.col("weight") * (F.col("score") / F.col("score_scale_max"))).alias("value"),
-            F.count("weight").alias("n_scored"),
+        .agg(terms.alias("terms"))
+        .select(
+            "assignment_id", "round_id", F.size("terms").cast("bigint").alias("n_scored"),
+            F.aggregate("terms", F.lit(0.0), lambda a, t: a + F.coalesce(t["term"], F.lit(0.0))).alias("value"),
         )
     )
 
 
+def score_problem(score: Column, scale: Column) -> Column:
+    """The rule a score breaks, whatever its criterion; a score that is null or not a number is out of range."""
+    return F.when(
+        score.isNull() | F.isnan(score) | ~score.between(1, scale), fill(V.SCORE_ERRORS["range"], scale=scale)
+    ).when(score * 2 != F.rint(score * 2), F.lit(V.SCORE_ERRORS["step"]))
+
+
+def clean_comment(comment: Column) -> Column:
+    return F.substring(strip(F.coalesce(comment, F.lit(""))), 1, V.COMMENT_LIMIT)
+
+
+def clean_sheet(scores: Column, criteria: Column) -> Column:
+    """A sheet held as an array, in rubric order; the last entry of a criterion counts."""
+    last = F.transform(criteria, lambda c: F.try_element_at(
+        F.filter(scores, lambda s: s["criterion_id"] == c["criterion_id"]), F.lit(-1)))
+    return F.transform(F.filter(last, lambda s: s.isNotNull()), lambda s: F.struct(
+        s["criterion_id"].cast("bigint").alias("criterion_id"), s["score"].cast("double").alias("score"),
+        clean_comment(s["comment"]).alias("comment")))
+
+
 def weighted_score_of(scores: Column, criteria: Column, scale: Column) -> Column:
     """Weighted score of an ``array<struct<criterion_id,score,…>>`` against rubric structs."""
     by_id = F.map_from_entries(F.transform(scores, lambda s: F.struct(s["criterion_id"], s["score"])))
@@ -79,13 +104,10 @@ def sheet_problem(scores: Column, criteria: Column, scale: Column) -> Column:
     """First broken rule of one sheet held as an array, else its missing criteria, else null."""
 
     def problem(s: Column) -> Column:
-        value = s["score"].cast("double")
-        return (
-            F.when(~F.exists(criteria, lambda c: c["criterion_id"] == s["criterion_id"]),
-                   fill(V.SCORE_ERRORS["unknown"], criterion=s["criterion_id"]))
-            .when(~value.between(1, scale), fill(V.SCORE_ERRORS["range"], scale=scale))
-            .when(value * 2 != F.rint(value * 2), F.lit(V.SCORE_ERRORS["step"]))
-        )
+        return F.when(
+            ~F.exists(criteria, lambda c: c["criterion_id"] == s["criterion_id"]),
+            fill(V.SCORE_ERRORS["unknown"], criterion=s["criterion_id"]),
+        ).otherwise(score_problem(s["score"].cast("double"), scale))
 
     rows = F.filter(F.transform(scores, problem), lambda p: p.isNotNull())
     absent = F.filter(
@@ -101,15 +123,9 @@ def score_violations(assignments: DataFrame, scores: DataFrame, rubric: DataFram
     """Every score row that breaks a rule: assignment_id, ord, criterion_id, reason."""
     known = rubric.select("round_id", "criterion_id", F.lit(True).alias("known"))
     scale = rounds.select(F.col("id").alias("round_id"), "score_scale_max")
-    score = F.col("score").cast("double")
-    reason = (
-        F.when(F.col("known").isNull(), fill(V.SCORE_ERRORS["unknown"], criterion=F.col("criterion_id")))
-        .when(
-            ~score.between(1, F.col("score_scale_max")) | F.isnan(score) | score.isNull(),
-            fill(V.SCORE_ERRORS["range"], scale=F.col("score_scale_max")),
-        )
-        .when(score * 2 != F.rint(score * 2), F.lit(V.SCORE_ERRORS["step"]))
-    )
+    reason = F.when(
+        F.col("known").isNull(), fill(V.SCORE_ERRORS["unknown"], criterion=F.col("criterion_id"))
+    ).otherwise(score_problem(F.col("score").cast("double"), F.col("score_scale_max")))
     return (
         scores.join(assignments.select("assignment_id", "round_id"), "assignment_id")
         .join(known, ["round_id", "criterion_id"], "left")
@@ -157,9 +173,8 @@ def score_rejections(assignments: DataFrame, scores: DataFrame, rubric: DataFram
 def clean_scores(assignments: DataFrame, scores: DataFrame, rubric: DataFrame, rounds: DataFrame) -> DataFrame:
     """Accepted sheets, one row per criterion in rubric order, comments trimmed."""
     rejected = score_rejections(assignments, scores, rubric, rounds)
-    comment = F.substring(strip(F.coalesce(F.col("comment"), F.lit(""))), 1, 4000)
     latest = (
-        scores.withColumn("comment", comment)
+        scores.withColumn("comment", clean_comment(F.col("comment")))
         .groupBy("assignment_id", "criterion_id")
         .agg(F.max_by(F.struct("score", "comment"), "ord").alias("s"))
     )
@@ -213,10 +228,15 @@ def finalize_reviews(
     """One row per finalize request: the revision, or ``rejected`` with the reason.
 
     requests: assignment_id, decision {keep,revise}, revised_scores
-    array<struct<criterion_id,score,comment>>, reason, finalized_at.
+    array<struct<criterion_id,score,comment>>, reason, finalized_at.  A revised
+    sheet is cleaned like a submitted one before the two are compared.
+    evaluations hold their cleaned sheet in criterion_scores; reveals may hold
+    the machine's criteria in ai_criterion_scores.
     """
     scale = rounds.select(F.col("id").alias("round_id"), "score_scale_max")
     done = revisions.select("assignment_id", F.lit(True).alias("done"))
+    machine = "ai_criterion_scores" if "ai_criterion_scores" in reveals.columns else F.lit(None).alias("ai_criterion_scores")
+    shown = reveals.select("assignment_id", "ai_available", "ai_score_shown", "revealed_at", machine)
     joined = (
         requests.join(assignments.select("assignment_id", "round_id"), "assignment_id")
         .join(
@@ -225,20 +245,18 @@ def finalize_reviews(
             ),
             "assignment_id", "left",
         )
-        .join(reveals.select("assignment_id", "ai_available", "ai_score_shown", "revealed_at"), "assignment_id", "left")
+        .join(shown, "assignment_id", "left")
         .join(done, "assignment_id", "left")
         .join(rubric_by_round(rubric), "round_id")
         .join(scale, "round_id")
     )
     asked = F.col("decision") == "revise"
-    ordered = F.transform(
-        F.col("criteria"),
-        lambda c: F.try_element_at(
-            F.filter(F.col("revised_scores"), lambda s: s["criterion_id"] == c["criterion_id"]), F.lit(-1)
-        ),
-    )
+    ordered = clean_sheet(F.col("revised_scores"), F.col("criteria"))
+    stored = F.transform("criterion_scores", lambda s: F.struct(
+        s["criterion_id"].cast("bigint").alias("criterion_id"), s["score"].cast("double").alias("score"),
+        s["comment"].alias("comment")))
     given = asked & (F.coalesce(F.size("revised_scores"), F.lit(0)) > 0)
-    changed = given & (F.col("sheet") != F.col("criterion_scores"))
+    changed = given & ~F.col("sheet").eqNullSafe(F.col("stored"))
     rejected = (
         F.when(F.col("human_initial_score").isNull(), V.FINALIZE_ERRORS["no_evaluation"])
         .when(F.col("revealed_at").isNull(), V.FINALIZE_ERRORS["no_reveal"])
@@ -247,7 +265,8 @@ def finalize_reviews(
         .when(asked, sheet_problem(F.col("revised_scores"), F.col("criteria"), F.col("score_scale_max")))
     )
     staged = (
-        joined.withColumn("sheet", F.when(given, ordered).otherwise(F.col("criterion_scores")))
+        joined.withColumn("stored", stored)
+        .withColumn("sheet", F.when(given, ordered).otherwise(F.col("stored")))
         .withColumn("rejected", rejected)
         .withColumn("changed", F.coalesce(changed, F.lit(False)))
         .withColumn("ai_score", F.when(F.col("ai_available"), F.col("ai_score_shown")))
@@ -269,6 +288,9 @@ def finalize_reviews(
         F.when(ok, F.col("ai_score")).alias("ai_score"),
         F.when(ok, F.col("human_revised_score")).alias("human_revised_score"),
         F.when(ok, strip(F.col("reason"))).alias("revision_reason"),
+        F.when(ok, F.col("stored")).alias("initial_criterion_scores"),
+        F.when(ok, F.col("sheet")).alias("revised_criterion_scores"),
+        F.when(ok & F.col("ai_available"), F.col("ai_criterion_scores")).alias("ai_criterion_scores"),
         *[F.when(ok, c).alias(k) for k, c in metrics.items()],
         F.when(ok, round_half_even(elapsed_seconds(F.col("revealed_at"), F.col("finalized_at")))).alias(
             "seconds_since_reveal"

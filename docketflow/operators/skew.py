@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Positions of a block, then blocks of a block of the next level; above the last a few rows are left.
+LEVELS = (1 << 12, 1 << 20, 1 << 20)
 SALTS = 64
 
 
 def running_total(
-    df: DataFrame, keys: list[str], position: str, values: dict[str, Column], block: int = BLOCK
+    df: DataFrame, keys: list[str], position: str, values: dict[str, Column], levels: tuple[int, ...] = LEVELS
 ) -> DataFrame:
     """Add, for each entry of ``values``, its sum over earlier positions of the same group.
 
-    ``position`` is an integer that is unique within a group.  A plain window
-    over the group would sort all of it in one task.  Instead positions are cut
-    into blocks: block totals are pre-aggregated, their prefix sums are taken on
-    the small table of blocks, and the window inside a block sees at most
-    ``block`` rows.
+    ``position`` is a 64-bit integer that is unique within a group.  A plain
+    window over the group would sort all of it in one task.  Instead positions
+    are cut into blocks: block totals are pre-aggregated, their prefix sums are
+    the same task one level up, and the window inside a block sees at most as
+    many rows as the level allows.  That holds however sparse the positions
+    are: with positions far apart a block holds few rows, and the levels above
+    bring them together.
     """
     names = list(values)
+    block, above = levels[0], levels[1:]
     staged = df.withColumn("_block", F.floor(F.col(position) / block)).withColumns(
         {f"_v_{n}": v.cast("bigint") for n, v in values.items()}
     )
@@ -28,10 +32,15 @@ def running_total(
     inside = Window.partitionBy(*keys, "_block").orderBy(position).rowsBetween(unbounded, -1)
     across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(unbounded, -1)
     zero = F.lit(0)
-    totals = staged.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])
-    offsets = totals.select(
-        *keys, "_block", *[F.coalesce(F.sum(f"_v_{n}").over(across), zero).alias(f"_b_{n}") for n in names]
-    )
+    totals = staged.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    if above:
+        upper = totals.withColumnRenamed("_block", "_at")
+        offsets = running_total(upper, keys, "_at", {f"_b_{n}": F.col(f"_t_{n}") for n in names}, above).select(
+            *keys, F.col("_at").alias("_block"), *[f"_b_{n}" for n in names])
+    else:
+        offsets = totals.select(
+            *keys, "_block", *[F.coalesce(F.sum(f"_t_{n}").over(across), zero).alias(f"_b_{n}") for n in names]
+        )
     return (
         staged.withColumns({f"_i_{n}": F.coalesce(F.sum(f"_v_{n}").over(inside), zero) for n in names})
         .join(offsets, [*keys, "_block"])

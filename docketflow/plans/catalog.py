@@ -30,12 +30,15 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def read_spread(spark: SparkSession, folder: str, table: str, key: str) -> DataFrame:
+SPREAD = "docketflow.spread"
+
+
+def read_spread(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A table whose rows are costly to process.
 
-    A handful of files would leave most cores idle, so such an input is spread
-    by its key; a table of many files is read as it is.
+    It is read as it is stored.  Who keeps a table in one small file sets
+    ``docketflow.spread`` to the number of parts its rows are to be dealt to.
     """
     df = read(spark, folder, table)
-    slots = spark.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if len(df.inputFiles()) < slots else df
+    parts = spark.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts else df

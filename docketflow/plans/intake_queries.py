@@ -21,7 +21,7 @@ BULLETS = "' •-–—*' || chr(9)"
 
 
 def _docs(spark, folder):
-    return read_spread(spark, folder, "documents", "doc_id")
+    return read_spread(spark, folder, "documents")
 
 
 # --- text functions on whole documents -------------------------------------
@@ -118,37 +118,37 @@ def url_hosts(spark, folder):
     links = F.concat(extra, F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
     host = text.url_host(F.col("link"))
     return (
-        read_spread(spark, folder, "pages", "page_id").select("page_id", F.explode(links).alias("link"))
+        read_spread(spark, folder, "pages").select("page_id", F.explode(links).alias("link"))
         .select("page_id", "link", host.alias("host"), text.is_video_host(host).alias("video"))
         .groupBy("page_id", "link", "host", "video").agg(F.count("*").alias("n"))
     )
 
 
-_FIRST = "string_split(text, chr(10))[1]"
-_CLAIM = f"CASE doc_id % 3 WHEN 0 THEN 'Goals : ' WHEN 1 THEN 'target:  ' ELSE '' END || {_FIRST}"
+#: Every sentence of every document, with a prefix or an ending by its place so that each rule has work.
+_SENTENCES = f"(SELECT doc_id, sno, s FROM (SELECT doc_id, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) - 1 AS sno FROM documents))"
+_CLAIM = "CASE (doc_id + sno) % 3 WHEN 0 THEN 'Goals : ' WHEN 1 THEN 'target:  ' ELSE '' END || s"
 
 
-def _first_line(spark, folder):
-    prefix = F.expr("CASE doc_id % 3 WHEN 0 THEN 'Goals : ' WHEN 1 THEN 'target:  ' ELSE '' END")
-    return _docs(spark, folder).select(
-        "doc_id", F.concat(prefix, F.split("text", "\n")[0]).alias("claim"), F.split("text", "\n")[0].alias("first"))
+def _sentences(spark, folder):
+    return _docs(spark, folder).select("doc_id", F.posexplode(text.split_sentences(F.col("text"))).alias("sno", "s"))
 
 
 _BARE_CLAIM = "regexp_replace(regexp_replace(trim(c), '[.]+$', ''), '(?i)" + V.GOAL_PREFIX_PATTERN + "', '')"
 
 
-@CATALOG.query("txt10_short_claim", f"SELECT doc_id, {cut(_BARE_CLAIM, 70)} AS short FROM (SELECT doc_id, {_CLAIM} AS c FROM documents)")
+@CATALOG.query("txt10_short_claim", f"SELECT doc_id, sno, {cut(_BARE_CLAIM, 70)} AS short FROM (SELECT doc_id, sno, {_CLAIM} AS c FROM {_SENTENCES})")
 def short_claim(spark, folder):
-    return _first_line(spark, folder).select("doc_id", text.short_claim(F.col("claim")).alias("short"))
+    claim = F.concat(F.expr("CASE (doc_id + sno) % 3 WHEN 0 THEN 'Goals : ' WHEN 1 THEN 'target:  ' ELSE '' END"), F.col("s"))
+    return _sentences(spark, folder).select("doc_id", "sno", text.short_claim(claim).alias("short"))
 
 
 _W = "split_part(f, ' ', 1)"
 
 
-@CATALOG.query("txt11_lower_first", f"""SELECT doc_id, CASE WHEN {_W} IN ('A', 'An', 'The') OR (length({_W}) > 1 AND substr({_W}, 2) = lower(substr({_W}, 2)) AND regexp_matches(substr({_W}, 2), '\\pL')
-  AND NOT contains(left({_W}, 3), '-')) THEN lower(left(f, 1)) || substr(f, 2) ELSE f END AS lowered FROM (SELECT doc_id, {_FIRST} AS f FROM documents)""")
+@CATALOG.query("txt11_lower_first", f"""SELECT doc_id, sno, CASE WHEN {_W} IN ('A', 'An', 'The') OR (length({_W}) > 1 AND substr({_W}, 2) = lower(substr({_W}, 2)) AND regexp_matches(substr({_W}, 2), '\\pL')
+  AND NOT contains(left({_W}, 3), '-')) THEN lower(left(f, 1)) || substr(f, 2) ELSE f END AS lowered FROM (SELECT doc_id, sno, s AS f FROM {_SENTENCES})""")
 def lower_first(spark, folder):
-    return _first_line(spark, folder).select("doc_id", text.lower_first(F.col("first")).alias("lowered"))
+    return _sentences(spark, folder).select("doc_id", "sno", text.lower_first(F.col("s")).alias("lowered"))
 
 
 @CATALOG.query("txt12_join_labels", """WITH l AS (SELECT l_orderkey, list('Slide ' || l_linenumber ORDER BY l_linenumber) AS d FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1)
@@ -165,16 +165,16 @@ def page_labels(spark, folder):
         "conv_id", "turn", text.page_label(page).alias("label"), text.unit_key(page).alias("unit_key"))
 
 
-_S14 = f"{_FIRST} || CASE doc_id % 4 WHEN 0 THEN ' uses low-power Sensors.' WHEN 1 THEN ' hardware' WHEN 2 THEN ' flies drones ' ELSE '' END"
+_S14 = "s || CASE (doc_id + sno) % 4 WHEN 0 THEN ' uses low-power Sensors.' WHEN 1 THEN ' hardware' WHEN 2 THEN ' flies drones ' ELSE '' END"
 
 
-@CATALOG.query("txt14_dependency_phrase", f"""SELECT doc_id, coalesce(nullif(lower(trim(regexp_extract(regexp_replace(s, '[À-ÖØ-öø-ſ]', 'x', 'g'), {quote('(?i)' + V.HARDWARE_PHRASE)}, 0))), ''), 'custom hardware') AS hardware,
-  '“' || {cut("regexp_replace(s, '[.]+$', '')", 90)} || '”' AS quoted FROM (SELECT doc_id, {_S14} AS s FROM documents)""")
+@CATALOG.query("txt14_dependency_phrase", f"""SELECT doc_id, sno, coalesce(nullif(lower(trim(regexp_extract(regexp_replace(s, '[À-ÖØ-öø-ſ]', 'x', 'g'), {quote('(?i)' + V.HARDWARE_PHRASE)}, 0))), ''), 'custom hardware') AS hardware,
+  '“' || {cut("regexp_replace(s, '[.]+$', '')", 90)} || '”' AS quoted FROM (SELECT doc_id, sno, {_S14} AS s FROM {_SENTENCES})""")
 def dependency_phrase(spark, folder):
-    tail = F.expr("CASE doc_id % 4 WHEN 0 THEN ' uses low-power Sensors.' WHEN 1 THEN ' hardware' WHEN 2 THEN ' flies drones ' ELSE '' END")
-    s = F.concat(F.col("first"), tail)
+    tail = F.expr("CASE (doc_id + sno) % 4 WHEN 0 THEN ' uses low-power Sensors.' WHEN 1 THEN ' hardware' WHEN 2 THEN ' flies drones ' ELSE '' END")
+    s = F.concat(F.col("s"), tail)
     hardware = F.regexp_replace(text.dependency_phrase("hardware", F.regexp_replace(s, "[À-ÖØ-öø-ſ]", "x")), "", "")
-    return _first_line(spark, folder).select("doc_id", hardware.alias("hardware"), text.dependency_phrase("integration", s).alias("quoted"))
+    return _sentences(spark, folder).select("doc_id", "sno", hardware.alias("hardware"), text.dependency_phrase("integration", s).alias("quoted"))
 
 
 _MIN = "CASE WHEN value IS NULL THEN '—' WHEN value < 1 THEN '<1 min' WHEN value < 60 THEN CAST(floor(value + 0.5) AS BIGINT) || ' min' ELSE CAST(floor(value / 60) AS BIGINT) || ' h ' || CAST(floor(value % 60 + 0.5) AS BIGINT) || ' min' END"
@@ -215,7 +215,7 @@ def code_labels(spark, folder):
 @CATALOG.query("txt16_best_window_scores")
 def best_window_scores(spark, folder):
     """Each turn's lines against the same turn; every fourth turn has lost each seventh character."""
-    said = read_spread(spark, folder, "conversations", "conv_id")
+    said = read_spread(spark, folder, "conversations")
     lines = F.transform(text.content_lines(F.col("text")), text.normalize)
     whole = text.normalize(F.col("text"))
     worn = F.when(F.col("turn") % 4 == 1, F.regexp_replace(whole, "(.{6}).", "$1")).otherwise(whole)
@@ -333,7 +333,7 @@ def duplicates(spark, folder):
 @CATALOG.query("src7_titles", """SELECT page_id, 'Team ' || page_id AS team_name, trim(CASE WHEN page_id % 3 = 0 THEN ' Title ' || page_id ELSE regexp_replace(left(regexp_extract(f, '([^/]*)/*$', 1), 300), '^([^/].*)[.][^./]+$', '\\1') END) AS title
 FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '/' ELSE '' END AS f FROM pages)""")
 def titles(spark, folder):
-    rows = read_spread(spark, folder, "pages", "page_id").select(
+    rows = read_spread(spark, folder, "pages").select(
         "page_id", F.expr("'  Team ' || page_id || ' '").alias("team_name"),
         F.expr("CASE WHEN page_id % 3 = 0 THEN ' Title ' || page_id || ' ' WHEN page_id % 3 = 1 THEN '' END").alias("title"),
         F.expr("url || CASE page_id % 4 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '/' ELSE '' END").alias("original_filename"))
@@ -372,7 +372,7 @@ _HTML = (
     array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x <> ''))), ' ') AS links
   FROM (SELECT *, {_HTML} AS html_text FROM pages))""")
 def units_from_pages(spark, folder):
-    rows = UN.units_from_pages(read_spread(spark, folder, "pages", "page_id"))
+    rows = UN.units_from_pages(read_spread(spark, folder, "pages"))
     return rows.select("submission_id", "title", F.md5("text").alias("text_md5"), F.array_join("links", " ").alias("links"))
 
 
@@ -381,7 +381,7 @@ _LI = """SELECT l_orderkey AS submission_id, CAST(l_linenumber % 2 + 1 AS INT) A
 
 
 def _li(spark, folder) -> DataFrame:
-    return spark.sql(to_spark(_LI).replace("FROM lineitem", "FROM {lineitem}"), lineitem=read_spread(spark, folder, "lineitem", "l_orderkey"))
+    return spark.sql(to_spark(_LI).replace("FROM lineitem", "FROM {lineitem}"), lineitem=read_spread(spark, folder, "lineitem"))
 
 
 @CATALOG.query("src9_text_assembly", f"""WITH li AS ({to_duck(_LI)}), p AS (SELECT *, CASE WHEN st = 'O' THEN CASE WHEN qty > 10 THEN flag || ' | | ' || CAST(qty AS INT) END ELSE nullif('part ' || pk, 'part 7') END AS line FROM li)
@@ -407,7 +407,7 @@ def first_line_title(spark, folder):
 @CATALOG.query("src12_links", """SELECT page_id AS submission_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x <> ''))), ' ') AS links
 FROM pages WHERE len(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x <> '')) > 0""")
 def links(spark, folder):
-    rows = read_spread(spark, folder, "pages", "page_id").select(
+    rows = read_spread(spark, folder, "pages").select(
         F.col("page_id").alias("submission_id"), F.lit(1).alias("page_number"),
         F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("uri"))
     return UN.merge_links(rows).select("submission_id", F.array_join("links", " ").alias("links"))

@@ -15,7 +15,8 @@ from docketflow.plans.catalog import read, read_spread
 from docketflow.plans.dialect import case_of, to_duck, to_spark
 
 _STATUS = (
-    "CASE WHEN (o_orderkey IDIV 3) % 4 = 0 OR o_orderstatus = 'F' THEN 'completed' "
+    "CASE WHEN o_orderkey % 31 = 5 THEN 'assigned' WHEN o_orderkey % 37 = 1 AND o_orderstatus = 'F' THEN 'submitted' "
+    "WHEN (o_orderkey IDIV 3) % 4 = 0 OR o_orderstatus = 'F' THEN 'completed' "
     "WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 'submitted' "
     "WHEN o_orderstatus = 'P' THEN 'in_progress' ELSE 'assigned' END"
 )
@@ -69,21 +70,20 @@ ENTITIES: dict[str, tuple[list[str], str]] = {
         SELECT o_orderkey AS id, o_orderkey IDIV 3 AS submission_id,
           'deck_' || CAST(o_orderkey AS STRING) || '.pdf' AS original_filename, 'pdf' AS file_type,
           {_PRICE} AS size_bytes, CAST(o_custkey % 30 + 1 AS INT) AS page_count
-        FROM orders WHERE o_orderkey % 3 < 2"""),
+        FROM orders"""),
     "analyses": (["orders"], f"""
         SELECT o_orderkey AS id, o_orderkey IDIV 3 AS submission_id,
           CASE o_orderpriority WHEN '1-URGENT' THEN 'failed' WHEN '5-LOW' THEN 'running' ELSE 'completed' END AS status,
           {_MACHINE} / {_TEN} AS ai_overall_score, 'rule-based' AS engine, '1.0' AS pipeline_version,
           CASE WHEN o_custkey % 3 = 0 THEN 'high,medium,high' WHEN o_custkey % 3 = 1 THEN 'low' ELSE '' END AS severities
-        FROM orders WHERE o_orderkey % 3 < 2"""),
+        FROM orders"""),
     "assignments": (["orders"], f"""
         SELECT o_orderkey AS assignment_id, o_orderkey IDIV 3 AS submission_id, (o_orderkey IDIV 3) % 25 AS round_id,
           o_custkey AS judge_id, status, TS(US[o_orderdate]) AS assigned_at,
           CASE WHEN status <> 'assigned' THEN TS({_OPENED}) END AS opened_at,
           CASE WHEN status IN ('submitted', 'completed') THEN TS({_SUBMITTED}) END AS submitted_at,
           CASE WHEN status = 'completed' THEN TS({_SUBMITTED} + 600000000) END AS completed_at
-        FROM (SELECT *, {_STATUS} AS status FROM orders) o
-        WHERE o_orderkey % 31 <> 5"""),
+        FROM (SELECT *, {_STATUS} AS status FROM orders) o"""),
     "evaluations": (["orders"], f"""
         SELECT o_orderkey AS assignment_id, {_INITIAL} / {_TEN} AS weighted_score,
           CASE o_orderpriority WHEN '1-URGENT' THEN 'advance' WHEN '2-HIGH' THEN 'discuss'
@@ -109,7 +109,7 @@ ENTITIES: dict[str, tuple[list[str], str]] = {
             AS revision_direction,
           CAST(540 AS DOUBLE) AS seconds_since_reveal,
           TS({_SUBMITTED} + 600000000) AS created_at
-        FROM (SELECT *, {_STATUS} AS status FROM orders) o WHERE status = 'completed' AND o_orderkey % 37 <> 1"""),
+        FROM (SELECT *, {_STATUS} AS status FROM orders) o WHERE status = 'completed'"""),
     "scores": (["lineitem"], """
         SELECT l_orderkey AS assignment_id, CAST(l_linenumber AS BIGINT) AS criterion_id, l_quantity AS score,
           l_extendedprice AS price, l_partkey, l_suppkey, US[l_shipdate] AS shipped, l_discount, l_tax,
@@ -133,7 +133,7 @@ ENTITIES: dict[str, tuple[list[str], str]] = {
 def entity(spark: SparkSession, folder: str, name: str) -> DataFrame:
     tables, sql = ENTITIES[name]
     sources = {
-        t: read_spread(spark, folder, t, "l_orderkey") if t == "lineitem" else read(spark, folder, t) for t in tables
+        t: read_spread(spark, folder, t) if t == "lineitem" else read(spark, folder, t) for t in tables
     }
     text = to_spark(sql)
     for t in tables:

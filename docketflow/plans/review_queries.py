@@ -141,60 +141,92 @@ def shift_metrics(spark, folder):
 
 
 def _finalize_inputs(spark, folder):
-    """Finalize requests over every assignment: sheets from the line items."""
+    """A finalize request for every assignment: revised sheets from its line items.
+
+    Line numbers beyond the rubric are folded into it except for every seventh
+    assignment; comments come padded, null, equal and changed, scores null,
+    moved and unchanged.
+    """
     rounds, rubric, asg, scores, evals, reveals = _get(
         spark, folder, "rounds", "rubric", "assignments", "scores", "evaluations", "reveals"
     )
-    latest = S.latest_scores(scores).filter("criterion_id <= 5")
-    sheet = F.sort_array(F.collect_list(F.struct("criterion_id", "score", F.lit("").alias("comment"))))
-    sheets = latest.groupBy("assignment_id").agg(sheet.alias("sheet"), F.count("*").alias("n")).filter("n = 5")
-    moved = F.transform("sheet", lambda s: F.struct(
-        s["criterion_id"].alias("criterion_id"),
-        F.when((s["criterion_id"] == 4) & (s["score"] > 5), s["score"] - F.col("step")).otherwise(s["score"])
-        .alias("score"),
-        s["comment"].alias("comment"),
-    ))
-    base = sheets.withColumn("step", (F.col("assignment_id") % 3).cast("double"))
-    weighted = S.weighted_score(asg, scores.filter("criterion_id <= 5"), rubric, rounds)
-    evaluations = (
-        evals.select("assignment_id").join(sheets, "assignment_id").join(weighted, "assignment_id")
-        .select("assignment_id", F.col("sheet").alias("criterion_scores"), "weighted_score")
+    of = F.col("assignment_id")
+    rows = S.latest_scores(scores).select(
+        "assignment_id", F.col("criterion_id").alias("raw"), "score",
+        F.when(of % 7 == 0, F.col("criterion_id")).otherwise((F.col("criterion_id") - 1) % 5 + 1).alias("criterion_id"),
+        F.when(of % 5 == 2, "").otherwise("ok").alias("held_comment"),
+        F.when((of % 23 == 0) & (F.col("criterion_id") == 2), F.lit(None))
+        .when((F.col("criterion_id") == 4) & (F.col("score") > 5), F.col("score") - of % 3)
+        .otherwise(F.col("score")).cast("double").alias("new_score"),
+        F.when(of % 5 == 0, " ok ").when(of % 5 == 2, F.lit(None)).when(of % 5 == 4, "changed").otherwise("ok").alias("new_comment"),
+    )
+    lists = F.sort_array(F.collect_list(F.struct(
+        "raw", "criterion_id", "score", "held_comment", "new_score", "new_comment")))
+    sheets = rows.groupBy("assignment_id").agg(lists.alias("all"))
+    revised = F.transform("all", lambda s: F.struct(
+        s["criterion_id"].alias("criterion_id"), s["new_score"].alias("score"), s["new_comment"].alias("comment")))
+    held = F.transform("all", lambda s: F.struct(
+        s["criterion_id"].alias("criterion_id"), s["score"].alias("score"), s["held_comment"].alias("comment")))
+    held_in_order = (
+        sheets.join(asg.select("assignment_id", "round_id"), "assignment_id")
+        .join(S.rubric_by_round(rubric), "round_id")
+        .select("assignment_id", S.clean_sheet(held, F.col("criteria")).alias("criterion_scores"))
     )
-    requests = base.join(asg.select("assignment_id", "submitted_at", "assigned_at"), "assignment_id").select(
+    evaluations = evals.select("assignment_id", "weighted_score").join(held_in_order, "assignment_id", "left")
+    machine = sheets.select("assignment_id", F.transform("all", lambda s: F.struct(
+        s["raw"].alias("criterion_id"), (s["score"] / 5).alias("score"))).alias("ai_criterion_scores"))
+    requests = asg.join(sheets, "assignment_id", "left").select(
         "assignment_id",
-        F.when(F.col("assignment_id") % 2 == 0, "revise").otherwise("keep").alias("decision"),
-        F.when(F.col("assignment_id") % 10 != 0, moved).alias("revised_scores"),
+        F.when(of % 2 == 0, "revise").otherwise("keep").alias("decision"),
+        F.when(of % 10 != 0, revised).alias("revised_scores"),
         F.lit(" why ").alias("reason"),
         (F.coalesce("submitted_at", "assigned_at") + F.expr("INTERVAL 75 SECOND")).alias("finalized_at"),
     )
-    done = entity(spark, folder, "revisions").filter("assignment_id % 5 = 0").select("assignment_id")
-    return requests, evaluations, reveals, done, asg, rubric, rounds
-
-
-_FINALIZE = _WEIGHTED + f""",
-sheets AS (SELECT assignment_id, count(*) AS n, max(CASE WHEN criterion_id = 4 THEN score END) AS s4
-  FROM latest WHERE criterion_id <= 5 GROUP BY 1 HAVING count(*) = 5),
-joined AS (SELECT s.*, a.round_id, a.submitted_at, a.assigned_at, w.weighted_score, e.assignment_id AS has_eval,
-    v.revealed_at, v.ai_available, v.ai_score_shown, d.assignment_id AS done,
-    s.assignment_id % 2 = 0 AS asked, s.assignment_id % 10 <> 0 AS given,
-    CASE WHEN s.s4 > 5 THEN s.assignment_id % 3 ELSE 0 END AS step
-  FROM sheets s JOIN assignments a USING (assignment_id) JOIN weighted w USING (assignment_id)
-  LEFT JOIN evaluations e USING (assignment_id) LEFT JOIN reveals v USING (assignment_id)
-  LEFT JOIN (SELECT assignment_id FROM revisions WHERE assignment_id % 5 = 0) d USING (assignment_id)),
-moved AS (SELECT *, asked AND given AND step <> 0 AS changed,
-    CASE WHEN has_eval IS NULL THEN 'Submit your evaluation first.'
+    done = entity(spark, folder, "revisions").filter("ai_score is null").select("assignment_id")
+    return requests, evaluations, reveals.join(machine, "assignment_id", "left"), done, asg, rubric, rounds
+
+
+_FINALIZE = _LATEST_SCORES + f""",
+raws AS (SELECT assignment_id, criterion_id AS raw, score, CASE WHEN assignment_id % 7 = 0 THEN criterion_id ELSE (criterion_id - 1) % 5 + 1 END AS cid,
+    CASE WHEN assignment_id % 5 = 2 THEN '' ELSE 'ok' END AS held_comment,
+    CASE WHEN assignment_id % 23 = 0 AND criterion_id = 2 THEN NULL WHEN criterion_id = 4 AND score > 5 THEN score - assignment_id % 3 ELSE score END AS new_score,
+    CASE WHEN assignment_id % 5 = 2 THEN '' WHEN assignment_id % 5 = 4 THEN 'changed' ELSE 'ok' END AS new_comment FROM latest),
+judged AS (SELECT w.*, a.round_id, r.weight, r.position, r.name,
+    CASE WHEN r.criterion_id IS NULL THEN 'Unknown criterion ' || w.cid
+      WHEN w.new_score IS NULL OR NOT (w.new_score BETWEEN 1 AND 50) THEN 'Scores must be between 1 and 50'
+      WHEN w.new_score * 2 <> round(w.new_score * 2) THEN 'Scores must be whole or half points' END AS problem
+  FROM raws w JOIN assignments a USING (assignment_id) LEFT JOIN rubric r ON r.round_id = a.round_id AND r.criterion_id = w.cid),
+firsts AS (SELECT assignment_id, arg_min(problem, raw) FILTER (WHERE problem IS NOT NULL) AS row_problem, list(DISTINCT cid) AS cids FROM judged GROUP BY 1),
+lasts AS (SELECT assignment_id, cid, position, weight, arg_max({{'s': score, 'c': held_comment, 'n': new_score, 'm': new_comment}}, raw) AS e
+  FROM judged WHERE position IS NOT NULL GROUP BY ALL),
+lists AS (SELECT assignment_id, string_agg(cid || '|' || CAST(e.s AS DOUBLE) || '|' || e.c, ';' ORDER BY position) AS held,
+    string_agg(cid || '|' || coalesce(CAST(CAST(e.n AS DOUBLE) AS STRING), '') || '|' || e.m, ';' ORDER BY position) AS revised,
+    sum(weight * (e.n / 50) ORDER BY position) AS value FROM lasts GROUP BY 1),
+machine AS (SELECT assignment_id, string_agg(criterion_id || '|' || CAST(score / 5 AS DOUBLE), ';' ORDER BY criterion_id) AS ai_list FROM latest GROUP BY 1),
+absent AS (SELECT a.assignment_id, string_agg(r.name, ', ' ORDER BY r.position) AS names FROM assignments a JOIN rubric r ON r.round_id = a.round_id
+  LEFT JOIN firsts f USING (assignment_id) WHERE NOT coalesce(list_contains(f.cids, r.criterion_id), FALSE) GROUP BY 1),
+joined AS (SELECT a.assignment_id, a.round_id, e.weighted_score, v.revealed_at, v.ai_available, v.ai_score_shown, d.assignment_id AS done,
+    a.assignment_id % 2 = 0 AS asked, a.assignment_id % 10 <> 0 AND f.assignment_id IS NOT NULL AS given,
+    coalesce(f.row_problem, 'Please score every criterion (missing: ' || b.names || ')') AS problem, l.held, l.revised, l.value, m.ai_list
+  FROM assignments a LEFT JOIN evaluations e USING (assignment_id) LEFT JOIN reveals v USING (assignment_id)
+  LEFT JOIN (SELECT assignment_id FROM revisions WHERE ai_score IS NULL) d USING (assignment_id)
+  LEFT JOIN firsts f USING (assignment_id) LEFT JOIN lists l USING (assignment_id) LEFT JOIN absent b USING (assignment_id)
+  LEFT JOIN machine m USING (assignment_id)),
+checked AS (SELECT *, CASE WHEN weighted_score IS NULL THEN 'Submit your evaluation first.'
       WHEN revealed_at IS NULL THEN 'Review the AI assessment before finishing.'
       WHEN done IS NOT NULL THEN 'This evaluation is already complete.'
-      WHEN asked AND NOT given THEN 'Provide revised scores.' END AS rejected,
-    CASE WHEN ai_available THEN ai_score_shown END AS ai FROM joined),
-total AS (SELECT m.*, CASE WHEN changed THEN (SELECT {duck_round('''100 * sum(r.weight * ((l.score - CASE WHEN l.criterion_id = 4 THEN m.step ELSE 0 END) / 50)) / sum(r.weight)''')}
-    FROM latest l JOIN rubric r ON r.round_id = m.round_id AND r.criterion_id = l.criterion_id
-    WHERE l.assignment_id = m.assignment_id) ELSE weighted_score END AS revised FROM moved m),
-diffs AS (SELECT *, {duck_round('revised - weighted_score')} AS dr, {duck_round('ai - weighted_score')} AS da FROM total)
+      WHEN asked AND NOT given THEN 'Provide revised scores.' WHEN asked THEN problem END AS rejected,
+    CASE WHEN ai_available THEN ai_score_shown END AS ai, asked AND given AND held <> revised AS changed FROM joined),
+total AS (SELECT c.*, CASE WHEN changed THEN {duck_round('100 * value / (SELECT sum(weight) FROM rubric q WHERE q.round_id = c.round_id)')}
+    ELSE weighted_score END AS final FROM checked c),
+diffs AS (SELECT *, {duck_round('final - weighted_score')} AS dr, {duck_round('ai - weighted_score')} AS da FROM total)
 SELECT assignment_id, rejected, CASE WHEN rejected IS NULL THEN CASE WHEN changed THEN 'revised' ELSE 'kept' END END AS decision,
   CASE WHEN rejected IS NULL THEN weighted_score END AS human_initial_score,
-  CASE WHEN rejected IS NULL THEN ai END AS ai_score, CASE WHEN rejected IS NULL THEN revised END AS human_revised_score,
+  CASE WHEN rejected IS NULL THEN ai END AS ai_score, CASE WHEN rejected IS NULL THEN final END AS human_revised_score,
   CASE WHEN rejected IS NULL THEN 'why' END AS revision_reason,
+  CASE WHEN rejected IS NULL THEN coalesce(held, '') END AS initial_list,
+  CASE WHEN rejected IS NULL THEN coalesce(CASE WHEN asked AND given THEN revised ELSE held END, '') END AS revised_list,
+  CASE WHEN rejected IS NULL AND ai_available THEN coalesce(ai_list, '') END AS ai_list,
   CASE WHEN rejected IS NULL THEN da END AS initial_to_ai_difference,
   CASE WHEN rejected IS NULL THEN dr END AS initial_to_revised_difference,
   CASE WHEN rejected IS NULL THEN CASE WHEN ai IS NULL THEN 'ai_unavailable' WHEN dr = 0 THEN 'no_change'
@@ -203,10 +235,22 @@ SELECT assignment_id, rejected, CASE WHEN rejected IS NULL THEN CASE WHEN change
 FROM diffs"""
 
 
+def _listed(scores: str, *fields: str):
+    """A sheet as text."""
+    part = F.transform(scores, lambda s: F.concat_ws("|", *[F.coalesce(s[f].cast("string"), F.lit("")) for f in fields]))
+    return F.array_join(part, ";")
+
+
 @CATALOG.query("sco4_finalize_reviews", duck_entities(
     "rubric", "assignments", "scores", "evaluations", "reveals", "revisions").rstrip() + "," + _FINALIZE)
 def finalize(spark, folder):
-    return S.finalize_reviews(*_finalize_inputs(spark, folder))
+    done = S.finalize_reviews(*_finalize_inputs(spark, folder))
+    ok = F.col("rejected").isNull()
+    return done.withColumns({
+        "initial_list": F.when(ok, F.coalesce(_listed("initial_criterion_scores", "criterion_id", "score", "comment"), F.lit(""))),
+        "revised_list": F.when(ok, F.coalesce(_listed("revised_criterion_scores", "criterion_id", "score", "comment"), F.lit(""))),
+        "ai_list": F.when(ok & F.col("ai_score").isNotNull(), F.coalesce(_listed("ai_criterion_scores", "criterion_id", "score"), F.lit(""))),
+    }).drop("initial_criterion_scores", "revised_criterion_scores", "ai_criterion_scores")
 
 
 @CATALOG.query("sco5_review_minutes", duck_entities("assignments", "reveals", "revisions") + f"""
@@ -255,15 +299,15 @@ def draft_total(spark, folder):
 
 
 @CATALOG.query("sco9_compare_criteria", duck_entities("scores").rstrip() + "," + _LATEST_SCORES + """,
-own AS (SELECT * FROM latest), ai AS (SELECT assignment_id, criterion_id, score / 5 AS s FROM latest WHERE criterion_id % 3 <> 0),
-rev AS (SELECT assignment_id, criterion_id, score + assignment_id % 2 AS s FROM latest WHERE assignment_id % 4 <> 0)
+own AS (SELECT * FROM latest), ai AS (SELECT assignment_id, criterion_id, CASE WHEN criterion_id % 3 <> 0 THEN score / 5 END AS s FROM latest),
+rev AS (SELECT assignment_id, criterion_id, CASE WHEN assignment_id % 4 <> 0 THEN score + assignment_id % 2 END AS s FROM latest)
 SELECT o.assignment_id, o.criterion_id, o.score AS own_score, a.s AS ai_score, r.s AS revised_score,
   a.s - o.score AS difference, coalesce(r.s <> o.score, FALSE) AS changed
 FROM own o LEFT JOIN ai a USING (assignment_id, criterion_id) LEFT JOIN rev r USING (assignment_id, criterion_id)""")
 def compare(spark, folder):
     own = S.latest_scores(entity(spark, folder, "scores"))
-    machine = own.filter("criterion_id % 3 <> 0").withColumn("score", F.col("score") / 5)
-    revised = own.filter("assignment_id % 4 <> 0").withColumn("score", F.col("score") + F.col("assignment_id") % 2)
+    machine = own.withColumn("score", F.when(F.col("criterion_id") % 3 != 0, F.col("score") / 5))
+    revised = own.withColumn("score", F.when(F.col("assignment_id") % 4 != 0, F.col("score") + F.col("assignment_id") % 2))
     return S.compare_criteria(own, machine, revised)
 
 
@@ -280,11 +324,18 @@ def auto_assign_empty(spark, folder):
     return A.auto_assign_empty(*_get(spark, folder, "rounds", "submissions", "users"))
 
 
-@CATALOG.query("asg1_auto_assign_loaded")
-def auto_assign_loaded(spark, folder):
-    rounds, subs, users, asg = _get(spark, folder, "rounds", "submissions", "users", "assignments")
-    held = asg.filter("assignment_id % 4 < 2").select("round_id", "submission_id", "judge_id").distinct()
-    return A.auto_assign(rounds, subs, users, held)
+@CATALOG.query("asg1_auto_assign_chosen", duck_entities("rounds", "submissions", "users") + """
+, j AS (SELECT organization_id, id AS judge_id, row_number() OVER (PARTITION BY organization_id ORDER BY id) - 1 AS idx,
+    count(*) OVER (PARTITION BY organization_id) AS n FROM users WHERE role = 'judge' AND is_active AND title IN ('BUILDING', 'MACHINERY')),
+s AS (SELECT s.round_id, s.id AS submission_id, r.organization_id, 2 AS per,
+    row_number() OVER (PARTITION BY s.round_id ORDER BY s.id) - 1 AS place FROM submissions s JOIN rounds r ON r.id = s.round_id)
+SELECT s.round_id, s.submission_id, j.judge_id FROM s, unnest(range(10)) t(k), j
+WHERE j.organization_id = s.organization_id AND t.k < least(s.per, j.n) AND j.idx = (s.place * s.per + t.k) % j.n""")
+def auto_assign_chosen(spark, folder):
+    """Two seats per submission for the judges of two trades."""
+    rounds, subs, users = _get(spark, folder, "rounds", "submissions", "users")
+    chosen = users.filter("title in ('BUILDING', 'MACHINERY')").select(F.col("id").alias("judge_id"))
+    return A.auto_assign_empty(rounds, subs, users, chosen, 2)
 
 
 def _manual_requests(spark, folder):
@@ -414,10 +465,13 @@ UNION ALL SELECT round_id, id, team_name, 'unassigned', 'No judges assigned yet
 
 def _attention(spark, folder):
     subs, asg, ana = _get(spark, folder, "submissions", "assignments", "analyses")
-    return R.attention_list(subs, asg.filter("submission_id % 10 <> 3"), ana)
+    # the judges of every tenth submission sit on the one before it, so that some have none
+    moved = F.when(F.col("submission_id") % 10 == 3, F.col("submission_id") - 1).otherwise(F.col("submission_id"))
+    return R.attention_list(subs, asg.withColumn("submission_id", moved), ana)
 
 
-_ATTENTION = _ATTENTION.replace("FROM assignments GROUP BY 1)", "FROM assignments WHERE submission_id % 10 <> 3 GROUP BY 1)")
+_ATTENTION = _ATTENTION.replace("FROM assignments GROUP BY 1)", """FROM (
+  SELECT * REPLACE (CASE WHEN submission_id % 10 = 3 THEN submission_id - 1 ELSE submission_id END AS submission_id) FROM assignments) GROUP BY 1)""")
 
 
 @CATALOG.query("rep6_attention_list", _ATTENTION + "SELECT * FROM attention")

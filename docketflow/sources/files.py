@@ -121,7 +121,7 @@ def check_page_limit(units: DataFrame, submissions: DataFrame, rounds: DataFrame
     pages = units.groupBy("submission_id").agg(F.count("*").alias("page_count"))
     limits = rounds.select(
         F.col("id").alias("round_id"),
-        F.least(F.coalesce("max_pages", F.lit(V.MAX_PAGES_DEFAULT)), F.lit(V.MAX_PAGES_BOUND)).alias("max_pages"),
+        F.coalesce("max_pages", F.lit(V.MAX_PAGES_DEFAULT)).alias("max_pages"),
     )
     return (
         pages.join(submissions.select(F.col("id").alias("submission_id"), "round_id"), "submission_id")

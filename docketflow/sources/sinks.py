@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def json_documents(documents: DataFrame, column: str) -> DataFrame:
+    """submission_id, value: a JSON object of the submission_id and the struct ``column``, nested."""
+    value = F.to_json(F.struct("submission_id", F.col(column).alias(column)))
+    return documents.select("submission_id", value.alias("value"))
+
+
 def write_json_documents(documents: DataFrame, column: str, path: str) -> None:
-    """One JSON document per line: submission_id and the struct ``column``."""
-    documents.select("submission_id", F.to_json(column).alias("value")).select(
-        F.to_json(F.struct("submission_id", F.col("value").alias(column))).alias("value")
-    ).write.mode("overwrite").text(path)
+    """One JSON document per line."""
+    json_documents(documents, column).select("value").write.mode("overwrite").text(path)
 
 
 def write_shift_csv(dataset: DataFrame, path: str) -> None:

@@ -69,27 +69,18 @@ def reviewer_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1
     )
 
 
-def review_durations(events: DataFrame, late: str = "1 hour", longest: str = "14 days") -> DataFrame:
-    """Minutes from opening to submission, by a bounded stream-stream join.
+def review_durations(events: DataFrame) -> DataFrame:
+    """Minutes from the first opening to the first submission (update or complete mode).
 
-    Both sides carry a watermark and the time condition bounds how long either
-    is remembered.
+    However long a review takes, two times per assignment are all that is
+    remembered, and both are minima, so the order of arrival does not matter.
     """
-    opened = (
-        events.filter("action = 'review.opened'")
-        .select(F.col("entity_id").alias("assignment_id"), F.col("created_at").alias("opened_at"))
-        .withWatermark("opened_at", late)
-    )
-    submitted = (
-        events.filter("action = 'evaluation.submitted'")
-        .select(F.col("entity_id").alias("submitted_id"), F.col("created_at").alias("submitted_at"))
-        .withWatermark("submitted_at", late)
-    )
-    within = F.expr(
-        f"submitted_id = assignment_id AND submitted_at >= opened_at AND submitted_at <= opened_at + INTERVAL {longest}"
+    first = {"opened_at": "review.opened", "submitted_at": "evaluation.submitted"}
+    times = events.filter(F.col("action").isin(*first.values())).groupBy(F.col("entity_id").alias("assignment_id")).agg(
+        *[F.min(F.when(F.col("action") == action, F.col("created_at"))).alias(name) for name, action in first.items()]
     )
     minutes = (F.unix_micros("submitted_at") - F.unix_micros("opened_at")) / 6e7
-    return opened.join(submitted, within).select("assignment_id", "opened_at", "submitted_at", minutes.alias("review_minutes"))
+    return times.filter("opened_at is not null and submitted_at is not null").withColumn("review_minutes", minutes)
 
 
 def read_upload_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -100,34 +91,44 @@ def read_upload_stream(spark: SparkSession, path: str, files_per_trigger: int =
     )
 
 
+DIGEST_COLUMNS = "submission_id bigint, round_id bigint, path string, size_bytes bigint, sha256 string, bucket int, batch bigint"
+
+
+def mark_arrivals(fresh: DataFrame, known: DataFrame) -> DataFrame:
+    """``fresh`` digests with duplicate_of: the first equal content of the round, earlier digests included.
+
+    Of the known ones only those whose content arrives again take part.
+    """
+    again = known.join(fresh.select("round_id", "sha256").distinct(), ["round_id", "sha256"], "left_semi")
+    both = fresh.withColumn("_new", F.lit(True)).unionByName(again.withColumn("_new", F.lit(False)))
+    return duplicates(both).filter("_new").drop("_new", "_n")
+
+
 def intake_batches(
-    uploads: DataFrame, known_path: str, checkpoint: str, describe: Callable[[DataFrame], DataFrame]
+    uploads: DataFrame, store_path: str, checkpoint: str, describe: Callable[[DataFrame], DataFrame], buckets: int = 256
 ) -> DataStreamWriter:
     """Digest new files and mark those whose content the round already holds.
 
-    ``describe`` adds submission_id and round_id to a batch.  Each batch is
-    compared with the digests of all earlier ones and stored under its own
-    number, so a repeated batch replaces itself.
+    ``describe`` adds submission_id and round_id to a batch.  A batch reads its
+    files once: their digests go to ``store_path``/digests in folders by a bucket
+    of the digest, and from there they are compared with the earlier digests of
+    the same buckets only.  Marked rows go to ``store_path``/marks.  Both are
+    stored under the batch's number, so a repeated batch replaces itself.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = file_digests(describe(batch)).select("submission_id", "round_id", "path", "size_bytes", "sha256")
-        try:
-            known = spark.read.parquet(known_path).filter(F.col("batch") < number)
-            known = known.select("submission_id", "round_id", "path", "size_bytes", "sha256")
-        except Exception as problem:  # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            known = fresh.limit(0)
-        # Earlier digests matter only where the same content arrives again.
-        related = known.join(fresh.select("round_id", "sha256").distinct(), ["round_id", "sha256"], "left_semi")
-        marked = duplicates(fresh.withColumn("_new", F.lit(True)).unionByName(related.withColumn("_new", F.lit(False))))
-        marked.filter("_new").drop("_new").write.mode("overwrite").parquet(f"{known_path}/batch={number}")
+        columns = ["submission_id", "round_id", "path", "size_bytes", "sha256"]
+        bucket = F.pmod(F.xxhash64("sha256"), F.lit(buckets)).cast("int")
+        file_digests(describe(batch)).select(*columns).withColumn("bucket", bucket).withColumn(
+            "batch", F.lit(number).cast("bigint")
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(
+            f"{store_path}/digests")
+        stored = spark.read.schema(DIGEST_COLUMNS).parquet(f"{store_path}/digests")
+        fresh = stored.filter(F.col("batch") == number)
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        known = stored.filter(F.col("bucket").isin(touched) & (F.col("batch") < number))
+        mark_arrivals(fresh.select(*columns), known.select(*columns)).write.mode("overwrite").parquet(
+            f"{store_path}/marks/batch={number}")
 
     return uploads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
-
-
-def distinct_uploads(digests: DataFrame, late: str = "1 day") -> DataFrame:
-    """Drop repeated content of a round within the watermark (an option of the user)."""
-    return digests.withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["round_id", "sha256"])

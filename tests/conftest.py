@@ -12,7 +12,7 @@ def spark():
 
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "8g",
+        "spark.driver.memory": "8g", "docketflow.spread": "4",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -82,7 +82,7 @@ def main() -> int:
     wanted = tuple(sys.argv[2:])
     spark = build_session("oracle", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "docketflow.spread": "8",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)

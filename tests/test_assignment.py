@@ -62,7 +62,7 @@ def test_running_total_over_blocks(spark):
     rng = random.Random(4)
     rows = [(k, p, rng.randint(0, 5)) for k in "ab" for p in rng.sample(range(5000), 900)]
     df = spark.createDataFrame(rows, "k string, p long, v int")
-    got = {(r.k, r.p): r.before for r in running_total(df, ["k"], "p", {"before": F.col("v")}, block=64).collect()}
+    got = {(r.k, r.p): r.before for r in running_total(df, ["k"], "p", {"before": F.col("v")}, levels=(64, 16)).collect()}
     for k in "ab":
         total = 0
         for _, p, v in sorted(x for x in rows if x[0] == k):
@@ -70,6 +70,23 @@ def test_running_total_over_blocks(spark):
             total += v
 
 
+def test_running_total_over_sparse_positions(spark):
+    rng = random.Random(6)
+    places = sorted({rng.choice((-1, 1)) * rng.getrandbits(rng.choice((4, 20, 62))) for _ in range(1500)})
+    df = spark.createDataFrame([("hot", p, 1) for p in places], "k string, p long, v int")
+    rows = running_total(df, ["k"], "p", {"before": F.col("v")})
+    assert [r.before for r in rows.orderBy("p").collect()] == list(range(len(places)))
+
+
+def test_chosen_judges_and_seats(spark):
+    rounds, subs, users, _ = case(random.Random(12), 0)
+    r, s, u, _ = frames(spark, rounds, subs, users, [(0, 0, 0)])
+    some = [x for x in users if x[0] % 2]
+    chosen = spark.createDataFrame([(x[0],) for x in some], "judge_id long")
+    got = sorted(tuple(x) for x in A.auto_assign_empty(r, s, u, chosen, 2).collect())
+    assert got == loop([(rid, org, 2) for rid, org, _ in rounds], subs, some, [])
+
+
 def test_salted_first_rows(spark):
     rows = [(g, i, 3 + g) for g in range(3) for i in range(200)]
     df = spark.createDataFrame(rows, "g int, i int, n int")

@@ -47,18 +47,21 @@ def test_model_stage_retries_once_then_fails(spark):
         kind = prompt.split()[0]
         if kind == "boom":
             raise RuntimeError("no network")
-        if kind == "good" or (kind == "second" and "did not match" in prompt):
+        if kind == "good" or (kind == "second" and "broke its contract" in prompt):
             return json.dumps(GOOD)
-        if kind == "extra":
+        if kind in ("extra", "second"):
             return json.dumps(GOOD | {"verified": True})
-        return "not json"
+        if "broke its contract" in prompt:
+            return json.dumps(GOOD)  # never asked: text that is no JSON fails at once
+        return "[1]" if kind == "list" else "not json"
 
-    prompts = spark.createDataFrame([(1, "good x"), (2, "second x"), (3, "never x"), (4, "boom x"), (5, "extra x")], "submission_id long, prompt string")
+    prompts = spark.createDataFrame([(1, "good x"), (2, "second x"), (3, "never x"), (4, "boom x"), (5, "extra x"), (6, "list x")], "submission_id long, prompt string")
     answers = P.call_model(prompts, call, C.BRIEF_WRITER, "brief_writer")
     got = {r.submission_id: r for r in P.decode_answers(answers, C.BRIEF_WRITER).collect()}
     assert got[1].value.overview == "o" and got[2].value.strengths[0].evidence[0].slide_id == "slide_01"
-    for key in (3, 5):
-        assert got[key].answer is None and "schema validation" in got[key].error
+    assert got[5].answer is None and "schema validation" in got[5].error
+    assert got[3].answer is None and "is not JSON" in got[3].error
+    assert got[6].answer is None and "not a JSON object" in got[6].error
     assert "no network" in got[4].error
 
 
@@ -120,12 +123,50 @@ def test_streams(spark, tmp_path):
     assert drain(live.submission_status(events), "sub", "complete")[0].last_action == "submission.ingested"
     counts = drain(live.activity_counts(events), "ac", "complete")
     assert sum(r.events for r in counts) == 7
-    minutes = drain(live.review_durations(events), "du", "append")
+    minutes = drain(live.review_durations(events), "du", "complete")
     assert [(r.assignment_id, r.review_minutes) for r in minutes] == [(8, 1.0)]
     sessions = drain(live.reviewer_sessions(events), "se", "complete")
     assert sorted(r.events for r in sessions) == [1, 6]
 
 
+def test_review_of_any_length_and_first_opening(spark):
+    rows = [
+        (1, 1, 5, 3, "review.opened", "assignment", 8, T0), (2, 1, 5, 3, "review.opened", "assignment", 8, T0 + timedelta(days=3)),
+        (3, 1, 5, 3, "evaluation.submitted", "assignment", 8, T0 + timedelta(days=30)),
+        (4, 1, 5, 3, "evaluation.submitted", "assignment", 9, T0),
+    ]
+    got = live.review_durations(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r.assignment_id, r.review_minutes) for r in got] == [(8, 30 * 24 * 60.0)]
+
+
+def arrivals(spark, folder, batches):
+    """An event stream that gets one file per batch, one per trigger, in order."""
+    for batch in batches:
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(folder)
+
+
+def event(i, minutes, action="review.opened", of=8):
+    return (i, 1, 5, 3, action, "assignment", of, T0 + timedelta(minutes=minutes))
+
+
+def test_late_events_fall_behind_the_watermark(spark, tmp_path):
+    batches = [[event(1, 0), event(2, 5)], [event(3, 300)], [event(4, 400)], [event(5, 1)], [event(6, 401)]]
+    events = arrivals(spark, str(tmp_path / "late"), batches)
+    rows = drain(live.activity_counts(events, late="1 hour"), "late", "append")
+    first = [r for r in rows if r.window_start == T0]
+    assert [r.events for r in first] == [2]  # the event of the fourth file came after its window was closed
+    assert not [r for r in rows if r.window_start >= T0 + timedelta(minutes=400)]  # still open
+
+
+def test_update_mode_sends_changes_only(spark, tmp_path):
+    batches = [[event(1, 0), event(2, 1, of=9)], [event(3, 9, "evaluation.submitted")], [event(4, 5, "review.opened")]]
+    events = arrivals(spark, str(tmp_path / "update"), batches)
+    rows = drain(live.current_status(events), "upd", "update")
+    assert sorted((r.assignment_id, r.status) for r in rows) == [
+        (8, "in_progress"), (8, "submitted"), (8, "submitted"), (9, "in_progress")]
+
+
 def test_incremental_intake(spark, tmp_path):
     inbox, known = tmp_path / "in", str(tmp_path / "known")
     inbox.mkdir()
@@ -142,5 +183,5 @@ def test_incremental_intake(spark, tmp_path):
 
     arrive(f1=b"same", f2=b"other")
     arrive(f3=b"same", f4=b"new")
-    got = {r.submission_id: r.duplicate_of for r in spark.read.parquet(known).collect()}
+    got = {r.submission_id: r.duplicate_of for r in spark.read.parquet(f"{known}/marks").collect()}
     assert got == {1: None, 2: None, 3: 1, 4: None}
