@@ -7,8 +7,7 @@ all paths up to each position, backward sampling walks from the end and draws ea
 piece in proportion, so whole segmentations are drawn by their weight.
 
 No piece of the vocabulary goes on past a word's end, so the lattice of a text falls into
-those of its words (with the spaces before them), and each different word of a batch is
-filtered once.  The draw of a step is a hash of the row's key, the word's number in the text
+those of its words (with the spaces before them), and a word met again is not filtered again.  The draw of a step is a hash of the row's key, the word's number in the text
 and the step: the same key and text give the same pieces in any batch, order or cluster.
 
 Encoding puts one space before the text, as the vocabulary expects, and writes as bytes
@@ -36,6 +35,8 @@ SHARPNESS = 1.0
 SEED = 23
 WORD = re.compile(r" *[^ \n]+| +|\n")
 STEP_BITS = 20  # of a draw's number: steps of one word
+#: Characters of text, new words and nodes of known words that a worker holds at once.
+TEXTS_AT_ONCE, WORDS_AT_ONCE, MOST_NODES = 1_000_000, 20_000, 2_000_000
 
 
 @dataclass
@@ -96,88 +97,121 @@ class Pieces:
         return -SHARPNESS * np.log(rank + 1.0)
 
 
-class Lattice:
-    """Edges of the lattices of some different words, filtered forward.
+class Lattices:
+    """Lattices of different words, filtered forward when a word is first met.
 
     Nodes are byte positions; ``first[node]`` to ``first[node + 1]`` are the edges that end
-    at a node, ``back`` is the length of an edge and ``upto`` the chance of it or an earlier
-    one of its node.
+    at a node, ``back`` is the length of an edge and ``upto`` the chance of it or a shorter
+    one.  Words met again are looked up; beyond ``MOST_NODES`` all are forgotten, so memory
+    is bounded.  What a word's lattice holds does not depend on other words.
     """
 
-    def __init__(self, words: list[str], pieces: Pieces) -> None:
-        step, piece = pieces.trie
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.first, self.back = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+        self.piece, self.upto = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word in ``begin`` and ``size``; new ones are added."""
+        if len(self.first) > MOST_NODES:
+            self.forget()
+        index = self.index
+        new = [w for w in dict.fromkeys(words) if w not in index]
+        for a in range(0, len(new), WORDS_AT_ONCE):
+            self._add(new[a : a + WORDS_AT_ONCE])
+        return np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def _add(self, words: list[str]) -> None:
         coded = [w.encode("utf-8", "replace") for w in words]
-        sizes = np.array([len(c) for c in coded], dtype=np.int64)
-        raw = np.frombuffer(b"".join(coded), dtype=np.uint8)
-        self.sizes = sizes
-        self.begin = np.cumsum(sizes + 1) - (sizes + 1)  # node of each word's start; each word has a node more than bytes
-        word = np.repeat(np.arange(len(words)), sizes)
-        at = np.arange(len(raw))  # byte place, one node apart for each earlier word
-        node_of = at + word
-        limit = np.cumsum(sizes)[word]
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        begin = np.cumsum(sizes + 1) - (sizes + 1)  # a word has a node more than bytes
+        first, back, piece, source = self._edges(np.frombuffer(b"".join(coded), dtype=np.uint8), sizes)
+        upto = self._filter(first, source, self.pieces.weights[piece], begin, sizes)
+        nodes, edges = len(self.first) - 1, len(self.piece)
+        self.index.update(zip(words, range(len(self.begin), len(self.begin) + len(words))))
+        self.begin, self.size = np.append(self.begin, begin + nodes), np.append(self.size, sizes)
+        self.first = np.append(self.first, first[1:] + edges)
+        self.back, self.piece, self.upto = np.append(self.back, back), np.append(self.piece, piece), np.append(self.upto, upto)
+
+    def _edges(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Edges by the node they end at, shorter ones first: ends of each node's edges, lengths, pieces, nodes they start from."""
+        step, ends_in = self.pieces.trie
+        word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        limit = np.cumsum(sizes)
         starts = np.flatnonzero((raw & 0xC0) != 0x80)  # first bytes of characters
         char_end = np.append(starts[1:], len(raw))
         single = np.zeros(len(starts), dtype=bool)
-        froms, lengths, ids = [], [], []
-        alive, state = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int32)
-        depth = 0
+        nodes = len(raw) + len(sizes)
+        # one group of edges for each length, so that no two edges of a group end at the same node
+        groups: list[tuple[np.ndarray, int, np.ndarray]] = []
+        alive, state, depth = np.arange(len(starts)), np.zeros(len(starts), dtype=np.int32), 0
         while len(alive):
-            here = starts[alive] + depth
-            inside = here < limit[starts[alive]]
-            alive, here, state = alive[inside], here[inside], state[inside]
-            state = step[state, raw[here]]
-            going = state > 0
+            inside = starts[alive] + depth < limit[word[starts[alive]]]
+            alive, state = alive[inside], state[inside]
+            state = step[state, raw[starts[alive] + depth]]
+            going = np.flatnonzero(state)
             alive, state = alive[going], state[going]
             depth += 1
-            found = piece[state]
+            found = ends_in[state]
             hit = np.flatnonzero(found >= 0)
-            froms.append(starts[alive[hit]])
-            lengths.append(np.full(len(hit), depth))
-            ids.append(found[hit])
-            single[alive[hit[starts[alive[hit]] + depth == char_end[alive[hit]]]]] = True
+            own = alive[hit]
+            groups.append((starts[own], depth, found[hit]))
+            single[own[starts[own] + depth == char_end[own]]] = True
         lone = np.flatnonzero(~single)
         spread = char_end[lone] - starts[lone]
         byte_at = np.repeat(starts[lone], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
-        froms.append(byte_at)
-        lengths.append(np.ones(len(byte_at), dtype=np.int64))
-        ids.append(pieces.bytes_from + raw[byte_at].astype(np.int32))
-        source, back, ids = np.concatenate(froms), np.concatenate(lengths), np.concatenate(ids)
-        target = node_of[source] + back
-        order = np.lexsort((back, target))  # edges by end node, shorter ones first
-        self.back, self.piece, target = back[order], ids[order], target[order]
-        nodes = int(sizes.sum()) + len(words)
-        self.first = np.searchsorted(target, np.arange(nodes + 1))
-        weight = pieces.weights[self.piece]
-        self.upto = self._filter(nodes, target, weight)
-
-    def _filter(self, nodes: int, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Forward sums, node by node of equal distance from their words' starts."""
-        total = np.full(nodes, -np.inf)
-        total[self.begin] = 0.0
-        begin_of = np.repeat(self.begin, self.sizes + 1)
-        distance = np.arange(nodes) - begin_of
-        filled = np.flatnonzero(self.first[1:] > self.first[:-1])
+        groups.insert(0, (byte_at, 1, self.pieces.bytes_from + raw[byte_at].astype(np.int32)))
+        counts = np.zeros(nodes + 1, dtype=np.int32)
+        for at, length, _ in groups:
+            counts[at + word[at] + length + 1] += 1
+        first = np.cumsum(counts, dtype=np.int64)
+        fill = first[:-1].copy()
+        back, piece = np.empty(first[-1], dtype=np.uint8), np.empty(first[-1], dtype=np.int32)
+        source = np.empty(first[-1], dtype=np.int32)
+        for at, length, ids in groups:
+            start = at + word[at]
+            slot = fill[start + length]
+            fill[start + length] += 1
+            back[slot], piece[slot], source[slot] = length, ids, start
+        return first, back, piece, source
+
+    @staticmethod
+    def _filter(first: np.ndarray, source: np.ndarray, weight: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Forward sums, for all nodes of equal distance from their words' starts together; cumulated chances of edges."""
+        nodes = len(first) - 1
+        total = np.zeros(nodes)
+        distance = np.arange(nodes) - np.repeat(begin, sizes + 1)
+        filled = np.flatnonzero(first[1:] > first[:-1])
         by_distance = filled[np.argsort(distance[filled], kind="stable")]
-        steps = np.flatnonzero(np.diff(distance[by_distance])) + 1
-        chance = np.empty(len(target))
-        for group in np.split(by_distance, steps):
-            counts = self.first[group + 1] - self.first[group]
+        upto = np.empty(len(source), dtype=np.float32)
+        for group in np.split(by_distance, np.flatnonzero(np.diff(distance[by_distance])) + 1):
+            if not len(group):
+                continue
+            counts = first[group + 1] - first[group]
             offsets = np.cumsum(counts) - counts
-            edges = np.repeat(self.first[group] - offsets, counts) + np.arange(counts.sum())
-            value = total[target[edges] - self.back[edges]] + weight[edges]
+            edges = np.repeat(first[group] - offsets, counts) + np.arange(counts.sum())
+            value = total[source[edges]] + weight[edges]
             top = np.maximum.reduceat(value, offsets)
             part = np.exp(value - np.repeat(top, counts))
             summed = np.add.reduceat(part, offsets)
             total[group] = top + np.log(summed)
-            chance[edges] = part / np.repeat(summed, counts)
-        upto = np.cumsum(chance)
-        upto -= np.repeat(np.concatenate([[0.0], upto])[self.first[:-1]], np.diff(self.first))
+            part /= np.repeat(summed, counts)
+            left, at = np.flatnonzero(counts > 1), offsets
+            for nth in range(1, int(counts.max())):  # sums of one node's edges only, so they do not depend on others
+                left = left[counts[left] > nth]
+                part[at[left] + nth] += part[at[left] + nth - 1]
+            upto[edges] = part
         return upto
 
     def sample(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces of each occurrence (its word and its draws' seed), end to end, and how many each has."""
-        node = self.begin[words] + self.sizes[words]
+        """Pieces of each occurrence (its word's place and its draws' seed), end to end, and how many each has."""
         start = self.begin[words]
+        node = start + self.size[words]
         active = np.flatnonzero(node > start)
         counts, taken = np.zeros(len(words), dtype=np.int64), []
         number = 0
@@ -186,13 +220,14 @@ class Lattice:
             edge, last = self.first[here], self.first[here + 1] - 1
             many = np.flatnonzero(last > edge)
             draw = (splitmix(seeds[active[many]] + np.uint64(number)) >> np.uint64(11)) * 2.0**-53
-            low = edge[many]
+            low, top = edge[many], last[many]
             open_ = np.flatnonzero(self.upto[low] <= draw)
             while len(open_):
                 low[open_] += 1
-                open_ = open_[(low[open_] < last[many][open_]) & (self.upto[low[open_]] <= draw[open_])]
+                open_ = open_[low[open_] < top[open_]]
+                open_ = open_[self.upto[low[open_]] <= draw[open_]]
             edge[many] = low
-            taken.append((active, self.piece[edge]))
+            taken.append((active.astype(np.int32), self.piece[edge]))
             counts[active] += 1
             node[active] = here - self.back[edge]
             active = active[node[active] > start[active]]
@@ -204,22 +239,22 @@ class Lattice:
         return out, counts
 
 
-def segment(texts: list[str | None], keys: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
+def segment(texts: list[str | None], keys: np.ndarray, lattices: Lattices) -> list[np.ndarray]:
     """Piece ids of each text, drawn by its key (uint64)."""
     found = [WORD.findall(" " + t) if t else [] for t in texts]
     flat = [w for words in found for w in words]
     lengths = np.array([len(words) for words in found], dtype=np.int64)
+    del found
     if not flat:
         return [np.zeros(0, dtype=np.int32)] * len(texts)
-    vocabulary = list(dict.fromkeys(flat))
-    index = dict(zip(vocabulary, range(len(vocabulary))))
-    symbols = np.fromiter(map(index.__getitem__, flat), dtype=np.int64, count=len(flat))
+    places = lattices.places(flat)
     starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(flat)) - np.repeat(starts, lengths)
+    number = np.arange(len(flat)) - np.repeat(starts, lengths)
+    del flat
     with np.errstate(over="ignore"):
-        seeds = splitmix(np.repeat(splitmix(keys), lengths) + (place.astype(np.uint64) << np.uint64(STEP_BITS)))
-    ids, counts = Lattice(vocabulary, pieces).sample(symbols, seeds)
-    ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([starts, [len(flat)]])]
+        seeds = splitmix(np.repeat(splitmix(keys), lengths) + (number.astype(np.uint64) << np.uint64(STEP_BITS)))
+    ids, counts = lattices.sample(places, seeds)
+    ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([starts, [len(places)]])]
     return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
@@ -230,18 +265,26 @@ def joined(ids: np.ndarray | list[int] | None, pieces: Pieces) -> str:
     return b"".join(map(pieces.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+def _segments(texts: list[str | None], keys: np.ndarray, lattices: Lattices) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    drawn = keys.astype(np.int64).view(np.uint64)
+    for a, b in chunks(texts, TEXTS_AT_ONCE):
+        yield a, b, segment(texts[a:b], drawn[a:b], lattices)
+
+
+def _drawn(key: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), key)
+
+
 def encode(text: Column, key: Column, pieces: Pieces, seed: int = SEED) -> Column:
     """Sampled piece ids of a text; ``key`` decides the draws."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        lattices = Lattices(pieces)
         for texts, keys in batches:
-            own, drawn, out = texts.tolist(), keys.to_numpy(dtype=np.int64).view(np.uint64), []
-            for a, b in chunks(own):
-                out += segment(own[a:b], drawn[a:b], pieces)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([ids for _, _, part in _segments(texts.tolist(), keys.to_numpy(), lattices) for ids in part], dtype=object)
 
-    return encoded(text, F.xxhash64(F.lit(seed), key))
+    return encoded(text, _drawn(key, seed))
 
 
 def decode(ids: Column, pieces: Pieces) -> Column:
@@ -255,10 +298,19 @@ def decode(ids: Column, pieces: Pieces) -> Column:
     return decoded(ids)
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = MODEL, seed: int = SEED) -> DataFrame:
     """``doc_id``, ``piece_ids``, ``n_pieces`` and whether decoding gives the text back (``lossless``)."""
     pieces = Pieces.load(path)
-    rows = docs.select("doc_id", "text", encode(F.col("text"), F.col("doc_id"), pieces).alias("piece_ids"))
-    return rows.select(
-        "doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"),
-        (decode(F.col("piece_ids"), pieces) == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lattices = Lattices(pieces)
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for a, b, ids in _segments(texts, batch["drawn"].to_numpy(), lattices):
+                yield pd.DataFrame({
+                    "doc_id": batch["doc_id"].iloc[a:b].astype("Int64"), "piece_ids": ids, "n_pieces": [len(i) for i in ids],
+                    "lossless": [joined(i, pieces) == (t or "") for i, t in zip(ids, texts[a:b])],
+                })
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _drawn(F.col("doc_id"), seed).alias("drawn"))
+    return rows.mapInPandas(encoded, "doc_id long, piece_ids array<int>, n_pieces long, lossless boolean")

@@ -17,17 +17,19 @@ def vocabulary():
 
 
 def test_round_trip(vocabulary):
-    ids = p.segment(ODD, np.arange(len(ODD), dtype=np.uint64), vocabulary)
+    ids = p.segment(ODD, np.arange(len(ODD), dtype=np.uint64), p.Lattices(vocabulary))
     assert [p.joined(i, vocabulary) for i in ids] == [t or "" for t in ODD]
 
 
 def test_draws_follow_the_key_only(vocabulary):
     texts = [f"there were {i} of them here" for i in range(30)]
     keys = splitmix(np.arange(30, dtype=np.uint64))
-    together = p.segment(texts, keys, vocabulary)
+    known = p.Lattices(vocabulary)
+    together = p.segment(texts, keys, known)
     for i in (0, 7, 29):
-        assert (p.segment(texts[i : i + 1], keys[i : i + 1], vocabulary)[0] == together[i]).all()
-    same = p.segment(["there were many of them here"] * 40, splitmix(np.arange(40, dtype=np.uint64)), vocabulary)
+        for lattices in (known, p.Lattices(vocabulary)):
+            assert (p.segment(texts[i : i + 1], keys[i : i + 1], lattices)[0] == together[i]).all()
+    same = p.segment(["there were many of them here"] * 40, splitmix(np.arange(40, dtype=np.uint64)), known)
     assert len({tuple(s) for s in same}) > 3
 
 
@@ -44,13 +46,25 @@ def test_sampled_paths_follow_their_weight(vocabulary):
 
     weight = {q: math.exp(sum(vocabulary.weights[i] for i in q)) for q in paths(word.encode())}
     n = 50_000
-    ids, counts = p.Lattice([word], vocabulary).sample(np.zeros(n, dtype=int), splitmix(np.arange(n, dtype=np.uint64)))
+    lattices = p.Lattices(vocabulary)
+    ids, counts = lattices.sample(lattices.places([word] * n), splitmix(np.arange(n, dtype=np.uint64)))
     seen = collections.Counter(tuple(x) for x in np.split(ids, np.cumsum(counts)[:-1]))
     assert set(seen) <= set(weight)
     for q, w in weight.items():
         assert abs(seen[q] / n - w / sum(weight.values())) < 0.01
 
 
+def test_forgetting_changes_nothing(vocabulary, monkeypatch):
+    texts = [f"some words number {i} été 日本" for i in range(60)]
+    keys = splitmix(np.arange(60, dtype=np.uint64))
+    want = p.segment(texts, keys, p.Lattices(vocabulary))
+    monkeypatch.setattr(p, "MOST_NODES", 40)
+    monkeypatch.setattr(p, "WORDS_AT_ONCE", 3)
+    lattices = p.Lattices(vocabulary)
+    got = [p.segment([t], keys[i : i + 1], lattices)[0] for i, t in enumerate(texts)]
+    assert all((a == b).all() for a, b in zip(want, got))
+
+
 def test_query_is_lossless(spark, tmp_path, queries):
     docs = documents(spark, [*ODD, "a"], ids=[*range(len(ODD)), 1], clashing=True)
     rows = queries["op2_sentencepiece"](spark, folder_of(tmp_path, documents=docs)).collect()
