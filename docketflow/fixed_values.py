@@ -201,6 +201,8 @@ DEPENDENCY_QUOTE_LIMIT = 90
 APPENDIX_PATTERN = r"\b(appendix|annex|see attached|attached (document|file|sheet))\b"
 APPENDIX_TITLE_PATTERN = r"appendix|annex"
 
+#: Characters kept of either end of a unit; the approaches below are named in two words at most.
+BORDER_CHARS = 64
 COMMON_APPROACHES = [
     (r"route optimi[sz]\w*|routing solver|collection routes", "sensor-driven collection route optimization"),
     (r"marketplace", "online marketplaces for this domain"),
@@ -350,6 +352,12 @@ ATTENTION_ORDER = ["processing_failed", "integrity", "ai_failed", "unassigned",
 ATTENTION_STATUSES = ["potential_discrepancy", "suspicious_instruction_detected", "manual_review_required"]
 
 COMMENT_LIMIT = 4000
+# Zip archives: end record, directory entries, and the parts that make a slide deck.
+ZIP_END_REACH = 65_557
+ZIP_END_MARK = "PK\x05\x06"
+ZIP_ENTRY_MARK = "PK\x01\x02"
+ZIP_CONTENT_TYPES = "(?s)PK\x01\x02.{24}\x13\x00.{16}\\[Content_Types\\]\\.xml"
+ZIP_DECK_PART = "(?s)PK\x01\x02.{42}ppt/"
 SCORE_ERRORS = {
     "unknown": "Unknown criterion {criterion}",
     "range": "Scores must be between 1 and {scale}",

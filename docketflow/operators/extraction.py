@@ -118,7 +118,8 @@ def unit_findings(views: DataFrame) -> DataFrame:
     topic_hits array<struct<topic,score,ref>>, claims array<struct<text,category,
     supported,ref>>, mentions array<struct<dependency,what,ref>> (two per
     dependency), appendix ref, explained / approaches array<boolean>,
-    target_user, tagline, title, withheld, appendix_title.
+    target_user, tagline, title, withheld, appendix_title, and head / tail: the
+    ends of the unit's text, for phrases that go on in the next unit.
     """
     staged = (
         with_sentences(views)
@@ -159,6 +160,7 @@ def unit_findings(views: DataFrame) -> DataFrame:
     return located.select(
         "submission_id", "page_number", "slide_id", "team_name", "submission_title", "title", "withheld",
         "explained", "approaches", "target_user", "tagline", "appendix_title",
+        F.substring("all_text", 1, V.BORDER_CHARS).alias("head"), F.substring("all_text", -V.BORDER_CHARS, V.BORDER_CHARS).alias("tail"),
         F.transform("_topics", lambda t: F.struct(t["topic"].alias("topic"), t["score"].alias("score"),
                                                   ref(t["excerpt"]))).alias("topic_hits"),
         F.transform("_claims", lambda c: F.struct(c["text"].alias("text"), c["category"].alias("category"),
@@ -200,6 +202,27 @@ def submission_facts(findings: DataFrame) -> DataFrame:
     )
 
 
+def border_approaches(findings: DataFrame) -> DataFrame:
+    """submission_id, over_borders array<boolean>: common approaches named across the end of a visible unit.
+
+    Units are numbered among the visible ones and meet their follower by that
+    number, so no task sees a whole submission.  The patterns have two words at
+    most, which the kept ends hold.
+    """
+    seen = findings.filter(~F.col("withheld")).select("submission_id", "page_number", "head", "tail")
+    placed = running_total(seen, ["submission_id"], "page_number", {"place": F.lit(1)})
+    after = placed.select("submission_id", (F.col("place") - 1).alias("place"), F.col("head").alias("next_head"))
+    joint = F.concat("tail", F.lit(" "), "next_head")
+    return placed.join(after, ["submission_id", "place"]).groupBy("submission_id").agg(
+        F.array(*[F.bool_or(matches(joint, p)) for p, _ in V.COMMON_APPROACHES]).alias("over_borders"))
+
+
+def with_border_approaches(facts: DataFrame, borders: DataFrame) -> DataFrame:
+    both = F.zip_with("approaches", "over_borders", lambda a, b: a | b)
+    return facts.join(borders, "submission_id", "left").withColumn(
+        "approaches", F.when(F.col("over_borders").isNull(), F.col("approaches")).otherwise(both)).drop("over_borders")
+
+
 def analysed(findings: DataFrame, facts: DataFrame) -> DataFrame:
     """Visible units without the cover, unless the cover is all there is.
 

@@ -201,23 +201,22 @@ def severity(status: Column) -> Column:
 def report(flags: DataFrame, submissions: DataFrame) -> DataFrame:
     """submission_id, status, summary.  submissions(submission_id, ocr_available).
 
-    The pages named in the summary need at most five page numbers per status:
-    the rest is a count, so no list grows with the submission.
+    The pages named in the summary need at most four page numbers per status:
+    the rest is a count.
     """
-    pages = flags.groupBy("submission_id", severity(F.col("status")).alias("severity"), "page_number").agg(
-        F.count("*").alias("n")
-    )
     keys = ["submission_id", "severity"]
-    counted = pages.groupBy(*keys).agg(F.count("*").alias("n_pages"))
-    named = (
-        first_per_group(pages.drop("n"), keys, [F.col("page_number")], 4)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("page_number")).alias("pages"))
-    )
-    worst = counted.groupBy("submission_id").agg(F.max_by(F.struct(*keys[1:], "n_pages"), "severity").alias("w"))
-    top = worst.select("submission_id", F.col("w.severity").alias("severity"), F.col("w.n_pages").alias("n_pages")).join(
-        named, keys, "left"
-    )
+    counted = flags.select("submission_id", severity(F.col("status")).alias("severity"), "page_number").distinct().select(
+        *keys, "page_number", F.lit(1).cast("bigint").alias("n_pages"), F.array("page_number").alias("pages"))
+    # count and first pages in one pass: by blocks of pages, so that no list holds more than a block gives
+    for width in (1 << 8, 1 << 16, 1 << 31):
+        counted = (
+            counted.groupBy(*keys, F.floor(F.col("page_number") / width).alias("block"))
+            .agg(F.min("page_number").alias("page_number"), F.sum("n_pages").alias("n_pages"),
+                 F.slice(F.sort_array(F.flatten(F.collect_list("pages"))), F.lit(1), F.lit(4)).alias("pages"))
+            .drop("block")
+        )
+    worst = counted.groupBy("submission_id").agg(F.max_by(F.struct("severity", "n_pages", "pages"), "severity").alias("w"))
+    top = worst.select("submission_id", "w.*")
     level = F.greatest(
         F.coalesce("severity", F.lit(0)),
         F.when(F.col("ocr_available"), 0).otherwise(V.INTEGRITY_SEVERITY["manual_review_required"]),

@@ -129,15 +129,16 @@ def with_sentences(views: DataFrame) -> DataFrame:
     )
 
 
+def _tagged(source: str, column: str) -> Column:
+    return F.transform(column, lambda s, i: F.struct(F.lit(source).alias("source"), i.alias("ord"), s.alias("sentence")))
+
+
 def sentence_rows(views: DataFrame) -> DataFrame:
-    """submission_id, page_number, source {text,notes,image}, ord, sentence."""
-    staged = with_sentences(views)
-    tables = [
-        staged.select("submission_id", "page_number", F.lit(source).alias("source"),
-                      F.posexplode(column).alias("ord", "sentence"))
-        for source, column in (("text", "sentences"), ("notes", "note_sentences"), ("image", "image_sentences"))
-    ]
-    return tables[0].unionByName(tables[1]).unionByName(tables[2])
+    """submission_id, page_number, source {text,notes,image}, ord, sentence; one pass over the views."""
+    tagged = F.concat(*[
+        _tagged(source, column) for source, column in (("text", "sentences"), ("notes", "note_sentences"), ("image", "image_sentences"))
+    ])
+    return with_sentences(views).select("submission_id", "page_number", F.inline(tagged))
 
 
 def total_weight(rubric: DataFrame) -> DataFrame:

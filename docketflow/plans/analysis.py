@@ -39,7 +39,10 @@ def analyse(
     findings = extraction.unit_findings(views)
     if stored:
         findings = cut(findings, "findings")
-    facts = extraction.submission_facts(findings)
+    borders = extraction.border_approaches(findings)
+    if stored:
+        borders = cut(borders, "borders")
+    facts = extraction.with_border_approaches(extraction.submission_facts(findings), borders)
     topic_rows = extraction.topics(findings, facts)
     claim_rows = extraction.claims(findings, facts)
     state = extraction.submission_state(findings, submissions, facts, topic_rows, claim_rows)

@@ -313,7 +313,7 @@ _DEP_ITEM = " UNION ALL ".join(
 )
 _REF = "slide_id || '|' || excerpt || '|' || via"
 _KNOWN = " ".join(
-    f"WHEN bool_or({has('all_text', p)}) THEN {quote(_T['differentiation_known']).replace('{pattern}', lab)}" for p, lab in V.COMMON_APPROACHES
+    f"WHEN {has('whole', p)} THEN {quote(_T['differentiation_known']).replace('{pattern}', lab)}" for p, lab in V.COMMON_APPROACHES
 )
 _SHORT = cut("regexp_replace(regexp_replace(trim(claim_text), '[.]+$', ''), '(?i)" + V.GOAL_PREFIX_PATTERN + "', '')", 70)
 VERIFY = f"""
@@ -327,7 +327,8 @@ dep1 AS (SELECT d, submission_id, arg_min(sentence, rn) AS w, string_agg({_REF},
 app0 AS (SELECT s.submission_id, arg_min(s.sentence, {{'p': s.page_number, 'o': s.ord}}) AS sentence, min(s.page_number) AS page_number FROM vsent s
   WHERE {has('s.sentence', V.APPENDIX_PATTERN)} AND NOT EXISTS (SELECT 1 FROM views v WHERE v.submission_id = s.submission_id AND {has('v.title', V.APPENDIX_TITLE_PATTERN)}) GROUP BY 1),
 app1 AS (SELECT x.submission_id, x.page_number, x.slide_id || '|' || x.excerpt || '|' || {VIA} AS refs FROM (SELECT {cut('a.sentence', 200)} AS excerpt, v.* FROM app0 a JOIN views v USING (submission_id, page_number)) x),
-dif AS (SELECT b.submission_id, CASE {_KNOWN} ELSE {quote(_T['differentiation_unknown'])} END AS mid FROM subs b LEFT JOIN vtext t USING (submission_id) GROUP BY 1),
+dif AS (SELECT b.submission_id, CASE {_KNOWN} ELSE {quote(_T['differentiation_unknown'])} END AS mid FROM subs b
+  LEFT JOIN (SELECT submission_id, string_agg(all_text, ' ' ORDER BY page_number) AS whole FROM vtext GROUP BY 1) t USING (submission_id)),
 sol1 AS (SELECT submission_id, arg_min({_REF}, slide_id) AS refs FROM topic_refs WHERE topic = 'solution' GROUP BY 1),
 mis AS (SELECT submission_id, string_agg(criterion, ', ' ORDER BY position) AS names, count(*) AS n FROM criteria WHERE NOT assessed GROUP BY 1),
 oth AS ({_DEP_ITEM}

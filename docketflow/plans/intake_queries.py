@@ -17,6 +17,30 @@ from docketflow.sources import files as FI
 from docketflow.sources import units as UN
 
 CATALOG = Catalog()
+#: Zip archives in hex: a deck, a deck with other parts and a remark, a letter, a deck cut short.
+ARCHIVE_BODIES = [
+    "504b0304140000000000000021588316dc8c0100000001000000130000005b436f6e74656e745f54797065735d2e786d6c78504b030414"
+    "0000000000000021588316dc8c0100000001000000090000007070742f702e786d6c78504b01021403140000000000000021588316dc8c"
+    "01000000010000001300000000000000000000008001000000005b436f6e74656e745f54797065735d2e786d6c504b0102140314000000"
+    "0000000021588316dc8c01000000010000000900000000000000000000008001320000007070742f702e786d6c504b0506000000000200"
+    "0200780000005a0000000000",
+    "504b0304140000000000000021588316dc8c01000000010000000e000000646f6350726f70732f612e786d6c78504b0304140000000000"
+    "000021588316dc8c0100000001000000100000007070742f736c696465732f732e786d6c78504b0304140000000000000021588316dc8c"
+    "0100000001000000130000005b436f6e74656e745f54797065735d2e786d6c78504b01021403140000000000000021588316dc8c010000"
+    "00010000000e0000000000000000000000800100000000646f6350726f70732f612e786d6c504b01021403140000000000000021588316"
+    "dc8c010000000100000010000000000000000000000080012d0000007070742f736c696465732f732e786d6c504b010214031400000000"
+    "00000021588316dc8c010000000100000013000000000000000000000080015c0000005b436f6e74656e745f54797065735d2e786d6c50"
+    "4b05060000000003000300bb0000008e0000000b00612072656d61726b20504b",
+    "504b0304140000000000000021588316dc8c0100000001000000130000005b436f6e74656e745f54797065735d2e786d6c78504b030414"
+    "0000000000000021588316dc8c01000000010000000e000000776f72642f7070742f642e786d6c78504b01021403140000000000000021"
+    "588316dc8c01000000010000001300000000000000000000008001000000005b436f6e74656e745f54797065735d2e786d6c504b010214"
+    "03140000000000000021588316dc8c01000000010000000e0000000000000000000000800132000000776f72642f7070742f642e786d6c"
+    "504b050600000000020002007d0000005f0000000000",
+    "504b0304140000000000000021588316dc8c0100000001000000130000005b436f6e74656e745f54797065735d2e786d6c78504b030414"
+    "0000000000000021588316dc8c0100000001000000090000007070742f702e786d6c78504b01021403140000000000000021588316dc8c"
+    "01000000010000001300000000000000000000008001000000005b436f6e74656e745f54797065735d2e786d6c504b0102140314000000"
+    "0000000021588316dc8c010000000100000009000000000000000000000080013200000070",
+]
 BULLETS = "' •-–—*' || chr(9)"
 
 
@@ -212,18 +236,47 @@ def code_labels(spark, folder):
         fn(F.expr(case_of(f"event_id % {len(t)}", list(t)))).alias(n) for n, (t, fn) in _CODES.items()])
 
 
-@CATALOG.query("txt16_best_window_scores")
+_PIECE = 32
+_LOST = 7
+
+
+def _lcs(short: str, window: str) -> str:
+    """Longest common subsequence of two SQL strings: a row of bits, one for each place of the short one, folded over the window."""
+    places = f"list_transform(string_split({window}, ''), lambda c: list_aggregate(list_transform(range(length({short})), lambda i: CASE WHEN substr({short}, i + 1, 1) = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END), 'bit_or'))"
+    full = f"((1::HUGEINT << length({short})) - 1)"
+    return f"(length({short}) - bit_count(list_reduce({places}, lambda v, h: ((v + (v & h)) | (v - (v & h))) & {full}, {full})))"
+
+
+def _best_window(short: str, long: str) -> str:
+    """Best score of a string against every window of at most its length of a longer one."""
+    at = f"range(length({long}) + length({short}) - 1)"
+    first, last = f"greatest(k - length({short}) + 1, 0)", f"least(k + 1, length({long}))"
+    window = f"substr({long}, {first} + 1, {last} - {first})"
+    return f"list_max(list_transform({at}, lambda k: 200 * {_lcs(short, window)} / (length({short}) + {last} - {first})))"
+
+
+@CATALOG.query("txt16_best_window_scores", f"""WITH w AS (SELECT conv_id, turn, sno, {norm('s')} AS whole FROM (
+    SELECT conv_id, turn, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) - 1 AS sno FROM conversations)),
+p AS (SELECT DISTINCT conv_id, turn, sno, unnest(regexp_extract_all(whole, '.{{1,{_PIECE}}}')) AS x,
+    CASE WHEN sno % 2 = 1 THEN regexp_replace(whole, '(.{{{_LOST - 1}}}).', '\\1', 'g') ELSE regexp_replace(whole, '(.{{{_LOST - 2}}})(.)(.)', '\\1\\3\\2', 'g') END AS worn FROM w),
+s AS (SELECT *, CASE WHEN length(x) <= length(worn) THEN x ELSE worn END AS short, CASE WHEN length(x) <= length(worn) THEN worn ELSE x END AS long FROM p WHERE x <> '' AND worn <> '')
+SELECT conv_id, turn, sno, x AS piece, round(CASE WHEN contains(long, short) THEN 100.0 WHEN length(short) = length(long) THEN greatest({_best_window('short', 'long')}, {_best_window('long', 'short')})
+  ELSE {_best_window('short', 'long')} END, 9) AS score FROM s""")
 def best_window_scores(spark, folder):
-    """Each turn's lines against the same turn; every fourth turn has lost each seventh character."""
-    said = read_spread(spark, folder, "conversations")
-    lines = F.transform(text.content_lines(F.col("text")), text.normalize)
-    whole = text.normalize(F.col("text"))
-    worn = F.when(F.col("turn") % 4 == 1, F.regexp_replace(whole, "(.{6}).", "$1")).otherwise(whole)
-    staged = said.select("conv_id", "turn", lines.alias("lines"), F.array(worn).alias("worn"))
-    staged = staged.withColumn("rest", similarity.unsettled(F.col("lines"), F.col("worn")))
-    scored = staged.withColumn("scores", similarity.score_map(F.col("rest"), F.col("worn"), V.MATCH_THRESHOLD))
-    found = F.transform("lines", lambda x: similarity.score_of(x, F.col("scores")))
-    return scored.select("conv_id", "turn", F.size("lines").alias("lines"), F.size(F.filter(found, lambda s: s >= V.MATCH_THRESHOLD)).alias("matched"))
+    """The exact scores of the pieces of every sentence against the sentence with letters lost or swapped."""
+    said = read_spread(spark, folder, "conversations").select(
+        "conv_id", "turn", F.posexplode(text.split_sentences(F.col("text"))).alias("sno", "s"))
+    whole = text.normalize(F.col("s"))
+    worn = F.when(F.col("sno") % 2 == 1, F.regexp_replace(whole, f"(.{{{_LOST - 1}}}).", "$1")).otherwise(
+        F.regexp_replace(whole, f"(.{{{_LOST - 2}}})(.)(.)", "$1$3$2"))
+    pieces = F.array_distinct(F.regexp_extract_all(whole, F.lit(f".{{1,{_PIECE}}}"), F.lit(0)))
+    staged = said.select("conv_id", "turn", "sno", F.filter(pieces, lambda x: x != "").alias("pieces"), F.array(worn).alias("worn"))
+    staged = staged.withColumn("rest", similarity.unsettled(F.col("pieces"), F.col("worn")))
+    busy = F.size("rest") > 0
+    exact = F.map_from_arrays(F.when(busy, F.col("rest")), similarity.best_scores(F.when(busy, F.col("rest")), F.when(busy, F.col("worn")), 0.0))
+    scored = staged.filter(F.col("worn")[0] != "").withColumn("scores", exact)
+    return scored.select("conv_id", "turn", "sno", F.explode("pieces").alias("piece"), "scores").select(
+        "conv_id", "turn", "sno", "piece", F.round(similarity.score_of(F.col("piece"), F.col("scores")), 9).alias("score"))
 
 
 @CATALOG.query("txt17_instruction_lines", duck_decks().rstrip() + f""",
@@ -245,13 +298,19 @@ def instruction_documents(spark, folder):
 
 _PREFIX = "CASE doc_id % 4 WHEN 0 THEN '%PDF-1.7 ' WHEN 1 THEN 'PK' || chr(3) || chr(4) WHEN 2 THEN '%PDF-' ELSE '' END"
 _BODY = f"CASE WHEN doc_id % 40 = 39 THEN '' ELSE {_PREFIX} || text END"
+#: Archives as they are uploaded: a deck, one with a remark and other parts before it, a letter, and a deck cut short.
+_ARCHIVES = [bytes.fromhex(x) for x in ARCHIVE_BODIES]
+_ARCHIVED = "doc_id % 20 = 13"
+_BYTES = f"CASE WHEN {_ARCHIVED} THEN unhex(([{', '.join(quote(x) for x in ARCHIVE_BODIES)}])[doc_id // 20 % 4 + 1]) ELSE encode({_BODY}) END"
 _NAME = "'deck_' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PPTX' WHEN 2 THEN '' WHEN 3 THEN '.pdf' ELSE '.pdf' END"
 
 
 def _files(spark, folder) -> DataFrame:
     return _docs(spark, folder).select(
         F.col("doc_id").alias("submission_id"), F.expr("CAST(substring(source, 4, 10) AS BIGINT)").alias("round_id"),
-        F.expr(_NAME).alias("original_filename"), F.encode(F.expr(_BODY), "UTF-8").alias("content"))
+        F.expr(_NAME).alias("original_filename"),
+        F.when(F.expr(_ARCHIVED), F.get(F.array(*[F.lit(a) for a in _ARCHIVES]), F.expr("CAST(doc_id div 20 % 4 AS INT)")))
+        .otherwise(F.encode(F.expr(_BODY), "UTF-8")).alias("content"))
 
 
 def _file_rounds(spark, folder) -> DataFrame:
@@ -260,12 +319,12 @@ def _file_rounds(spark, folder) -> DataFrame:
         F.when(F.col("n_nationkey") % 4 == 1, F.array(F.lit("pptx"))).alias("allowed_file_types"))
 
 
-@CATALOG.query("src1_file_digests", f"SELECT doc_id AS submission_id, octet_length(encode({_BODY})) AS size_bytes, sha256({_BODY}) AS sha256 FROM documents")
+@CATALOG.query("src1_file_digests", f"SELECT doc_id AS submission_id, octet_length({_BYTES}) AS size_bytes, sha256({_BYTES}) AS sha256 FROM documents")
 def file_digests(spark, folder):
     return FI.file_digests(_files(spark, folder)).select("submission_id", "size_bytes", "sha256")
 
 
-_SNIFF = "CASE WHEN doc_id % 40 <> 39 AND doc_id % 2 = 0 THEN 'pdf' WHEN starts_with(text, '%PDF-') AND doc_id % 4 = 3 THEN 'pdf' END"
+_SNIFF = f"CASE WHEN {_ARCHIVED} THEN CASE WHEN doc_id // 20 % 4 < 2 THEN 'pptx' END WHEN doc_id % 40 <> 39 AND doc_id % 2 = 0 THEN 'pdf' WHEN starts_with(text, '%PDF-') AND doc_id % 4 = 3 THEN 'pdf' END"
 
 
 @CATALOG.query("src2_file_types", f"SELECT doc_id AS submission_id, {_SNIFF} AS file_type FROM documents")
@@ -275,7 +334,7 @@ def file_types(spark, folder):
 
 _IE = V.INTAKE_ERRORS
 _VALID = f"""
-f AS (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS round_id, {_NAME} AS name, octet_length(encode({_BODY})) AS size, {_SNIFF} AS kind FROM documents),
+f AS (SELECT doc_id, CAST(substr(source, 4) AS BIGINT) AS round_id, {_NAME} AS name, octet_length({_BYTES}) AS size, {_SNIFF} AS kind FROM documents),
 c AS (SELECT f.*, CASE WHEN round_id % 3 = 0 THEN 0 ELSE 25 END AS mb, CASE WHEN round_id % 4 = 1 THEN ['pptx'] ELSE ['pdf', 'pptx'] END AS types, lower(regexp_extract(name, '[.]([^./]+)$', 1)) AS ext
   FROM f JOIN nation ON n_nationkey = round_id),
 checked AS (SELECT doc_id AS submission_id, round_id, CASE WHEN size / 1048576 > mb THEN 'File is ' || printf('%.1f', size / 1048576) || ' MB; this round accepts files up to ' || mb || ' MB.'

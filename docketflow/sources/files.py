@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docketflow import fixed_values as V
 from docketflow.functions.numeric import one_decimal
@@ -42,32 +37,38 @@ def file_digests(files: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_slide_archive(content: pd.Series) -> pd.Series:
-    """Whether a zip archive lists the parts of a slide deck; null for other files."""
+def _little_endian(raw: Column, at: Column, size: int) -> Column:
+    """An unsigned number of ``size`` bytes, lowest first, at position ``at`` (from 1)."""
+    digits = F.hex(F.substr(raw, at, F.lit(size)))
+    swapped = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))])
+    return F.conv(swapped, 16, 10).cast("bigint")
 
-    def check(blob: bytes | None) -> bool | None:
-        if blob is None:
-            return None
-        try:
-            with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                names = archive.namelist()
-        except zipfile.BadZipFile:
-            return False
-        return "[Content_Types].xml" in names and any(n.startswith("ppt/") for n in names)
 
-    return content.map(check).astype(object)
+def _is_slide_archive(content: Column) -> Column:
+    """Whether a zip archive lists the parts of a slide deck; only its directory, at its end, is looked at.
 
+    The end record (within the last 64 KiB) says how long the directory before it
+    is; a directory entry is a mark, 42 bytes and the file's name.  Archives
+    beyond 4 GiB use another record and count as unknown.
+    """
+    size = F.octet_length(content)
+    reach = F.least(size, F.lit(V.ZIP_END_REACH))
+    tail = F.decode(F.substr(content, size - reach + 1, reach), "ISO-8859-1")
+    before = F.regexp_extract(tail, "(?s)^(.*)" + V.ZIP_END_MARK + ".{18}", 1)
+    found = tail.rlike("(?s)" + V.ZIP_END_MARK + ".{18}")
+    end = size - reach + F.length(before) + 1  # of the end record, from 1
+    length = _little_endian(content, end + 12, 4)
+    listing = F.decode(F.substr(content, (end - length).cast("int"), length.cast("int")), "ISO-8859-1")
+    inside = found & (length > 0) & (length < end)
+    return F.coalesce(F.when(inside, F.startswith(listing, F.lit(V.ZIP_ENTRY_MARK)) & listing.rlike(V.ZIP_CONTENT_TYPES) & listing.rlike(V.ZIP_DECK_PART)), F.lit(False))
 
-def sniff_file_type(files: DataFrame) -> DataFrame:
-    """files + file_type {pdf,pptx,null}, decided by content; one pass over the files.
 
-    Only archives are handed to Python (their names are listed there).
-    """
+def sniff_file_type(files: DataFrame) -> DataFrame:
+    """files + file_type {pdf,pptx,null}, decided by content with binary functions only."""
     is_pdf = F.substring("content", 1, 5) == F.lit(b"%PDF-")
     is_zip = F.substring("content", 1, 4) == F.lit(b"PK\x03\x04")
-    staged = files.withColumn("_deck", _is_slide_archive(F.when(is_zip, F.col("content"))))
-    return staged.withColumn("file_type", F.when(is_pdf, "pdf").when(F.col("_deck"), "pptx")).drop("_deck")
+    return files.withColumn(
+        "file_type", F.when(is_pdf, "pdf").when(is_zip & _is_slide_archive(F.col("content")), "pptx"))
 
 
 def base_name(name: Column) -> Column:

@@ -57,7 +57,7 @@ def difference(spark, folder, fn, sql, con=None) -> tuple[str | None, int]:
     got_names, got = rows_of(df.columns, df.collect())
     LAPS["spark"] = time.time() - start
     if sql is None:
-        return None, len(got)
+        return "no SQL states this result", len(got)
     start = time.time()
     res = (con or duck(folder)).execute(sql)
     want_names, want = rows_of([d[0] for d in res.description], res.fetchall())

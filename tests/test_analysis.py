@@ -129,3 +129,23 @@ def test_failed_analysis_stores_nothing(spark):
     done = spark.createDataFrame([(1,), (2,)], "submission_id long")
     failed = spark.createDataFrame([(2, "boom")], "submission_id long, error string")
     assert {r.submission_id: r.status for r in analysis_status(subs, done, failed).collect()} == {1: "completed", 2: "failed", 3: "pending"}
+
+
+def test_approaches_over_slide_borders(spark):
+    from docketflow import fixed_values as V
+    from docketflow.operators.extraction import border_approaches, with_border_approaches
+
+    rows = [
+        (1, 1, False, "a", "the van follows a collection"), (1, 2, True, "hidden", "x"), (1, 3, False, "routes ahead", "done"),
+        (2, 1, False, "b", "a collection"), (2, 2, False, "of routes", "long wait"), (2, 3, False, "timeless", "z"),
+        (3, 10**12, False, "c", "water"), (3, 10**15, False, "quality first", "q"), (4, 1, False, "only one", "collection"),
+    ]
+    findings = spark.createDataFrame(rows, "submission_id long, page_number long, withheld boolean, head string, tail string")
+    borders = border_approaches(findings)
+    got = {r.submission_id: [i for i, hit in enumerate(r.over_borders) if hit] for r in borders.collect()}
+    routes, wait, water = 0, 3, 5
+    assert got == {1: [routes], 2: [wait], 3: [water]}
+    none = F.array(*[F.lit(False)] * len(V.COMMON_APPROACHES))
+    facts = spark.createDataFrame([(1,), (4,)], "submission_id long").withColumn("approaches", none)
+    both = {r.submission_id: sum(r.approaches) for r in with_border_approaches(facts, borders).collect()}
+    assert both == {1: 1, 4: 0}

@@ -96,3 +96,29 @@ def test_finalize_rules(spark, rubric, rounds):
     assert got[3].decision == "kept"
     assert got[4].decision == "revised" and got[4].revision_direction == "no_change"  # a comment alone is a revision
     assert got[5].rejected.startswith("Submit") and "between" in got[6].rejected and got[7].rejected.startswith("Review")
+
+
+def test_finalize_cleans_the_revised_sheet(spark, rubric, rounds):
+    from datetime import datetime as dt
+
+    sheet, when = "array<struct<criterion_id:bigint,score:double,comment:string>>", dt(2024, 1, 1)
+    held = [(c, 5.0, "ok" if c == 1 else "") for c in range(1, 6)]
+    padded = [(c, 5.0, "  ok " if c == 1 else None) for c in range(5, 0, -1)]
+    empty = [(c, None if c == 2 else 5.0, "") for c in range(1, 6)]
+    nan = [(c, float("nan") if c == 2 else 5.0, "") for c in range(1, 6)]
+    twice = [*held, (1, 9.0, "ok")]
+    requests = spark.createDataFrame(
+        [(i, "revise", s, "", when) for i, s in enumerate((padded, empty, nan, twice), 1)],
+        f"assignment_id long, decision string, revised_scores {sheet}, reason string, finalized_at timestamp")
+    evals = spark.createDataFrame([(i, held, 50.0) for i in range(1, 5)], f"assignment_id long, criterion_scores {sheet}, weighted_score double")
+    ai = "array<struct<criterion_id:bigint,score:double>>"
+    reveals = spark.createDataFrame([(i, i == 1, 60.0, when, [(1, 7.0)]) for i in range(1, 5)],
+                                    f"assignment_id long, ai_available boolean, ai_score_shown double, revealed_at timestamp, ai_criterion_scores {ai}")
+    none = spark.createDataFrame([], "assignment_id long")
+    asg = spark.createDataFrame([(a, 1) for a in range(1, 5)], "assignment_id long, round_id long")
+    got = {r.assignment_id: r for r in S.finalize_reviews(requests, evals, reveals, none, asg, rubric, rounds).collect()}
+    assert got[1].decision == "kept" and got[1].revised_criterion_scores == got[1].initial_criterion_scores
+    assert [tuple(s) for s in got[1].ai_criterion_scores] == [(1, 7.0)]
+    assert "between" in got[2].rejected and "between" in got[3].rejected
+    assert got[4].decision == "revised" and got[4].revised_criterion_scores[0].score == 9.0 and got[4].ai_criterion_scores is None
+    assert got[4].human_revised_score == 58.0

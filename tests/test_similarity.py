@@ -62,3 +62,13 @@ def test_columns(spark):
     assert rows[0]["u"] == ["zzz"] and rows[0]["s"][0] == 100.0 and rows[1]["s"] == [75.0] and rows[2]["s"] == [0.0]
     maps = df.withColumn("u", unsettled(F.col("n"), F.col("h"))).select(score_map(F.col("u"), F.col("h"), 60.0).alias("m")).collect()
     assert maps[1]["m"]["abxd"] >= 60
+
+
+def test_lower_first_keeps_long_texts(spark):
+    from docketflow.functions.text import lower_first
+    from pyspark.sql import functions as F
+
+    long = "Word " + "x" * 2_100_000
+    rows = spark.createDataFrame([(long,), ("W" + "o" * 2_100_000,), ("NASA",), ("",), ("A",)], "t string")
+    got = [r.l for r in rows.select(lower_first(F.col("t")).alias("l")).collect()]
+    assert got == ["word " + "x" * 2_100_000, "w" + "o" * 2_100_000, "NASA", "", "a"]

@@ -1,6 +1,7 @@
 import csv
 import io
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -98,10 +99,55 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).limit(1).count() == 1
-    assert set(entry.oracle_sql()) <= set(entry.queries()) == set(all_queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(all_queries()) <= set(entry.queries())
+
+
+def test_nothing_else_imports_the_training_data_part():
+    root = Path(__file__).resolve().parents[1]
+    for path in [*root.glob("docketflow/**/*.py"), *root.glob("*.py"), *root.glob("tests/*.py")]:
+        if "llm" in path.parts or path.name in ("corpus_pipeline.py", "__spark_entry__.py"):
+            continue
+        assert "import corpus_pipeline" not in path.read_text().replace('"import corpus_pipeline"', "")
+        assert "docketflow.llm" not in path.read_text().replace('"docketflow.llm"', "")
 
 
 def test_hidden_note(spark):
     df = spark.createDataFrame([(True, ["a"]), (False, ["b"])], "hidden boolean, processing_notes array<string>")
     got = {r.hidden: r.processing_notes for r in UN.with_hidden_notes(df).collect()}
     assert got == {True: ["a", V.HIDDEN_SLIDE_NOTE], False: ["b"]}
+
+
+def test_round_limit_is_taken_as_it_is(spark):
+    units = spark.range(400).selectExpr("1L submission_id").unionByName(spark.range(401).selectExpr("2L submission_id"))
+    subs = spark.createDataFrame([(1, 1), (2, 1)], "id long, round_id long")
+    rounds = spark.createDataFrame([(1, 400)], "id long, max_pages int")
+    got = {r.submission_id: r.reject_reason for r in FI.check_page_limit(units, subs, rounds).collect()}
+    assert got[1] is None and "at most 400" in got[2]
+
+
+def test_archives_by_their_directory(spark):
+    import struct
+
+    good = archive("[Content_Types].xml", "ppt/a.xml")
+    remark = io.BytesIO(good)
+    with zipfile.ZipFile(remark, "a") as z:
+        z.comment = b"PK\x05\x06 a remark that holds the mark of the end record"
+    bodies = {
+        "deck": good, "deck_with_many_parts": archive(*[f"x{i}" for i in range(3000)], "ppt/b", "[Content_Types].xml"),
+        "deck_after_other_bytes": b"PK\x03\x04" + b"." * 99 + good, "letter": archive("[Content_Types].xml", "word/ppt/a.xml"),
+        "names_in_content": archive("a.txt") + b"ppt/ [Content_Types].xml", "empty_archive": b"PK\x05\x06" + bytes(18),
+        "cut": good[:-22], "start_only": b"PK\x03\x04", "wrong_length": good[:-10] + struct.pack("<I", 1 << 31) + good[-6:],
+    }
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in bodies.items()], "name string, content binary")
+    got = {r.name for r in FI.sniff_file_type(files).collect() if r.file_type == "pptx"}
+    assert got == {"deck", "deck_with_many_parts", "deck_after_other_bytes"}
+
+
+def test_written_schemas_read_back(spark, tmp_path):
+    import json
+
+    from pyspark.sql import types as T
+
+    sinks.export_schemas(CONTRACTS, str(tmp_path / "s"), spark)
+    got = {r.name: T.StructType.fromJson(json.loads(r.schema)) for r in spark.read.json(str(tmp_path / "s")).collect()}
+    assert got == CONTRACTS
