@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -55,6 +56,7 @@ STOP_WORDS = frozenset(
     "son sont sur un une vous y "
     "al como con del el ella en es esta este ha la las lo los más mi muy no o para pero por que se ser si sin su sus también un una unos y ya yo".split())
 
+EDGES = string.punctuation + "«»„“”‘’…–—"
 SHORT, LONG = 70, 200
 STOPS_HIGH, STOPS_LOW = 0.30, 0.20
 LINKS_PAGE, LINKS_ARTICLE = 0.33, 0.5
@@ -114,12 +116,13 @@ class Reader:
         self.linked = 0
         self.link = False
         self.breaks = 0
+        self.skipped: list[str] = []  # open inline elements within an inline advert, share bar or the like
 
     def place(self) -> str:
         return self.open[-1][1] if self.open else PAGE
 
     def text(self, raw: str) -> None:
-        if not raw:
+        if not raw or self.skipped:
             return
         plain = html.unescape(raw) if "&" in raw else raw
         self.parts.append(plain)
@@ -132,7 +135,7 @@ class Reader:
         joined = " ".join("".join(self.parts).split())
         if joined:
             self.blocks.append(Block(joined, self.linked, self.place()))
-        self.parts, self.linked, self.breaks = [], 0, 0
+        self.parts, self.linked, self.breaks, self.skipped = [], 0, 0, []
 
     def start(self, tag: str, attributes: str) -> None:
         if tag == "a":
@@ -153,8 +156,8 @@ class Reader:
                     self.open.pop()
             if tag not in VOID:
                 self.open.append((tag, _place(tag, attributes, self.place())))
-        elif self.parts and tag in ("img", "input", "wbr"):
-            return
+        elif tag not in VOID and (self.skipped or (attributes.strip() and self.place() != OFF and _place(tag, attributes, self.place()) == OFF)):
+            self.skipped.append(tag)
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -166,6 +169,9 @@ class Reader:
                     del self.open[i:]
                     self.link = False
                     break
+        elif tag in self.skipped:
+            while self.skipped.pop() != tag:
+                pass
 
     def read(self, page: str) -> list[Block]:
         at = 0
@@ -203,7 +209,7 @@ def first_pass(block: Block) -> str:
     if inside:
         return GOOD
     words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    stops = sum(w.strip(EDGES) in STOP_WORDS for w in words) / len(words)
     if stops >= STOPS_HIGH:
         return GOOD if size > LONG else NEAR_GOOD
     return NEAR_GOOD if stops >= STOPS_LOW else BAD

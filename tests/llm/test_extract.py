@@ -17,6 +17,7 @@ LONG = "This is the long text of the article and it is here for the reader to se
     (f"<div class='has-sidebar content'><article><script>var t='</p><p>{LONG}';</script><style>p{{}}</style><p>{LONG}<!-- <p>no</p> --></article></div>", [LONG]),
     (f"<body><div class=cookie-notice>{LONG}</div><div><p>{LONG}</p><p>ok</p><p>{LONG} {LONG} {LONG}</p></div><p><a href=x>{LONG}</a></p>", [LONG, "ok", f"{LONG} {LONG} {LONG}"]),
     (f"<article><p>{LONG}<div hidden>{LONG}</div><div style='display: none'>{LONG}</div><p title='a > b'>{LONG}</article>", [LONG, LONG]),
+    (f"<article><p>{LONG} <span class='ad'>buy <b>now</b></span>So it ends. <em class=lead>Yes</em></p><p><span id=share>Share <p>{LONG}</article>", [f"{LONG} So it ends. Yes", LONG]),
     (f"<article><p>{LONG}</p><!-- never closed <p>{LONG}</p>", [LONG]), (f"<article><p>{LONG}</p><script>{LONG}", [LONG]),
 ])
 def test_pages(page, blocks):
