@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import string
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -112,6 +113,7 @@ class Reader:
     def __init__(self) -> None:
         self.blocks: list[Block] = []
         self.open: list[tuple[str, str]] = []  # open block elements: tag and the place of their content
+        self.opened: Counter[str] = Counter()  # how many of each are open
         self.parts: list[str] = []
         self.linked = 0
         self.link = False
@@ -137,6 +139,11 @@ class Reader:
             self.blocks.append(Block(joined, self.linked, self.place()))
         self.parts, self.linked, self.breaks, self.skipped = [], 0, 0, []
 
+    def close(self, upto: int) -> None:
+        """Close open elements down to the one at ``upto``."""
+        while len(self.open) > upto:
+            self.opened[self.open.pop()[0]] -= 1
+
     def start(self, tag: str, attributes: str) -> None:
         if tag == "a":
             self.link = True
@@ -147,15 +154,12 @@ class Reader:
                 self.end_block()
         elif tag in BLOCKS:
             self.end_block()
-            if tag in CLOSES_PARAGRAPH and self.open and self.open[-1][0] == "p":
-                self.open.pop()
-            if tag == "li" and self.open and self.open[-1][0] == "li":
-                self.open.pop()
-            if tag == "body":
-                while self.open and self.open[-1][0] == "head":
-                    self.open.pop()
+            for closed in (("p",) if tag in CLOSES_PARAGRAPH else ()) + ((tag,) if tag == "li" else ("head",) if tag == "body" else ()):
+                if self.open and self.open[-1][0] == closed:
+                    self.close(len(self.open) - 1)
             if tag not in VOID:
                 self.open.append((tag, _place(tag, attributes, self.place())))
+                self.opened[tag] += 1
         elif tag not in VOID and (self.skipped or (attributes.strip() and self.place() != OFF and _place(tag, attributes, self.place()) == OFF)):
             self.skipped.append(tag)
 
@@ -164,11 +168,12 @@ class Reader:
             self.link = False
         elif tag in BLOCKS:
             self.end_block()
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][0] == tag:
-                    del self.open[i:]
-                    self.link = False
-                    break
+            if self.opened[tag]:
+                last = len(self.open) - 1
+                while self.open[last][0] != tag:  # every element passed is closed, so each is passed once
+                    last -= 1
+                self.close(last)
+                self.link = False
         elif tag in self.skipped:
             while self.skipped.pop() != tag:
                 pass

@@ -165,10 +165,11 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[int]]:
     for a, kind, b in base:
         flat += [kind, a, b, *votes_and_features(text, a, kind, b, True), 1]
     if wide:
-        starts = [a for a, _ in taken]
+        starts = np.array([a for a, _ in taken], dtype=np.int64)
+        furthest = np.maximum.accumulate(np.array([0] + [b for _, b in taken], dtype=np.int64))
         for a, kind, b in sorted(wide):
-            # base spans of different kinds may overlap one another, so all that start before the end are looked at
-            if not any(x < b and a < y for x, y in taken[: int(np.searchsorted(starts, b))]):
+            # of the base spans that start before its end, none reaches beyond its start
+            if furthest[np.searchsorted(starts, b)] <= a:
                 flat += [kind, a, b, *votes_and_features(text, a, kind, b, False), 0]
     return base, flat
 

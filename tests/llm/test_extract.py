@@ -45,7 +45,7 @@ def test_test_data_against_the_article_element(spark, queries):
 
 
 def test_odd_tables(spark, tmp_path, queries):
-    deep = "<div>" * 20_000 + f"<article><p>{LONG}</p></article>"
+    deep = "<div>" * 20_000 + "</p></li></b>" * 20_000 + f"<article><p>{LONG}</p></article>"
     pages = [(1, "u", None), (1, None, ""), (None, "u", f"<article>{LONG}"), (4, "u", deep), (5, "u", "<" * 50_000), (6, "u", "<a b='" * 2000)]
     df = spark.createDataFrame([(*p, "t", 5) for p in pages], "page_id long, url string, html string, text string, key int")
     rows = queries["op4_html_extraction"](spark, folder_of(tmp_path, pages=df)).collect()
