@@ -92,7 +92,7 @@ def stage(docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
             yield flush(number, rows, texts)
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(held).alias("held"), F.col(text).alias("text"))
-    return cut(own.mapInPandas(blocks, _STAGED), "blocks")
+    return cut(own.mapInPandas(blocks, _STAGED), "blocks", "zstd")
 
 
 def vocabulary_counts(staged: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def vocabulary_counts(staged: DataFrame) -> DataFrame:
     return cut(rows.select(
         "block", "place", "class", "n", F.sum("n").over(same).alias("c"),
         (F.row_number().over(same.orderBy("block")) == 1).alias("first"),
-    ), "vocabulary")
+    ), "vocabulary", "zstd")
 
 
 @dataclass
