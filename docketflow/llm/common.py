@@ -40,6 +40,16 @@ def with_row(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def hashed_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of the ``total`` rows of ``df``, at most that many, chosen by a hash of a unique number.
+
+    Rows are thinned where they are read, so what tasks send on does not grow with their number.
+    """
+    share = min(1.0, 2 * rows / max(1, total))
+    mark = F.xxhash64(F.lit(29), F.col(key))
+    return df.filter(F.pmod(mark, F.lit(1 << 31)) < int(share * (1 << 31))).orderBy(mark, key).limit(rows)
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser over uint64, the source of reproducible draws."""
     with np.errstate(over="ignore"):

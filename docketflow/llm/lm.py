@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketflow.llm.chains import Chains
-from docketflow.llm.common import fold_of, words_of
+from docketflow.llm.common import fold_of, hashed_sample, words_of
 from docketflow.session import cut
 
 CLASSES, END = 4096, 0
@@ -235,10 +235,10 @@ def baum_welch(learning: DataFrame, model: Model) -> Model:
     )
 
 
-def train(staged: DataFrame, passes: int = PASSES, states: int = STATES) -> Model:
-    """States learned from all learning rows of written blocks."""
+def train(staged: DataFrame, texts: int, passes: int = PASSES, states: int = STATES) -> Model:
+    """States learned from all learning rows of written blocks; ``texts`` is their number."""
     learning = staged.filter("row is not null and not held")
-    some = learning.select("row", "classes").orderBy(F.xxhash64("row"), "row").limit(FIRST_ROWS).collect()
+    some = hashed_sample(learning.select("row", "classes"), "row", FIRST_ROWS, texts).collect()
     model = first_model([classes_of(r["classes"]) for r in some], states)
     for _ in range(passes if some else 0):
         model = baum_welch(learning, model)
@@ -296,7 +296,7 @@ def score_texts(docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
     staged = stage(docs, key, text, held)
     vocabulary = vocabulary_counts(staged)
     known = totals(staged, vocabulary)
-    model = train(staged)
+    model = train(staged, known.ends)
     states = state_scores(staged.filter("row is not null"), model)
     return word_scores(staged, vocabulary, known).join(states, "row").select(
         F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known",

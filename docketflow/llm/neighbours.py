@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketflow.llm.common import hashed_sample
 from docketflow.operators.skew import first_per_group
 from docketflow.session import cut
 
@@ -108,7 +109,7 @@ def nearest(
     size, asking = rows.agg(F.count("*"), F.count_if(F.coalesce("asks", F.lit(False)))).first()
     blocks, groups = max(1, -(-size // BLOCK_ROWS)), max(1, -(-asking // QUERY_GROUP))
 
-    sample = rows.select("id", "vector").orderBy(F.xxhash64("id", "vector"), "id").limit(SAMPLE).dropDuplicates(["vector"])
+    sample = hashed_sample(rows.select("row", "id", "vector"), "row", SAMPLE, size).dropDuplicates(["vector"])
     found = sorted(sample.collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["vector"]))
     pivots = far_apart(np.array([r["vector"] for r in found], dtype=float).reshape(len(found), width), PIVOTS)
 
