@@ -5,14 +5,15 @@ with the share of their text that stands in links and the kind of place they sta
 
 Pass one decides what it can: blocks in menus, page headers, footers, sidebars, notices,
 adverts, forms and reader comments are boilerplate, and so are those made of links.  Of the
-others, long ones with enough stop words are main text; inside an article every long block
-is.  Short blocks stay open.  In pass two each open block takes the label of its nearest
+others, long ones with enough stop words are main text, and those with few are boilerplate;
+inside an article they stay open, as short blocks do.  In pass two each open block takes the label of its nearest
 decided neighbours, looked for on both sides within its own part of the page.  If they differ
 the nearer one counts, and with none the block is not text; but an article's own block is
 dropped only between boilerplate on both sides.
 
-Scripts, styles and other content that is not shown never become blocks.  If an article (or
-else a main element) has text, the page's text is that part's.  White space is collapsed,
+Scripts, styles and other content that is not shown never become blocks.  If the articles (or
+else the main element, or both) hold at least half of the main text, blocks elsewhere stay
+only if pass one alone finds them main text, as with a lead before the article.  White space is collapsed,
 blocks are joined by an empty line; nothing else is cut.  A null, empty or broken page gives
 the text that can be read, an empty one if none.  Unclosed tags end with their parents.
 """
@@ -211,13 +212,13 @@ def first_pass(block: Block) -> str:
         return BAD
     if size < SHORT:
         return BAD if block.linked and not inside else OPEN
-    if inside:
-        return GOOD
     words = block.text.lower().split()
     stops = sum(w.strip(EDGES) in STOP_WORDS for w in words) / len(words)
     if stops >= STOPS_HIGH:
         return GOOD if size > LONG else NEAR_GOOD
-    return NEAR_GOOD if stops >= STOPS_LOW else BAD
+    if stops >= STOPS_LOW:
+        return NEAR_GOOD
+    return OPEN if inside else BAD
 
 
 def second_pass(places: list[str], labels: list[str]) -> list[bool]:
@@ -260,18 +261,30 @@ def second_pass(places: list[str], labels: list[str]) -> list[bool]:
     return out
 
 
+def _main_places(good: list[tuple[Block, str]]) -> frozenset[str]:
+    """The places of the main part: those of articles, or of main elements, if they hold most of the good text; else all."""
+    texts = Counter({place: 0 for place in (ARTICLE, MAIN, PAGE)})
+    for block, label in good:
+        if label != OPEN:
+            texts[block.place] += len(block.text)
+    if not texts.total():  # short blocks only
+        texts.update(b.place for b, _ in good)
+    for places in (frozenset([ARTICLE]), frozenset([MAIN]), frozenset([ARTICLE, MAIN])):
+        if 2 * sum(texts[p] for p in places) >= texts.total():
+            return places
+    return frozenset([ARTICLE, MAIN, PAGE])
+
+
 def main_blocks(page: str | None) -> list[str]:
     """The blocks of a page's main text, in page order."""
     blocks = Reader().read(page) if page else []
-    labels = [first_pass(b) for b in blocks]
+    labels = own = [first_pass(b) for b in blocks]
     if GOOD not in labels:  # a page of middling blocks only: the best there is
         labels = [GOOD if label == NEAR_GOOD else label for label in labels]
     kept = second_pass([b.place for b in blocks], labels)
-    good = [b for b, keep in zip(blocks, kept) if keep]
-    for part in (ARTICLE, MAIN):
-        if any(b.place == part for b in good):
-            return [b.text for b in good if b.place == part]
-    return [b.text for b in good]
+    good = [(b, label) for b, label, keep in zip(blocks, own, kept) if keep]
+    places = _main_places(good)
+    return [b.text for b, label in good if label == GOOD or b.place in places]
 
 
 def main_text(page: str | None) -> str:

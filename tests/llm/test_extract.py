@@ -51,3 +51,20 @@ def test_odd_tables(spark, tmp_path, queries):
     rows = queries["op4_html_extraction"](spark, folder_of(tmp_path, pages=df)).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in rows) == [(0, len(LONG)), (1, 0), (1, 0), (4, len(LONG)), (5, 0), (6, 0)]
     assert extract.extract(df.limit(0)).count() == 0
+
+
+PROSE = f"{LONG} {LONG} {LONG}"
+CODES = "zx81 qk4 plm " * 20
+
+
+@pytest.mark.parametrize(("page", "blocks"), [
+    (f"<main><p>{PROSE}</p></main><article class='teaser'><h3>Next story</h3></article>", [PROSE]),
+    (f"<main><p>{LONG}</p><p>{LONG}</p></main><article><h3>Next story</h3></article><article><h3>More</h3></article>", [LONG, LONG]),
+    (f"<div><p>{PROSE}</p><p>{PROSE}</p></div><article class=teaser><p>{LONG}</p></article>", [PROSE, PROSE, LONG]),
+    (f"<main><p>{PROSE}</p><article><p>{PROSE}</p><p>{PROSE}</p></article><p>Next story</p></main>", [PROSE] * 3),
+    (f"<article><p>{PROSE}</p></article><div><p>{LONG}</p></div>", [PROSE]),
+    (f"<article><p>{LONG}</p></article><div><p>{LONG}</p></div>", [LONG]),
+    (f"<article><p><a href=x>{LONG}</a><p>{CODES}<p><a href=y>{LONG}</a></article><article><p>{PROSE}</article>", [PROSE]),
+])
+def test_elements_are_evidence_only(page, blocks):
+    assert extract.main_blocks(page) == blocks
