@@ -15,12 +15,14 @@ therefore differ by one row at most, and slots have no gaps.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.operators.skew import running_total
-from docketflow.session import cut
+from docketflow.session import cut, ensure_checkpoint_dir
 
 #: Records of a bucket at most, on average.  Each swap copies the bucket's references, so cost per row grows with it.
 BUCKET_ROWS = 2048
@@ -63,7 +65,7 @@ def scatter_and_shuffle(
     staged = cut(records.select(
         record.alias("rec"), weight.alias("weight"), F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key]).alias("h"),
         F.monotonically_increasing_id().alias("row"),
-    ), "scatter")
+    ), "scatter", "zstd")
     rows, weight_sum = staged.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0))).first()
     buckets = max(1, -(-rows // bucket_rows), -(-int(weight_sum) // bucket_bytes))
     bucket = F.pmod(F.xxhash64("h", "row"), F.lit(buckets))
@@ -72,8 +74,9 @@ def scatter_and_shuffle(
         staged.select(bucket.alias("bucket"), F.struct("row", "rec").alias("item"))
         .groupBy("bucket").agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    permuted = fisher_yates(F.col("items"), F.xxhash64(F.lit(seed), F.col("bucket")))
-    return cut(gathered.select("bucket", F.size("items").alias("n"), F.transform(permuted, lambda x: x["rec"]).alias("items")), "buckets")
+    # places are permuted and each record is fetched once: a swap of records would copy their texts
+    places = fisher_yates(F.sequence(F.lit(0), F.size("items") - 1), F.xxhash64(F.lit(seed), F.col("bucket")))
+    return cut(gathered.select("bucket", F.size("items").alias("n"), F.transform(places, lambda i: F.col("items")[i]["rec"]).alias("items")), "buckets", "zstd")
 
 
 def shard_records(
@@ -89,7 +92,8 @@ def shard_records(
     done = scatter_and_shuffle(records, key, size, seed, bucket_rows, bucket_bytes)
     counts = done.select("bucket", "n", F.lit(0).alias("all"))
     ahead = running_total(counts, ["all"], "bucket", {"first": F.col("n")}).select("bucket", "first")
-    placed = done.join(ahead, "bucket").select("first", F.posexplode("items").alias("at", "rec"))
+    # a number for each bucket goes to the tasks, so that the records are not shuffled again
+    placed = done.join(F.broadcast(ahead), "bucket").select("first", F.posexplode("items").alias("at", "rec"))
     position = (F.col("first") + F.col("at")).cast("long")
     return placed.select(
         "rec.*", F.pmod(position, F.lit(shards)).cast("int").alias(shard),
@@ -100,11 +104,18 @@ def shard_records(
 def write_shards(sharded: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
     """One folder for each shard, rows in slot order within a file.
 
-    Each file holds a range of slots of one shard, so shards of any size are written by
-    many tasks.
+    Every task writes the slots that its buckets have in each shard, so shards of any size
+    are written by many tasks and records are not shuffled again.
     """
-    block = F.floor(F.col(slot) / F.lit(1 << 16))
-    sharded.repartition(F.col(shard), block).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    sharded.sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path, compression="zstd")
+
+
+def stored_shards(sharded: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFrame:
+    """``sharded`` written by ``write_shards`` into the checkpoint folder and read from its files."""
+    spark = sharded.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/shards-{uuid.uuid4().hex}"
+    write_shards(sharded, path, shard, slot)
+    return spark.read.schema(sharded.schema).parquet(path).select(*[F.col(f"`{c}`") for c in sharded.columns])
 
 
 def text_size(text: Column) -> Column:

@@ -48,3 +48,26 @@ def test_written_shards(spark, tmp_path):
     sharding.write_shards(out, f"{tmp_path}/shards")
     back = spark.read.parquet(f"{tmp_path}/shards")
     assert sorted(map(repr, back.select(*out.columns).collect())) == sorted(map(repr, out.collect()))
+
+
+def test_query_shards_whole_documents(spark, tmp_path, queries, monkeypatch):
+    """Every document is in the shard files with all its columns, where the query says it is."""
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, *names: (paths.append(path), write(df, path, *names)))
+    docs = documents(spark, TEXTS)
+    rows = queries["op1_sharding"](spark, folder_of(tmp_path, documents=docs)).collect()
+    back = {r.doc_id: r for r in spark.read.parquet(paths[0]).collect()}
+    assert sorted(map(repr, spark.read.parquet(paths[0]).select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+    assert all((back[r.doc_id].shard, back[r.doc_id].slot) == (r.shard, r.slot) for r in rows)
+
+
+def test_buckets_of_long_texts(spark, tmp_path):
+    """Records of 100 kB in buckets bounded by bytes, written in several files a shard."""
+    text = F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), F.lit(20_000))
+    records = spark.range(300).select("id", text.alias("text")).withColumn("size", sharding.text_size(F.col("text")))
+    out = sharding.stored_shards(sharding.shard_records(records, ["id"], "size", shards=3, bucket_bytes=1 << 20))
+    want = {(r.id, r.text) for r in records.collect()}
+    rows = out.collect()
+    assert {(r.id, r.text) for r in rows} == want and len(rows) == 300
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(3) for i in range(100)]
+    assert sharding.stored_shards(sharding.shard_records(records.limit(0), ["id"], "size")).count() == 0
