@@ -8,8 +8,8 @@ its label.  Forward-backward gives each word's chance of each language; the text
 language with the largest mean chance, ties to the first in alphabetical order.
 
 The field is fitted on a bounded sample: ``SAMPLE_ROWS`` rows of each language in the order
-of a hash of their id, and of each text ``SAMPLE_WINDOWS`` windows of ``WINDOW`` words spread
-over the whole text; ``SAMPLE_TOTAL`` windows at most.  Labels are predicted from whole texts.
+of a hash of their id and row number, and of each text ``SAMPLE_WINDOWS`` windows of ``WINDOW``
+words spread over the whole text; ``SAMPLE_TOTAL`` windows at most, shared among the languages.  Labels are predicted from whole texts.
 
 A null text, and one without letters, is ``und`` with score 0.  Rows with a null language or
 id are not learned from.  If nothing can be learned every text is ``und``.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.llm.chains import Chains
-from docketflow.llm.common import chunks, fold_of
+from docketflow.llm.common import chunks, fold_of, with_row
 from docketflow.operators.skew import first_per_group
 
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW, SAMPLE_TOTAL = 300, 12, 48, 20_000
@@ -192,34 +192,38 @@ def fit(windows: list[tuple[str, list[str]]]) -> Field | None:
 
 
 _WINDOWS = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("at", T.LongType()),
-    T.StructField("words", T.ArrayType(T.StringType())),
+    T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("lang", T.StringType()),
+    T.StructField("at", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())),
 ])
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Field | None:
     """A field fitted on a bounded sample of the rows of ``docs`` with a language."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null")
-    order = [F.xxhash64("key"), F.col("key")]
-    # at most SAMPLE_TOTAL ids, whatever the table and however many languages: small enough for every task
-    chosen = first_per_group(rows.select("key", "lang").filter("key is not null"), ["lang"], order, sample_rows).orderBy(
-        "rn", *order, "lang").limit(SAMPLE_TOTAL).select("key", "lang").distinct()
+    rows = with_row(docs.select(F.col(key).cast("long").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")), "row")
+    rows = rows.filter("lang is not null and key is not null")
+    order = [F.xxhash64("key", "row"), F.col("row")]
+    # at most SAMPLE_TOTAL rows, whatever the table and however many languages or rows of one id: small enough for every task
+    chosen = first_per_group(rows.select("row", "key", "lang"), ["lang"], order, sample_rows).orderBy(
+        "rn", *order).limit(SAMPLE_TOTAL).select("row")
 
     def cut_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k, language, t in zip(batch["key"], batch["lang"], batch["text"]):
+            for row, k, language, t in zip(batch["row"], batch["key"], batch["lang"], batch["text"]):
                 own = words(t)
                 places = range(0, len(own), WINDOW)
                 step = max(1, -(-len(places) // SAMPLE_WINDOWS))
                 taken = places[::step]
                 if taken:
                     yield pd.DataFrame({
-                        "key": [k] * len(taken), "lang": [language] * len(taken), "at": list(taken),
+                        "row": [row] * len(taken), "key": [k] * len(taken), "lang": [language] * len(taken), "at": list(taken),
+                        "turn": range(len(taken)),
                         "words": [own[a : a + WINDOW] for a in taken],
                     })
 
-    windows = rows.join(F.broadcast(chosen), ["key", "lang"], "left_semi").select("key", "lang", "text").mapInPandas(cut_windows, _WINDOWS)
-    found = windows.orderBy(*order, "lang", "at", "words").limit(SAMPLE_TOTAL).collect()
+    windows = rows.join(F.broadcast(chosen), "row", "left_semi").select("row", "key", "lang", "text").mapInPandas(cut_windows, _WINDOWS)
+    # languages take turns, so each has its share and what one leaves goes to the others; first windows of texts come first
+    shared = first_per_group(windows, ["lang"], [F.col("turn"), *order], SAMPLE_TOTAL).orderBy("rn", "lang").limit(SAMPLE_TOTAL)
+    found = shared.orderBy(*order, "at").collect()
     return fit([(r["lang"], r["words"]) for r in found])
 
 

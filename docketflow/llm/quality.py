@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketflow.llm.common import chunks, fold_of, words_of
+from docketflow.llm.common import chunks, fold_of, with_row, words_of
 
 #: Labelled rows that a fit reads at most; bounds what reaches the driver.
 SAMPLE_ROWS = 4000
@@ -137,9 +137,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A machine fitted on a sample of the labelled rows of ``docs`` (pass only rows it may learn from)."""
     known = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).filter("key is not null and label in (0, 1)")
     order = [F.xxhash64("key"), F.col("key"), F.col("label")]
-    chosen = known.orderBy(*order).limit(sample_rows)
+    chosen = known.distinct().orderBy(*order).limit(sample_rows)
     size = F.col(length).cast("double") if length in docs.columns else F.lit(None).cast("double")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), size.alias("size"))
+    rows = with_row(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), size.alias("size")), "row")
 
     schema = T.StructType([
         T.StructField("key", T.LongType()), T.StructField("label", T.IntegerType()),
@@ -159,7 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 })
 
     # the chosen ids are at most sample_rows, so they may be sent to every task
-    measured_rows = rows.join(F.broadcast(chosen), "key").select(
+    # an id may have many rows: one is taken for each chosen label
+    firsts = rows.select("row", "key").join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("row").alias("row")).select("row", "label")
+    measured_rows = rows.join(F.broadcast(firsts), "row").select(
         "key", F.col("label").cast("int").alias("label"), "text", "size").mapInPandas(measured, schema)
     found = measured_rows.orderBy(*order).limit(sample_rows).collect()
     stats = np.array([r["stats"] for r in found], dtype=float).reshape(len(found), STATISTICS)

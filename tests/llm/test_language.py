@@ -83,3 +83,17 @@ def test_odd_tables(spark, tmp_path, queries):
     unknown = language.identify(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()
     assert {r.lang_pred for r in unknown} == {"und"}
     assert language.identify(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_learned_from(spark, monkeypatch):
+    """Neither many languages nor an id with most of the rows keeps a language out of the sample."""
+    seen = []
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 300)
+    monkeypatch.setattr(language, "fit", seen.extend)
+    langs = [f"l{i % 20:02}" for i in range(400)] + ["rare"] * 3 + ["l00"] * 800
+    texts = [f"{name} word " * 200 for name in langs]
+    docs = documents(spark, texts, langs=langs, ids=[*range(403), *[7777] * 800])
+    language.learn(docs)
+    counts = {name: sum(x == name for x, _ in seen) for name in set(langs)}
+    assert len(seen) == 300 and min(counts.values()) >= 14 and max(counts.values()) <= 15
+    assert all(set(own) <= {"word", "rare", "l"} for _, own in seen)

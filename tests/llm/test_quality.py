@@ -44,3 +44,14 @@ def test_labels_do_not_leak(spark):
     assert held
     scores = [sorted((r.doc_id, r.score) for r in quality.quality_scores(docs, label(f)).collect()) for f in (False, True)]
     assert scores[0] == scores[1]
+
+
+def test_one_row_for_each_chosen_label(spark, monkeypatch):
+    """An id that holds most of the rows does not push the other labels out of the sample."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda stats, shares, y: seen.append(y))
+    ids = [*range(40), *range(1000, 1001), *[7] * 500]
+    docs = documents(spark, [f"text of {i}" for i in ids], ids=ids)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(7, 1)] * 100, "doc_id long, quality int")
+    quality.learn(docs, labels, sample_rows=40)
+    assert len(seen[0]) == 40 and sum(seen[0]) == 20
