@@ -287,6 +287,24 @@ def encode(text: Column, key: Column, pieces: Pieces, seed: int = SEED) -> Colum
     return encoded(text, _drawn(key, seed))
 
 
+def encode_checked(text: Column, key: Column, pieces: Pieces, seed: int = SEED) -> Column:
+    """``piece_ids`` as by ``encode`` and ``lossless``, whether they decode to the text, in one pass."""
+    schema = T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+
+    @F.pandas_udf(schema)
+    def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        lattices = Lattices(pieces)
+        for batch, keys in batches:
+            texts = batch.tolist()
+            found = [ids for _, _, part in _segments(texts, keys.to_numpy(), lattices) for ids in part]
+            yield pd.DataFrame({
+                "piece_ids": pd.Series(found, dtype=object),
+                "lossless": pd.Series([joined(i, pieces) == (t or "") for i, t in zip(found, texts)], dtype=bool),
+            })
+
+    return encoded(text, _drawn(key, seed))
+
+
 def decode(ids: Column, pieces: Pieces) -> Column:
     """The text of piece ids; null and empty lists give the empty text."""
 

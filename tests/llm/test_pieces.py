@@ -76,3 +76,17 @@ def test_query_is_lossless(spark, tmp_path, queries):
 def test_pieces_and_plain_bytes_of_the_test_data(spark, queries):
     rows = queries["op2_sentencepiece"](spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 200 and all(r.lossless for r in rows)
+
+
+def test_decode_and_the_stage(spark):
+    """Ids decode to their text, null and empty lists to the empty text; the pipeline's stage says so."""
+    import corpus_pipeline
+
+    texts = ["some words, été", None, "", " two  spaces ", "\n", "word " * 50_000, "漢字 🎈"]
+    docs = documents(spark, texts)
+    rows = {r.doc_id: r for r in corpus_pipeline.to_pieces(spark, docs, "").collect()}
+    assert [rows[i].lossless for i in range(len(texts))] == [True] * len(texts)
+    vocabulary = p.Pieces.load()
+    lists = spark.createDataFrame([(i, r.piece_ids) for i, r in rows.items()] + [(-1, None), (-2, [])], "i long, ids array<int>")
+    got = {r.i: r.t for r in lists.select("i", p.decode(lists.ids, vocabulary).alias("t")).collect()}
+    assert got == {**{i: t or "" for i, t in enumerate(texts)}, -1: "", -2: ""}
