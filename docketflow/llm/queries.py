@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketflow.llm import decontaminate, extract, language, lm, neighbours, pieces, pii, quality, sharding, simhash
+from docketflow.llm import decontaminate, extract, language, lm, neighbours, packing, pieces, pii, quality, sharding, simhash
 from docketflow.plans.catalog import Catalog, read
 
 CATALOG = Catalog()
@@ -77,3 +77,12 @@ def op3_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Sampled pieces of every document, with the check that they decode to it."""
     return pieces.encode_documents(read(spark, folder, "documents"))
+
+
+@CATALOG.query("op13_packed_ids")
+def op13_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token ids in files of fixed-width fields, read back: place, number and digest of each one's ids."""
+    import public_tokenizers
+
+    vocabulary = packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.documents_of(packing.write_packed(read(spark, folder, "documents"), vocabulary))
