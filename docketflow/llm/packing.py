@@ -13,8 +13,8 @@ A file holds the ids of consecutive documents without gaps:
 * trailer: ``TRAILER``, a fixed record at the end.
 
 Documents are written in ascending order of their key over all files.  Nulls come first;
-documents with one key are ordered by a hash of their ids, so a key that holds a large share
-of the rows is dealt to many tasks.  A null text is empty, and the end id alone stands for an
+documents with one key are ordered by a hash of their text, then as they are read, so a key
+that holds a large share of the rows is dealt to many tasks.  A null text is empty, and the end id alone stands for an
 empty text.  Repeated rows are kept.  No rows give no files.
 
 Tasks write under a name of their own attempt, and the list of files is a table that Spark
@@ -26,8 +26,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -49,7 +52,7 @@ BLOCK = 8192
 #: A file is closed at the first document end beyond so many ids or documents.
 FILE_IDS, FILE_DOCS = 1 << 25, 1 << 20
 #: Parts and pieces of texts whose ids a worker remembers at most; beyond that it starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 1_000_000
 END_ID = 2
 TRAILER = np.dtype([
     ("n_ids", "<u8"), ("n_docs", "<u8"), ("n_blocks", "<u8"), ("blocks_at", "<u8"), ("docs_at", "<u8"),
@@ -231,7 +234,7 @@ class Vocabulary:
 
 #: Fixed value: the pattern by which byte-level vocabularies cut a text into the pieces that are merged apart;
 #: and the characters that all engines' patterns put in the same class.
-PLAIN = regex.compile("[!-~À-ɏ\\n]+")
+PLAIN = re.compile("[!-~À-ɏ\\n]+")
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Fixed rule: byte-level vocabularies show each byte as a letter, printable Latin-1 as itself and the rest from U+0100 on.
 _ITSELF = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -239,7 +242,7 @@ SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _ITS
 #: Letters on which all engines' patterns agree, and signs that the pattern keeps together behind a word.
 LAST_LETTER, SIGNS = "ɏ", ".,;:!?"
 #: Spaces that may belong to the white space before them.
-OPEN_SPACE = regex.compile(" (?![!-~À-ɏ])")
+OPEN_SPACE = re.compile(" (?![!-~À-ɏ])")
 
 
 def word_parts(text: str) -> list[str]:
@@ -259,14 +262,6 @@ def word_parts(text: str) -> list[str]:
     return out
 
 
-def pieces_of(part: str) -> list[str]:
-    """The pieces of a part of a text, with the space before it; white space that is not plain keeps the part whole."""
-    word = part.rstrip(SIGNS)
-    if word.isalpha() and max(word) <= LAST_LETTER:
-        return [" " + word, part[len(word) :]] if len(word) < len(part) else [" " + word]
-    return PIECE.findall(" " + part) if PLAIN.fullmatch(part) else [" " + part]
-
-
 class Remembered(dict):
     """Ids of strings as bytes, worked out by ``encode`` when a string is first met; at most ``MOST_WORDS`` are kept."""
 
@@ -285,9 +280,8 @@ class Encoder:
     """Ids of texts as bytes of little-endian numbers; parts and pieces of texts that occurred before are looked up."""
 
     def __init__(self, vocabulary: Vocabulary, kind: str) -> None:
-        self.vocabulary, self.kind = vocabulary, kind
-        self.pieces = Remembered(self._piece)
-        self.parts = Remembered(lambda part: b"".join(map(self.pieces.__getitem__, pieces_of(part))))
+        self.vocabulary, self.kind, self.code = vocabulary, kind, "H" if kind == "<u2" else "I"
+        self.parts, self.pieces = Remembered(self._part), Remembered(self._piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         whole = [t or "" for t in texts]
@@ -295,15 +289,23 @@ class Encoder:
             return list(map(self._direct, self.vocabulary.encode(whole)))
         parted = [word_parts(t) for t in whole]
         heads = map(self._direct, self.vocabulary.encode([parts[0] for parts in parted]))
-        return [b"".join((head, *map(self.parts.__getitem__, parts[1:]))) for head, parts in zip(heads, parted)]
+        part = self.parts.__getitem__
+        return [b"".join((head, *map(part, parts[1:]))) for head, parts in zip(heads, parted)]
 
     def _direct(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return (array(self.code, ids) if sys.byteorder == "little" else np.array(ids, dtype=self.kind)).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        """A part with the space before it; white space that is not plain keeps the part whole."""
+        word = part.rstrip(SIGNS)
+        if word.isalpha() and (word.isascii() or max(word) <= LAST_LETTER):
+            return self.pieces[" " + word] + self.pieces[part[len(word) :]] if len(word) < len(part) else self.pieces[" " + word]
+        if PLAIN.fullmatch(part):
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(" " + part)))
+        return self._direct(self.vocabulary.encode([" " + part])[0])
 
     def _piece(self, piece: str) -> bytes:
-        if PIECE.fullmatch(piece):
-            return self._direct([t.id for t in self.vocabulary.merge(piece.encode().decode("latin-1").translate(SHOWN))])
-        return self._direct(self.vocabulary.encode([piece])[0])
+        return self._direct([t.id for t in self.vocabulary.merge(piece.encode().decode("latin-1").translate(SHOWN))])
 
 
 @lru_cache(maxsize=1)
@@ -321,36 +323,23 @@ def highest_of(vocabulary: Vocabulary, end_id: int | None) -> int:
     return max(vocabulary.size, (end_id or 0) + 1)
 
 
-def encode_documents(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """``key`` and ``ids``, little-endian unsigned 32-bit numbers (16-bit where the vocabulary allows), with the end id."""
-    kind = kind_of(vocabulary, end_id)
+def _written(folder: str, vocabulary: Vocabulary, end_id: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kind, width = kind_of(vocabulary, end_id), width_of(highest_of(vocabulary, end_id))
     end = np.array([] if end_id is None else [end_id], dtype=kind).tobytes()
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary, kind)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                ids = [x + end for x in encoder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, type=pa.binary())], names=["key", "ids"])
-
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(encoded, "key long, ids binary")
-
-
-def _written(folder: str, width: int, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
+        context, encoder = TaskContext.get(), encoder_of(vocabulary, kind)
         part, done, writer = context.partitionId(), [], None
         for batch in batches:
-            keys, column = batch.column(0).to_pylist(), batch.column(1)
-            for key, ids in zip(keys, column):
-                if writer is None:
-                    writer = Writer(f"{folder}/ids-{part:06d}-{context.taskAttemptId()}-{len(done):06d}.bin", width)
-                writer.add(key, np.frombuffer(ids.as_buffer(), dtype=kind).astype(np.uint32))
-                if writer.n_ids >= FILE_IDS or len(writer.keys) >= FILE_DOCS:
-                    done.append(writer.close())
-                    writer = None
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                for key, ids in zip(keys[a:b], encoder.encode(texts[a:b])):
+                    if writer is None:
+                        writer = Writer(f"{folder}/ids-{part:06d}-{context.taskAttemptId()}-{len(done):06d}.bin", width)
+                    writer.add(key, np.frombuffer(ids + end, dtype=kind).astype(np.uint32))
+                    if writer.n_ids >= FILE_IDS or len(writer.keys) >= FILE_DOCS:
+                        done.append(writer.close())
+                        writer = None
         if writer is not None:
             done.append(writer.close())
         rows = [{"part": part, "number": i, "path": uri, "n_ids": n, "n_docs": d} for i, (uri, n, d) in enumerate(done)]
@@ -372,16 +361,16 @@ def write_packed(
     """Files of packed ids in ``folder`` (one of its own in the shared folder if none is given), and their list.
 
     The list has ``path``, ``n_ids``, ``n_docs``, ``position`` (ascending in the order of the
-    documents) and ``first_id``, the ids in all files before.  Texts are encoded once and
-    their ids written as a table, since dealing out by range reads its input twice.
+    documents) and ``first_id``, the ids in all files before.  Texts are dealt out by ranges
+    of keys, and a task encodes what it writes.
     """
     spark = docs.sparkSession
     folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/ids-{uuid.uuid4().hex}"
     _made(folder)
-    ids = cut(encode_documents(docs, vocabulary, key, text, end_id), "ids", "zstd")
-    order = [F.col("key").asc_nulls_first(), F.xxhash64("ids")]
-    sorted_ids = ids.repartitionByRange(*order).sortWithinPartitions(*order)
-    files = cut(sorted_ids.mapInArrow(_written(folder, width_of(highest_of(vocabulary, end_id)), kind_of(vocabulary, end_id)), FILES), "files")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
+    files = cut(dealt.mapInArrow(_written(folder, vocabulary, end_id), FILES), "files")
     placed = files.withColumn("position", F.shiftleft("part", 24) + F.col("number")).drop("part", "number")
     return cut(running_total(placed, [], "position", {"first_id": F.col("n_ids")}), "files")
 

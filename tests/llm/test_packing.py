@@ -51,7 +51,7 @@ def test_what_a_worker_remembers_is_bounded(monkeypatch):
     encoder = packing.Encoder(packing.Vocabulary(BYTES), "<u2")
     texts = ["a b c d e, f. g", "g f e d c b a", "b b b"] * 3
     assert [np.frombuffer(x, dtype="<u2").tolist() for x in encoder.encode(texts)] == library_ids(BYTES, texts)
-    assert len(encoder.parts) <= 3 and len(encoder.pieces) <= 3
+    assert max(len(encoder.parts), len(encoder.pieces)) <= 3
 
 
 def expected(rows):
