@@ -35,6 +35,11 @@ def fold_of(key: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(parts)).cast("int")
 
 
+def key_text(key: str) -> Column:
+    """A key on its way through pandas, where whole numbers beside a null would become doubles."""
+    return F.col(f"`{key}`").cast("string")
+
+
 def with_row(df: DataFrame, name: str) -> DataFrame:
     """A number for each row, so that repeated keys and repeated rows stay apart."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketflow.llm.common import key_text
+
 # Element names, words in class and id attributes, and stop words.
 TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -294,7 +296,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` (code points) for each row of ``pages``."""
     schema = T.StructType([
-        T.StructField(key, pages.schema[key].dataType), T.StructField(url, T.StringType()),
+        T.StructField(key, T.StringType()), T.StructField(url, T.StringType()),
         T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
     ])
 
@@ -303,4 +305,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             texts = [main_text(p) for p in batch["page"]]
             yield pd.DataFrame({key: batch["key"], url: batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page")).mapInPandas(extracted, schema)
+    rows = pages.select(key_text(key).alias("key"), F.col(url).alias("url"), F.col(page).alias("page")).mapInPandas(extracted, schema)
+    return rows.withColumn(key, F.col(key).cast(pages.schema[key].dataType))

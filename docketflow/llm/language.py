@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.llm.chains import Chains
-from docketflow.llm.common import chunks, fold_of, with_row
+from docketflow.llm.common import chunks, fold_of, key_text, with_row
 from docketflow.operators.skew import first_per_group
 
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW, SAMPLE_TOTAL = 300, 12, 48, 20_000
@@ -229,7 +229,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 def predict(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` for each row, from its whole text."""
-    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,7 +243,8 @@ def predict(docs: DataFrame, field: Field | None, key: str = "doc_id", text: str
                         names[a + i], scores[a + i] = field.languages[best[i]], min(1.0, chance[i, best[i]])
             yield pd.DataFrame({key: batch["key"], "lang_pred": names, "score": scores})
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(labelled, schema)
+    rows = docs.select(key_text(key).alias("key"), F.col(text).alias("text")).mapInPandas(labelled, schema)
+    return rows.withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

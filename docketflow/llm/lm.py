@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketflow.llm.chains import Chains
-from docketflow.llm.common import fold_of, hashed_sample, words_of
+from docketflow.llm.common import fold_of, hashed_sample, key_text, words_of
 from docketflow.session import cut
 
 CLASSES, END = 4096, 0
@@ -43,7 +43,7 @@ BLOCK_CHARS, CHUNK_TOKENS = 8_000_000, 1_000_000
 ADD = 0.1  # to every count, as in the base score
 
 _STAGED = (
-    "block long, row long, key long, held boolean, places binary, classes binary, words array<string>, counts array<long>"
+    "block long, row long, key string, held boolean, places binary, classes binary, words array<string>, counts array<long>"
 )
 
 
@@ -70,19 +70,19 @@ def stage(docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
         end = np.array([END], dtype="<u2").tobytes()
         own = [places[b - n : b] for b, n in zip(ends, lengths)]
         return pd.DataFrame({
-            "block": [block] * (len(rows) + 1), "row": [r[0] for r in rows] + [None], "key": [r[1] for r in rows] + [None],
+            "block": [block] * (len(rows) + 1), "row": pd.array([r[0] for r in rows] + [None], dtype="Int64"), "key": [r[1] for r in rows] + [None],
             "held": [r[2] for r in rows] + [None], "places": [p.tobytes() for p in own] + [None],
             "classes": [of_class[p].tobytes() + end for p in own] + [None],
             "words": [None] * len(rows) + [[w.decode("utf-8", "replace") for w in vocabulary]],
             "counts": [None] * len(rows) + [counts.tolist()],
-        }).astype({"row": "Int64", "key": "Int64"})
+        })
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 24
         rows, texts, size = [], [], 0
         for batch in batches:
             for row, k, h, t in zip(batch["row"], batch["key"], batch["held"], batch["text"]):
-                rows.append((row, None if pd.isna(k) else int(k), bool(h)))
+                rows.append((row, k, bool(h)))
                 texts.append(words_of(t))
                 size += len(t or "")
                 if size >= BLOCK_CHARS or len(rows) >= 1 << 16:
@@ -91,7 +91,7 @@ def stage(docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
         if rows:
             yield flush(number, rows, texts)
 
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("key"), F.col(held).alias("held"), F.col(text).alias("text"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), key_text(key).alias("key"), F.col(held).alias("held"), F.col(text).alias("text"))
     return cut(own.mapInPandas(blocks, _STAGED), "blocks", "zstd")
 
 
@@ -263,7 +263,7 @@ def state_scores(rows: DataFrame, model: Model) -> DataFrame:
 
 def word_scores(staged: DataFrame, vocabulary: DataFrame, known: Totals) -> DataFrame:
     """For each row its tokens, known tokens, base score and the words' part of the model's score."""
-    schema = "row long, key long, held boolean, n_tokens long, n_known long, base double, words double"
+    schema = "row long, key string, held boolean, n_tokens long, n_known long, base double, words double"
     all_log = np.log10(known.tokens + ADD * (known.words + 1))
 
     def scored(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
@@ -299,7 +299,7 @@ def score_texts(docs: DataFrame, key: str, text: str, held: str) -> DataFrame:
     model = train(staged, known.ends)
     states = state_scores(staged.filter("row is not null"), model)
     return word_scores(staged, vocabulary, known).join(states, "row").select(
-        F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known",
+        F.col("key").cast("long").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known",
         F.lit(known.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("words") + F.col("states")).alias("score"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketflow.llm.common import chunks, splitmix
+from docketflow.llm.common import chunks, key_text, splitmix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SHARPNESS = 1.0
@@ -326,9 +326,9 @@ def encode_documents(docs: DataFrame, path: str = MODEL, seed: int = SEED) -> Da
             texts = batch["text"].tolist()
             for a, b, ids in _segments(texts, batch["drawn"].to_numpy(), lattices):
                 yield pd.DataFrame({
-                    "doc_id": batch["doc_id"].iloc[a:b].astype("Int64"), "piece_ids": ids, "n_pieces": [len(i) for i in ids],
+                    "doc_id": batch["doc_id"].iloc[a:b], "piece_ids": ids, "n_pieces": [len(i) for i in ids],
                     "lossless": [joined(i, pieces) == (t or "") for i, t in zip(ids, texts[a:b])],
                 })
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _drawn(F.col("doc_id"), seed).alias("drawn"))
-    return rows.mapInPandas(encoded, "doc_id long, piece_ids array<int>, n_pieces long, lossless boolean")
+    rows = docs.select(key_text("doc_id").alias("doc_id"), "text", _drawn(F.col("doc_id"), seed).alias("drawn"))
+    return rows.mapInPandas(encoded, "doc_id string, piece_ids array<int>, n_pieces long, lossless boolean").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketflow.llm.common import key_text
 from docketflow.session import cut
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
@@ -227,7 +228,7 @@ def span_classifier(features: np.ndarray, truth: np.ndarray, counts: np.ndarray)
 
 
 _SCANNED = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("base", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType())),
+    T.StructField("key", T.StringType()), T.StructField("base", T.StringType()), T.StructField("spans", T.ArrayType(T.LongType())),
 ])
 WIDTH = 6
 
@@ -240,7 +241,7 @@ def scan_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
             found = [scan(t or "") for t in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "base": [joined(b) for b, _ in found], "spans": [s for _, s in found]})
 
-    return cut(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInPandas(scanned, _SCANNED), "pii")
+    return cut(docs.select(key_text(key).alias("key"), F.col(text).alias("text")).mapInPandas(scanned, _SCANNED), "pii")
 
 
 def learn(scanned: DataFrame) -> dict[int, float]:
@@ -277,7 +278,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """One row per row of ``docs``: counts of base spans, digest of base spans, all spans as text."""
     scanned = scan_texts(docs, key, text)
     scores = learn(scanned)
-    schema = T.StructType([T.StructField(key, T.LongType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:BASE_KINDS]],
+    schema = T.StructType([T.StructField(key, T.StringType()), *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:BASE_KINDS]],
                            T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
 
     def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,7 +290,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
                 "spans": [joined(accepted(s, scores, threshold)) for s in batch["spans"]],
             })
 
-    return scanned.mapInPandas(final, schema)
+    return scanned.mapInPandas(final, schema).withColumn(key, F.col(key).cast("long"))
 
 
 def masked(text: str | None, scores: dict[int, float], threshold: float) -> str | None:
