@@ -1,9 +1,11 @@
 import numpy as np
 from helpers import documents, folder_of, written
 from test_pii import base
+from test_resemblance import brute_linked, brute_runs
+from test_simhash import brute_classes
 
 import corpus_pipeline
-from docketflow.llm import decontaminate, pieces, simhash
+from docketflow.llm import decontaminate, pieces
 
 
 def test_stages_on_the_test_data(spark, tmp_path):
@@ -23,10 +25,9 @@ def test_stages_on_the_test_data(spark, tmp_path):
         if name == "quality":
             assert gone and all(labels.get(i) != 1 for i in gone) and all(labels.get(i) != 0 for i in after)
         elif name == "near_dedup":
-            prints = {i: simhash.majority_bits(simhash.shingle_hashes(simhash.words_of(r.text), 3)) & (1 << 64) - 1 for i, r in before.items()}
-            near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3
-            assert not any(near(a, b) for a in after for b in after if a < b)
-            assert all(any(near(i, j) for j in before if j != i) for i in gone)
+            sets = {i: brute_runs(r.text) for i, r in before.items()}
+            classes = brute_classes(sorted(before), lambda a, b: brute_linked(sets[a], sets[b]))
+            assert gone and set(after) == set(classes.values())
         elif name == "decontaminate":
             leaks = {i for i, r in before.items() if any(b" ".join(w) in b" ".join(decontaminate.plain_words(r.text)) for w in items)}
             assert gone == leaks
