@@ -124,8 +124,8 @@ WITH RECURSIVE
                 lambda a, b: xor(a >> 8, crcs[xor(a, b) % 256 + 1])), 4294967295::BIGINT) AS h FROM counted, eights),
      written AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
      words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM written WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
-     places AS (SELECT word, n, unnest(range(length(word)))::BIGINT AS at FROM words),
-     masked AS MATERIALIZED (SELECT word, n, at, substr(word, 1, at) AS head, substr(word, at + 2) AS tail FROM places),
+     places AS (SELECT word, n, unnest(range(length(word)))::BIGINT AS spot FROM words),
+     masked AS MATERIALIZED (SELECT word, n, spot, substr(word, 1, spot) AS head, substr(word, spot + 2) AS tail FROM places),
      near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM masked a JOIN masked b USING (head, tail) WHERE a.word <> b.word
               UNION SELECT a.word, b.word, b.n FROM masked a JOIN words b ON b.word = a.head || a.tail
               UNION SELECT b.word, a.word, a.n FROM masked a JOIN words b ON b.word = a.head || a.tail),
