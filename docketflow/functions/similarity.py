@@ -117,22 +117,50 @@ def best_window_score(a: str, b: str, cutoff: float = 0.0, decide: bool = False)
     return score if score >= cutoff else 0.0
 
 
+def score_jobs(jobs: list[tuple[Column, Column, float]], decide: bool = False) -> Column:
+    """For each job (needles, haystacks, cutoff) the best score of each needle over the haystacks, in one call.
+
+    array<array<double>>, an entry for each job; null where its needles or haystacks are null.
+    """
+    cutoffs = [cutoff for _, _, cutoff in jobs]
+
+    @F.pandas_udf("array<array<double>>")
+    def scored(*columns: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(*columns):
+            out.append([
+                None if xs is None or ys is None
+                else [max((best_window_score(x, y, cutoff, decide) for y in ys), default=0.0) for x in xs]
+                for xs, ys, cutoff in zip(row[0::2], row[1::2], cutoffs)])
+        return pd.Series(out, dtype=object)
+
+    # Declared non-deterministic only to keep the optimizer from copying the call
+    # into filters and lambdas; its result depends on its arguments alone.
+    return scored.asNondeterministic()(*[c for needles, haystacks, _ in jobs for c in (needles, haystacks)])
+
+
 def best_scores(needles: Column, haystacks: Column, cutoff: float, decide: bool = False) -> Column:
     """For each needle the best score over the haystacks (array<double>); null in, null out."""
+    return score_jobs([(needles, haystacks, cutoff)], decide)[0]
+
 
-    @F.pandas_udf("array<double>")
-    def scored(many: pd.Series, against: pd.Series) -> pd.Series:
+def first_reaching(needles: Column, haystacks: Column, cutoff: float) -> Column:
+    """For each needle the place (from 0) of the first haystack whose score reaches ``cutoff``; -1 for none."""
+
+    @F.pandas_udf("array<int>")
+    def placed(many: pd.Series, against: pd.Series) -> pd.Series:
         out = []
         for xs, ys in zip(many, against):
-            if xs is None or ys is None:
-                out.append(None)
-            else:
-                out.append([max((best_window_score(x, y, cutoff, decide) for y in ys), default=0.0) for x in xs])
+            out.append(None if xs is None or ys is None else [
+                next((i for i, y in enumerate(ys) if y and best_window_score(x, y, cutoff, True) >= cutoff), -1) for x in xs])
         return pd.Series(out, dtype=object)
 
-    # Declared non-deterministic only to keep the optimizer from copying the call
-    # into filters and lambdas; its result depends on its arguments alone.
-    return scored.asNondeterministic()(needles, haystacks)
+    return placed.asNondeterministic()(needles, haystacks)
+
+
+def contained(a: Column, b: Column) -> Column:
+    """Whether one of two strings that are not empty contains the other: a score of 100."""
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
 def unsettled(needles: Column, haystacks: Column) -> Column:
@@ -140,27 +168,45 @@ def unsettled(needles: Column, haystacks: Column) -> Column:
 
     All others score 100 by definition, so only these need the UDF.
     """
-    return F.array_distinct(
-        F.filter(
-            needles,
-            lambda x: (x != "")
-            & ~F.exists(haystacks, lambda h: (h != "") & (F.contains(h, x) | F.contains(x, h))),
-        )
-    )
+    return F.array_distinct(F.filter(needles, lambda x: (x != "") & ~F.exists(haystacks, lambda h: contained(h, x))))
+
+
+def may_reach(a: Column, b: Column, cutoff: float) -> Column:
+    """False where the pairs of neighbouring letters rule a score of ``cutoff`` out.
+
+    A score c of the shorter string, of m letters, against a window needs a common
+    subsequence of L >= c (m + w) / 200 letters in a window of w.  Leaving m - L letters of the
+    string out breaks two of its m - 1 pairs each, and the w - L letters put in one each, so
+    3 L - m - w - 1 pairs stand in the window.  From c = 200 / 3 on that is least for w = L:
+    m (3 c - 200) / (200 - c) - 1.  Below, pairs rule nothing out.
+    """
+    if 3 * cutoff <= 200:
+        return F.lit(True)
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    size = F.length(short)
+    kept = F.size(F.filter(
+        F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.contains(long, F.substr(short, i, F.lit(2)))))
+    return kept >= size * ((3 * cutoff - 200) / (200 - cutoff)) - 1 - 1e-9
+
 
+def hopeful(rest: Column, haystacks: Column, cutoff: float) -> Column:
+    """Those of the unsettled needles that may reach ``cutoff``: only their texts go to Python."""
+    if 3 * cutoff <= 200:
+        return rest
+    return F.filter(rest, lambda x: F.exists(haystacks, lambda h: may_reach(x, h, cutoff)))
 
-def score_map(rest: Column, haystacks: Column, cutoff: float) -> Column:
-    """map<needle, score> of the unsettled needles; null when there are none.
 
-    Scores tell on which side of ``cutoff`` a needle is.
+def score_maps(jobs: list[tuple[Column, Column, float]]) -> Column:
+    """The scores (array<array<double>>) of jobs of hopeful needles, haystacks and cutoff; null for nothing to score.
 
-    Rows with nothing left send nulls, so no text of theirs goes to Python.
+    Scores tell on which side of its cutoff a needle is.  Rows with nothing left send nulls.
     """
-    busy = F.size(rest) > 0
-    scores = best_scores(F.when(busy, rest), F.when(busy, haystacks), cutoff, decide=True)
-    return F.map_from_arrays(F.when(busy, rest), scores)
+    return score_jobs([
+        (F.when(F.size(open_) > 0, open_), F.when(F.size(open_) > 0, haystacks), cutoff) for open_, haystacks, cutoff in jobs], decide=True)
 
 
-def score_of(needle: Column, scores: Column) -> Column:
-    """Score of one needle given its row's ``score_map``; settled needles are 100."""
-    return F.coalesce(F.element_at(scores, needle), F.lit(100.0))
+def score_of(needle: Column, rest: Column, open_: Column, scores: Column) -> Column:
+    """Score of a needle: settled ones are 100, those ruled out 0, others as in ``scores``, which follow ``open_``."""
+    scored = F.element_at(scores, F.array_position(open_, needle).cast("int"))
+    return F.when(F.array_contains(open_, needle), scored).when(F.array_contains(rest, needle), 0.0).otherwise(100.0)

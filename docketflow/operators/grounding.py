@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
-from docketflow.functions.similarity import score_map, score_of, unsettled
+from docketflow.functions.similarity import contained, first_reaching, may_reach
 from docketflow.functions.text import normalize, strip, truncate
 from docketflow.operators.skew import first_per_group
 
@@ -15,49 +15,40 @@ REF_FIELDS = ["slide_id", "excerpt", "page_number", "verified", "via"]
 REF_TYPE = "struct<slide_id:string,excerpt:string,page_number:int,verified:boolean,via:string>"
 
 
-def _near(excerpts: Column, scores: Column) -> Column:
-    return F.filter(excerpts, lambda e: score_of(e, scores) >= V.EXCERPT_THRESHOLD)
-
-
-def _tagged(excerpts: str, via: str) -> Column:
-    return F.transform(excerpts, lambda e: F.struct(e.alias("k"), F.lit(via).alias("v")))
-
-
 def locate(df: DataFrame, excerpts: str, target: str) -> DataFrame:
     """Add ``target``: map of normalized excerpt → source it was found in.
 
     ``excerpts`` is an array column of the same row as the view columns.  Text is
-    tried first, then notes, then image text; a later source sees only the
-    excerpts that earlier ones did not settle, and excerpts contained in a
-    source never reach the similarity function.
+    tried first, then notes, then image text.  An excerpt goes to the similarity
+    function only if a source that may be like it comes before the first one that
+    contains it; all sources of a row are searched in one call.
     """
-    open_now = f"_{target}_open"
-    staged = df.withColumn(
-        open_now,
-        F.when(
-            ~F.col("withheld"),
-            F.filter(F.array_distinct(F.transform(excerpts, normalize)), lambda e: e != ""),
-        ).otherwise(F.array().cast("array<string>")),
+    wanted, hays, judged, open_, places = (f"_{target}_{x}" for x in ("wanted", "hays", "judged", "open", "places"))
+    vias = F.array(*[F.lit(via) for via, _ in SOURCES])
+
+    def first(e: Column) -> Column:
+        """The place of a source that settles an excerpt; -1 for none, null for one that is open."""
+        chain = F.lit(-1)
+        for i in reversed(range(len(SOURCES))):
+            hay = F.col(hays)[i]
+            chain = F.when(contained(hay, e), i).when((hay != "") & may_reach(e, hay, V.EXCERPT_THRESHOLD), F.lit(None)).otherwise(chain)
+        return chain.cast("int")
+
+    staged = (
+        df.withColumn(wanted, F.when(
+            ~F.col("withheld"), F.filter(F.array_distinct(F.transform(excerpts, normalize)), lambda e: e != ""),
+        ).otherwise(F.array().cast("array<string>")))
+        .withColumn(hays, F.when(F.size(wanted) > 0, F.array(*[normalize(F.col(source)) for _, source in SOURCES])))
+        .withColumn(judged, F.transform(wanted, lambda e: F.struct(e.alias("e"), first(e).alias("at"))))
+        .withColumn(open_, F.transform(F.filter(judged, lambda x: x["at"].isNull()), lambda x: x["e"]))
     )
-    found: list[tuple[str, str]] = []
-    extra = [open_now]
-    for via, source in SOURCES:
-        hay, rest, scores, hits, left = (f"_{target}_{via}_{x}" for x in ("hay", "rest", "scores", "hits", "left"))
-        content = normalize(F.col(source))
-        staged = (
-            staged.withColumn(hay, F.when((F.size(open_now) > 0) & (content != ""), F.array(content)))
-            .withColumn(rest, unsettled(F.col(open_now), F.col(hay)))
-            .withColumn(scores, score_map(F.col(rest), F.col(hay), V.EXCERPT_THRESHOLD))
-        )
-        near = _near(F.when(F.col(hay).isNotNull(), F.col(open_now)), F.col(scores))
-        staged = staged.withColumn(hits, F.coalesce(near, F.array().cast("array<string>"))).withColumn(
-            left, F.array_except(open_now, hits)
-        )
-        found.append((via, hits))
-        extra += [hay, rest, scores, hits, left]
-        open_now = left
-    pairs = F.concat(*[_tagged(hits, via) for via, hits in found])
-    return staged.withColumn(target, F.map_from_entries(pairs)).drop(*extra)
+    busy = F.size(open_) > 0
+    found = first_reaching(F.when(busy, F.col(open_)), F.when(busy, F.col(hays)), V.EXCERPT_THRESHOLD)
+    staged = staged.withColumn(places, found)
+    at = lambda x: F.coalesce(x["at"], F.element_at(places, F.array_position(open_, x["e"]).cast("int")))
+    hits = F.filter(F.transform(judged, lambda x: F.struct(x["e"].alias("k"), at(x).alias("at"))), lambda x: x["at"] >= 0)
+    pairs = F.transform(hits, lambda x: F.struct(x["k"].alias("k"), F.element_at(vias, x["at"] + 1).alias("v")))
+    return staged.withColumn(target, F.map_from_entries(pairs)).drop(wanted, hays, judged, open_, places)
 
 
 def reference(excerpt: Column, located: Column) -> Column:
@@ -106,11 +97,6 @@ def distinct_refs(refs: Column) -> Column:
     )
 
 
-def drop_unsupported(findings: DataFrame, refs: DataFrame, key: str) -> DataFrame:
-    """Findings that still have a reference."""
-    return findings.join(refs.select("submission_id", F.col("owner").alias(key)), ["submission_id", key], "left_semi")
-
-
 def unscore_unlinked(criteria: DataFrame) -> DataFrame:
     """Assessed criteria without evidence become unassessed, without a score."""
     linked = F.size("evidence") > 0

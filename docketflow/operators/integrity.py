@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
-from docketflow.functions.similarity import score_map, score_of, unsettled
+from docketflow.functions.similarity import hopeful, score_maps, score_of, unsettled
 from docketflow.functions.columns import fixed_column
 from docketflow.functions.text import (
     content_lines,
@@ -173,11 +173,12 @@ def flag_units(units: DataFrame) -> DataFrame:
             let(F.array("_render"), lambda h: unsettled(F.transform("_lines", lambda x: x["norm"]), h)),
         ))
     )
+    staged = staged.withColumn("_open", hopeful(F.col("_rest"), F.array("_render"), V.MATCH_THRESHOLD))
     scored = staged.withColumn(
-        "_scores", score_map(F.col("_rest"), F.array("_render"), V.MATCH_THRESHOLD)
+        "_scores", score_maps([(F.col("_open"), F.array("_render"), V.MATCH_THRESHOLD)])[0]
     ).withColumn("_scored", F.transform("_lines", lambda x: F.struct(
         x["line"].alias("line"), x["instruction"].alias("instruction"),
-        ((F.col("_render") != "") & (score_of(x["norm"], F.col("_scores")) >= V.MATCH_THRESHOLD)).alias("seen"),
+        ((F.col("_render") != "") & (score_of(x["norm"], F.col("_rest"), F.col("_open"), F.col("_scores")) >= V.MATCH_THRESHOLD)).alias("seen"),
     )))
     comparison = (
         F.when(compared, _comparison_flags())
@@ -186,7 +187,7 @@ def flag_units(units: DataFrame) -> DataFrame:
     )
     return scored.withColumn(
         "flags", F.concat(_hidden_flags(), _structural_flags(), comparison, _note_flags())
-    ).drop("_lines", "_render", "_rest", "_scores", "_scored")
+    ).drop("_lines", "_render", "_rest", "_open", "_scores", "_scored")
 
 
 def flag_rows(flagged: DataFrame) -> DataFrame:

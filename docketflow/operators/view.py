@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
-from docketflow.functions.similarity import score_map, score_of, unsettled
+from docketflow.functions.similarity import hopeful, score_maps, score_of, unsettled
 from docketflow.functions.text import normalize, split_lines, split_sentences, strip
 
 VIEW_COLUMNS = [
@@ -26,35 +26,40 @@ def _excerpts(location: str) -> Column:
     return F.transform(chosen, lambda f: normalize(F.regexp_replace(f["excerpt"], "…+$", "")))
 
 
-def _drop_withheld(df: DataFrame, source: str, location: str, target: str) -> DataFrame:
-    """Add ``target``: ``source`` without the lines that repeat a withheld excerpt.
-
-    Neighbouring dropped lines leave one mark.
-    """
-    lines, long, rest, scores = (f"_{target}_{x}" for x in ("lines", "long", "rest", "scores"))
+def _withheld_lines(df: DataFrame, source: str, location: str, target: str) -> DataFrame:
+    """Add the lines of ``source``, the withheld excerpts of its place, and the lines whose likeness to these is open."""
+    lines, long, rest, open_ = (f"_{target}_{x}" for x in ("lines", "long", "rest", "open"))
     present = (F.size(f"_{target}_all") > 0) & (F.coalesce(source, F.lit("")) != "")
     row = F.transform(
         F.when(present, split_lines(F.col(source))),
         lambda x: F.struct(x.alias("line"), normalize(x).alias("norm")),
     )
-    staged = (
+    return (
         df.withColumn(f"_{target}_all", _excerpts(location))
         .withColumn(long, F.filter(f"_{target}_all", lambda e: F.length(e) >= V.MIN_WITHHELD_CHARS))
         .withColumn(lines, row)
         .withColumn(rest, F.when(
             F.size(long) > 0, unsettled(F.transform(lines, lambda x: x["norm"]), F.col(long))
         ))
-        .withColumn(scores, score_map(F.col(rest), F.col(long), V.WITHHELD_THRESHOLD))
+        .withColumn(open_, hopeful(F.col(rest), F.col(long), V.WITHHELD_THRESHOLD))
     )
 
+
+def _drop_withheld(df: DataFrame, source: str, target: str, scores: Column) -> DataFrame:
+    """Add ``target``: ``source`` without the lines that repeat a withheld excerpt.
+
+    Neighbouring dropped lines leave one mark.
+    """
+    lines, long, rest, open_ = (f"_{target}_{x}" for x in ("lines", "long", "rest", "open"))
+
     def judged(x: Column) -> Column:
         drop = (F.size(long) > 0) & (x["norm"] != "") & (
-            score_of(x["norm"], F.col(scores)) >= V.WITHHELD_THRESHOLD
+            score_of(x["norm"], F.col(rest), F.col(open_), scores) >= V.WITHHELD_THRESHOLD
         )
         return F.struct(drop.alias("drop"), F.when(drop, V.WITHHELD_MARK).otherwise(x["line"]).alias("line"))
 
     shown = f"_{target}_shown"
-    staged = staged.withColumn(shown, F.transform(lines, judged))
+    staged = df.withColumn(shown, F.transform(lines, judged))
     # A dropped line right after a mark adds nothing.
     kept = F.filter(shown, lambda x, i: ~(
         x["drop"] & (i > 0) & F.coalesce(F.get(shown, i - 1)["line"] == V.WITHHELD_MARK, F.lit(False))
@@ -62,11 +67,11 @@ def _drop_withheld(df: DataFrame, source: str, location: str, target: str) -> Da
     text = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
     return staged.withColumn(
         target, F.when(F.col(lines).isNotNull(), text).otherwise(F.coalesce(source, F.lit("")))
-    ).drop(f"_{target}_all", lines, long, rest, scores, shown)
+    ).drop(f"_{target}_all", lines, long, rest, open_, shown)
 
 
-def _image_text(df: DataFrame) -> DataFrame:
-    """Add ``image_text``: recognized lines of visual units that the text layer lacks."""
+def _image_lines(df: DataFrame) -> DataFrame:
+    """Add the recognized lines of visual units, the text layer, and the lines whose likeness to it is open."""
     wanted = F.col("has_visual_content") & (F.coalesce("ocr_text", F.lit("")) != "")
     lines = F.filter(
         F.transform(
@@ -76,33 +81,46 @@ def _image_text(df: DataFrame) -> DataFrame:
         lambda x: F.length(x["norm"]) >= V.MIN_IMAGE_LINE_CHARS,
     )
     layer = normalize(F.col("raw_text"))
-    staged = (
-        df.withColumn("_lines", lines)
-        .withColumn("_layer", F.when(wanted & (layer != ""), F.array(layer)))
-        .withColumn("_rest", unsettled(F.transform("_lines", lambda x: x["norm"]), F.col("_layer")))
-        .withColumn("_scores", score_map(F.col("_rest"), F.col("_layer"), V.IMAGE_TEXT_THRESHOLD))
+    return (
+        df.withColumn("_image_lines", lines)
+        .withColumn("_image_layer", F.when(wanted & (layer != ""), F.array(layer)))
+        .withColumn("_image_rest", unsettled(F.transform("_image_lines", lambda x: x["norm"]), F.col("_image_layer")))
+        .withColumn("_image_open", hopeful(F.col("_image_rest"), F.col("_image_layer"), V.IMAGE_TEXT_THRESHOLD))
     )
-    fresh = F.filter("_lines", lambda x: (
-        F.col("_layer").isNull() | (score_of(x["norm"], F.col("_scores")) < V.IMAGE_TEXT_THRESHOLD)
+
+
+def _image_text(df: DataFrame, scores: Column) -> DataFrame:
+    """Add ``image_text``: recognized lines of visual units that the text layer lacks."""
+    fresh = F.filter("_image_lines", lambda x: (
+        F.col("_image_layer").isNull()
+        | (score_of(x["norm"], F.col("_image_rest"), F.col("_image_open"), scores) < V.IMAGE_TEXT_THRESHOLD)
     ))
     joined = F.array_join(F.transform(fresh, lambda x: x["line"]), "\n")
-    return staged.withColumn("image_text", F.coalesce(joined, F.lit(""))).drop("_lines", "_layer", "_rest", "_scores")
+    return df.withColumn("image_text", F.coalesce(joined, F.lit(""))).drop(
+        "_image_lines", "_image_layer", "_image_rest", "_image_open")
 
 
 def build_views(flagged: DataFrame) -> DataFrame:
     """Flagged units → one view per unit.
 
     A unit withheld as a whole keeps only a mark; otherwise withheld lines leave
-    the text and the notes.
+    the text and the notes.  All open likenesses of a row are scored in one call.
     """
     missing = {
         n: F.lit("") for n in ("team_name", "submission_title") if n not in flagged.columns
     }
     whole = F.exists("flags", lambda f: f["withheld_from_ai"] & (f["location"] == "slide"))
     staged = flagged.withColumns(missing).withColumn("raw_text", F.coalesce("text", F.lit("")))
-    staged = _drop_withheld(staged, "raw_text", "slide_text", "shown_text")
-    staged = _drop_withheld(staged, "speaker_notes", "speaker_notes", "shown_notes")
-    staged = _image_text(staged).withColumn("withheld", whole)
+    staged = _withheld_lines(staged, "raw_text", "slide_text", "shown_text")
+    staged = _withheld_lines(staged, "speaker_notes", "speaker_notes", "shown_notes")
+    staged = _image_lines(staged).withColumn("_scores", score_maps([
+        (F.col("_shown_text_open"), F.col("_shown_text_long"), V.WITHHELD_THRESHOLD),
+        (F.col("_shown_notes_open"), F.col("_shown_notes_long"), V.WITHHELD_THRESHOLD),
+        (F.col("_image_open"), F.col("_image_layer"), V.IMAGE_TEXT_THRESHOLD),
+    ]))
+    staged = _drop_withheld(staged, "raw_text", "shown_text", F.col("_scores")[0])
+    staged = _drop_withheld(staged, "speaker_notes", "shown_notes", F.col("_scores")[1])
+    staged = _image_text(staged, F.col("_scores")[2]).withColumn("withheld", whole)
     gone = F.col("withheld")
     return staged.select(
         "submission_id", "page_number", "slide_id", "team_name", "submission_title",

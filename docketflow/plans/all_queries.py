@@ -6,7 +6,7 @@ from importlib import import_module
 
 from docketflow.plans.catalog import Query
 
-MODULES = ["review_queries", "intake_queries", "deck_queries", "plug_queries"]
+MODULES = ["review_queries", "intake_queries", "deck_queries", "near_miss_queries", "plug_queries", "stream_queries"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -177,7 +177,11 @@ def _pick(sql: str, spark: bool) -> str:
 def deck_units(spark: SparkSession, folder: str) -> DataFrame:
     """Units with every column the integrity stage needs."""
     sql = to_spark(_pick(UNITS_SQL, True)).replace("FROM conversations", "FROM {conversations}")
-    flat = spark.sql(sql, conversations=read_spread(spark, folder, "conversations"))
+    return as_units(spark.sql(sql, conversations=read_spread(spark, folder, "conversations")))
+
+
+def as_units(flat: DataFrame) -> DataFrame:
+    """Units with their links, notes and signals as arrays."""
     return flat.selectExpr(
         "submission_id", "page_number", "format_string('slide_%02d', page_number) AS slide_id", "team_name",
         "submission_title", "title", "text", "speaker_notes", "hidden", "has_visual_content", "has_embedded_media",

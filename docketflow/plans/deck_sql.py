@@ -1,16 +1,18 @@
 """DuckDB statements of the deck results, as chained common table expressions.
 
 They are written over exploded lines and sentences (the Spark side works on
-arrays inside a unit's row), and compare texts by containment: on these decks a
-line or excerpt is either contained in its counterpart or far below the
-thresholds.  Fuzzy scores are tested against brute force instead.
+arrays inside a unit's row).  Flags, views and citations take the comparison of two
+texts as a parameter: ``held`` is containment, which is enough for the decks of
+whole turns, where a line or excerpt is either contained in its counterpart or far
+below the thresholds; ``near`` states the window score itself, for decks whose lines
+lie just to either side of each threshold.
 """
 
 from __future__ import annotations
 
 from docketflow import fixed_values as V
 from docketflow.plans.deck_entities import duck_decks
-from docketflow.plans.dialect import duck_ascii, duck_match, duck_round, quote
+from docketflow.plans.dialect import duck_ascii, duck_best_window, duck_match, duck_round, quote
 
 
 def norm(x: str) -> str:
@@ -38,6 +40,16 @@ def either(a: str, b: str) -> str:
     return f"(contains({a}, {b}) OR contains({b}, {a}))"
 
 
+def held(a: str, b: str, threshold: float) -> str:
+    return either(a, b)
+
+
+def near(a: str, b: str, threshold: float) -> str:
+    one, other = duck_best_window(a, b), duck_best_window(b, a)
+    score = f"CASE WHEN length({a}) < length({b}) THEN {one} WHEN length({a}) > length({b}) THEN {other} ELSE greatest({one}, {other}) END"
+    return f"(CASE WHEN {either(a, b)} THEN TRUE ELSE {score} >= {threshold} END)"
+
+
 BULLETS = "' •-–—*' || chr(9)"
 D = V.FLAG_DETAILS
 SUSPICIOUS, POTENTIAL = "'suspicious_instruction_detected'", "'potential_discrepancy'"
@@ -50,13 +62,14 @@ def _split(column: str, source: str, where: str = "TRUE") -> str:
     )
 
 
-FLAGS = f"""
+def flags_sql(like=held) -> str:
+    return f"""
 l0 AS MATERIALIZED (SELECT *, trim(raw, {BULLETS}) AS line FROM ({_split('text', 'u')})),
 l1 AS MATERIALIZED (SELECT *, {norm('line')} AS nrm, {instruction('line')} AS instr FROM l0 WHERE line <> ''),
 n1 AS MATERIALIZED (SELECT *, trim(raw, {BULLETS}) AS line FROM ({_split('speaker_notes', 'u')})),
 un AS MATERIALIZED (SELECT *, {norm('ocr_text')} AS onrm, {norm('signal_text')} AS snrm, {instruction('coalesce(signal_text, chr(32))')} AS sinstr,
     {instruction('text')} AS tinstr, NOT hidden AND text <> '' AS visible FROM u),
-cmp AS MATERIALIZED (SELECT l.*, u.onrm <> '' AND {either('l.nrm', 'u.onrm')} AS seen FROM l1 l JOIN un u USING (submission_id, page_number)
+cmp AS MATERIALIZED (SELECT l.*, u.onrm <> '' AND {like('l.nrm', 'u.onrm', V.MATCH_THRESHOLD)} AS seen FROM l1 l JOIN un u USING (submission_id, page_number)
   WHERE u.visible AND u.rendered AND u.ocr_status IN ('completed', 'empty') AND length(l.nrm) >= 14 AND len(string_split(l.nrm, ' ')) >= 3
     AND NOT (u.snrm <> '' AND {either('l.nrm', 'u.snrm')})),
 agg AS (SELECT submission_id, page_number, count(*) AS n, count(*) FILTER (WHERE NOT seen AND NOT instr) AS nb,
@@ -88,6 +101,9 @@ flags AS MATERIALIZED (SELECT submission_id, page_number, CAST(row_number() OVER
     'slide_' || lpad(CAST(page_number AS STRING), 2, '0') AS slide_id, type, status, location, excerpt, detail, withheld AS withheld_from_ai
   FROM raw_flags)"""
 
+
+FLAGS = flags_sql()
+
 SEVERITY = "CASE status " + " ".join(f"WHEN {quote(k)} THEN {v}" for k, v in V.INTEGRITY_SEVERITY.items()) + " END"
 _S = V.REPORT_SUMMARIES
 _WHERE = "coalesce(CASE WHEN n > 4 THEN n || ' slides' ELSE names END, 'this submission')"
@@ -140,21 +156,22 @@ items AS (SELECT submission_id, part, page_number, CAST(row_number() OVER (PARTI
 MARK = quote(V.WITHHELD_MARK)
 
 
-def _kept(name: str, column: str, location: str) -> str:
+def _kept(name: str, column: str, location: str, like) -> str:
     """Lines of a text with withheld ones replaced by one mark per run."""
     return f"""
 {name}_ex AS (SELECT submission_id, page_number, {norm("regexp_replace(excerpt, '…+$', '')")} AS ex FROM flags
   WHERE withheld_from_ai AND location = '{location}' AND excerpt <> ''),
 {name}_dr AS (SELECT l.*, CASE WHEN EXISTS (SELECT 1 FROM {name}_ex e WHERE e.submission_id = l.submission_id AND e.page_number = l.page_number
-      AND length(e.ex) >= 8 AND {norm('l.raw')} <> '' AND {either(norm('l.raw'), 'e.ex')}) THEN {MARK} ELSE raw END AS shown FROM ({_split(column, 'u')}) l),
+      AND length(e.ex) >= 8 AND {norm('l.raw')} <> '' AND {like(norm('l.raw'), 'e.ex', V.WITHHELD_THRESHOLD)}) THEN {MARK} ELSE raw END AS shown FROM ({_split(column, 'u')}) l),
 {name}_lag AS (SELECT *, lag(shown) OVER (PARTITION BY submission_id, page_number ORDER BY ln) AS prev FROM {name}_dr),
 {name} AS (SELECT submission_id, page_number, string_agg(shown, chr(10) ORDER BY ln) FILTER (WHERE NOT (shown = {MARK} AND raw <> {MARK} AND coalesce(prev = {MARK}, FALSE))) AS kept
   FROM {name}_lag GROUP BY 1, 2)"""
 
 
-VIEWS = _kept("kt", "text", "slide_text") + "," + _kept("kn", "speaker_notes", "speaker_notes") + f""",
+def views_sql(like=held) -> str:
+    return _kept("kt", "text", "slide_text", like) + "," + _kept("kn", "speaker_notes", "speaker_notes", like) + f""",
 im AS (SELECT o.submission_id, o.page_number, string_agg(trim(o.raw), chr(10) ORDER BY o.ln) AS img FROM ({_split('ocr_text', 'u', 'has_visual_content')}) o
-  JOIN u USING (submission_id, page_number) WHERE length({norm('o.raw')}) >= 4 AND NOT ({norm('u.text')} <> '' AND {either(norm('o.raw'), norm('u.text'))}) GROUP BY 1, 2),
+  JOIN u USING (submission_id, page_number) WHERE length({norm('o.raw')}) >= 4 AND NOT ({norm('u.text')} <> '' AND {like(norm('o.raw'), norm('u.text'), V.IMAGE_TEXT_THRESHOLD)}) GROUP BY 1, 2),
 wh AS (SELECT DISTINCT submission_id, page_number FROM flags WHERE withheld_from_ai AND location = 'slide'),
 views AS MATERIALIZED (SELECT u.submission_id, u.page_number, 'slide_' || lpad(CAST(u.page_number AS STRING), 2, '0') AS slide_id, u.team_name, u.submission_title,
     coalesce(u.title, '') AS title, w.page_number IS NOT NULL AS withheld, CASE WHEN w.page_number IS NOT NULL THEN {MARK} ELSE coalesce(kt.kept, '') END AS text,
@@ -163,6 +180,9 @@ views AS MATERIALIZED (SELECT u.submission_id, u.page_number, 'slide_' || lpad(C
   LEFT JOIN wh w USING (submission_id, page_number))"""
 
 
+VIEWS = views_sql()
+
+
 def _sentences(column: str, source: str) -> str:
     return (
         f"SELECT submission_id, page_number, '{source}' AS source, ln, unnest(string_split(regexp_replace(trim(raw, {BULLETS}), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS piece, "
@@ -177,9 +197,13 @@ s1 AS (SELECT s.submission_id, s.page_number, s.source, s.ln, s.pn, trim(s.piece
   WHERE trim(s.piece) <> '' AND (s.source <> 'text' OR {norm('s.piece')} <> {norm('v.title')})),
 sentences AS MATERIALIZED (SELECT submission_id, page_number, source, CAST(row_number() OVER (PARTITION BY submission_id, page_number, source ORDER BY ln, pn) - 1 AS INT) AS ord, sentence FROM s1)"""
 
-VIA = f"""CASE WHEN x.withheld OR {norm('x.excerpt')} = '' THEN 'unknown' WHEN {norm('x.text')} <> '' AND {either(norm('x.excerpt'), norm('x.text'))} THEN 'text'
-  WHEN {norm('x.notes')} <> '' AND {either(norm('x.excerpt'), norm('x.notes'))} THEN 'speaker_notes'
-  WHEN {norm('x.image_text')} <> '' AND {either(norm('x.excerpt'), norm('x.image_text'))} THEN 'ocr' ELSE 'unknown' END"""
+def via_sql(like=held) -> str:
+    arms = [f"WHEN {norm(f'x.{column}')} <> '' AND {like(norm('x.excerpt'), norm(f'x.{column}'), V.EXCERPT_THRESHOLD)} THEN '{via}'"
+            for via, column in (("text", "text"), ("speaker_notes", "notes"), ("ocr", "image_text"))]
+    return f"CASE WHEN x.withheld OR {norm('x.excerpt')} = '' THEN 'unknown' {' '.join(arms)} ELSE 'unknown' END"
+
+
+VIA = via_sql()
 
 _TOPIC_ROWS = " UNION ALL ".join(
     f"""SELECT {i} AS topic_index, '{k}' AS topic, {quote(lab)} AS label, {quote(tp)} AS tp, {quote(bp)} AS bp, {str(k in V.WEAK_TOPICS).upper()} AS weak"""
@@ -385,6 +409,6 @@ ev0 AS (SELECT submission_id, 'evidence:' || id AS finding_key, refs FROM highli
 evidence AS (SELECT submission_id, finding_key, unnest(string_split(refs, chr(10))) AS ref FROM ev0 WHERE refs <> '')"""
 
 
-def deck_sql(select: str, *stages: str) -> str:
-    return duck_decks().rstrip() + "," + ",".join(stages) + "\n" + select
+def deck_sql(select: str, *stages: str, decks: str | None = None) -> str:
+    return (decks or duck_decks()).rstrip() + "," + ",".join(stages) + "\n" + select
 

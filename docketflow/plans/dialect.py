@@ -70,3 +70,16 @@ def duck_lookup(key: str, table: dict[str, str], default: str | None = None) ->
     arms = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in table.items())
     return f"CASE {key} {arms}" + (f" ELSE {default}" if default else "") + " END"
 
+
+def duck_best_window(short: str, long: str) -> str:
+    """Best score of a string (120 letters at most) against every window of at most its length of a longer one.
+
+    The longest common subsequence with a window is a row of bits, one for each place of the
+    string, folded over the places at which each letter of the window stands in it.
+    """
+    places = f"list_transform(string_split({long}, ''), lambda c: list_aggregate(list_transform(range(length({short})), lambda i: CASE WHEN substr({short}, i + 1, 1) = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END), 'bit_or'))"
+    full = f"((1::HUGEINT << length({short})) - 1)"
+    first, last = f"greatest(k - length({short}) + 1, 0)", f"least(k + 1, length({long}))"
+    common = f"(length({short}) - bit_count(list_reduce(h[{first} + 1 : {last}], lambda v, c: ((v + (v & c)) | (v - (v & c))) & {full}, {full})))"
+    scores = f"list_transform(range(length({long}) + length({short}) - 1), lambda k: 200 * {common} / (length({short}) + {last} - {first}))"
+    return f"list_transform([{places}], lambda h: list_max({scores}))[1]"

@@ -11,7 +11,7 @@ from docketflow.operators import visibility as VI
 from docketflow.plans.catalog import Catalog, read, read_spread
 from docketflow.plans.deck_entities import deck_submissions, deck_units, duck_decks
 from docketflow.plans.deck_sql import HOST, cut, flat, instruction, norm
-from docketflow.plans.dialect import case_of, duck_lookup, quote, to_duck, to_spark
+from docketflow.plans.dialect import case_of, duck_best_window, duck_lookup, quote, to_duck, to_spark
 from docketflow.plans.review_entities import duck_entities, entity
 from docketflow.sources import files as FI
 from docketflow.sources import units as UN
@@ -240,28 +240,13 @@ _PIECE = 32
 _LOST = 7
 
 
-def _lcs(short: str, window: str) -> str:
-    """Longest common subsequence of two SQL strings: a row of bits, one for each place of the short one, folded over the window."""
-    places = f"list_transform(string_split({window}, ''), lambda c: list_aggregate(list_transform(range(length({short})), lambda i: CASE WHEN substr({short}, i + 1, 1) = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END), 'bit_or'))"
-    full = f"((1::HUGEINT << length({short})) - 1)"
-    return f"(length({short}) - bit_count(list_reduce({places}, lambda v, h: ((v + (v & h)) | (v - (v & h))) & {full}, {full})))"
-
-
-def _best_window(short: str, long: str) -> str:
-    """Best score of a string against every window of at most its length of a longer one."""
-    at = f"range(length({long}) + length({short}) - 1)"
-    first, last = f"greatest(k - length({short}) + 1, 0)", f"least(k + 1, length({long}))"
-    window = f"substr({long}, {first} + 1, {last} - {first})"
-    return f"list_max(list_transform({at}, lambda k: 200 * {_lcs(short, window)} / (length({short}) + {last} - {first})))"
-
-
 @CATALOG.query("txt16_best_window_scores", f"""WITH w AS (SELECT conv_id, turn, sno, {norm('s')} AS whole FROM (
     SELECT conv_id, turn, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) - 1 AS sno FROM conversations)),
 p AS (SELECT DISTINCT conv_id, turn, sno, unnest(regexp_extract_all(whole, '.{{1,{_PIECE}}}')) AS x,
     CASE WHEN sno % 2 = 1 THEN regexp_replace(whole, '(.{{{_LOST - 1}}}).', '\\1', 'g') ELSE regexp_replace(whole, '(.{{{_LOST - 2}}})(.)(.)', '\\1\\3\\2', 'g') END AS worn FROM w),
 s AS (SELECT *, CASE WHEN length(x) <= length(worn) THEN x ELSE worn END AS short, CASE WHEN length(x) <= length(worn) THEN worn ELSE x END AS long FROM p WHERE x <> '' AND worn <> '')
-SELECT conv_id, turn, sno, x AS piece, round(CASE WHEN contains(long, short) THEN 100.0 WHEN length(short) = length(long) THEN greatest({_best_window('short', 'long')}, {_best_window('long', 'short')})
-  ELSE {_best_window('short', 'long')} END, 9) AS score FROM s""")
+SELECT conv_id, turn, sno, x AS piece, round(CASE WHEN contains(long, short) THEN 100.0 WHEN length(short) = length(long) THEN greatest({duck_best_window('short', 'long')}, {duck_best_window('long', 'short')})
+  ELSE {duck_best_window('short', 'long')} END, 9) AS score FROM s""")
 def best_window_scores(spark, folder):
     """The exact scores of the pieces of every sentence against the sentence with letters lost or swapped."""
     said = read_spread(spark, folder, "conversations").select(
@@ -273,10 +258,10 @@ def best_window_scores(spark, folder):
     staged = said.select("conv_id", "turn", "sno", F.filter(pieces, lambda x: x != "").alias("pieces"), F.array(worn).alias("worn"))
     staged = staged.withColumn("rest", similarity.unsettled(F.col("pieces"), F.col("worn")))
     busy = F.size("rest") > 0
-    exact = F.map_from_arrays(F.when(busy, F.col("rest")), similarity.best_scores(F.when(busy, F.col("rest")), F.when(busy, F.col("worn")), 0.0))
+    exact = similarity.best_scores(F.when(busy, F.col("rest")), F.when(busy, F.col("worn")), 0.0)
     scored = staged.filter(F.col("worn")[0] != "").withColumn("scores", exact)
-    return scored.select("conv_id", "turn", "sno", F.explode("pieces").alias("piece"), "scores").select(
-        "conv_id", "turn", "sno", "piece", F.round(similarity.score_of(F.col("piece"), F.col("scores")), 9).alias("score"))
+    return scored.select("conv_id", "turn", "sno", F.explode("pieces").alias("piece"), "rest", "scores").select(
+        "conv_id", "turn", "sno", "piece", F.round(similarity.score_of(F.col("piece"), F.col("rest"), F.col("rest"), F.col("scores")), 9).alias("score"))
 
 
 @CATALOG.query("txt17_instruction_lines", duck_decks().rstrip() + f""",

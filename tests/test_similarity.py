@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docketflow.functions.similarity import best_scores, best_window_score, score_map, unsettled
+from docketflow.functions.similarity import best_scores, best_window_score, first_reaching, hopeful, may_reach, score_maps, score_of, unsettled
 
 
 def lcs(a, b):
@@ -60,8 +60,32 @@ def test_columns(spark):
                                "n array<string>, h array<string>")
     rows = df.select(unsettled(F.col("n"), F.col("h")).alias("u"), best_scores(F.col("n"), F.col("h"), 0.0).alias("s")).collect()
     assert rows[0]["u"] == ["zzz"] and rows[0]["s"][0] == 100.0 and rows[1]["s"] == [75.0] and rows[2]["s"] == [0.0]
-    maps = df.withColumn("u", unsettled(F.col("n"), F.col("h"))).select(score_map(F.col("u"), F.col("h"), 60.0).alias("m")).collect()
-    assert maps[1]["m"]["abxd"] >= 60
+    for cutoff, scores in ((60.0, [[100.0, 0.0, 100.0], [75.0], [100.0]]), (90.0, [[100.0, 0.0, 100.0], [0.0], [100.0]])):
+        jobs = df.withColumn("u", F.when(F.size("h") > 0, unsettled(F.col("n"), F.col("h")))).withColumn("o", hopeful(F.col("u"), F.col("h"), cutoff))
+        jobs = jobs.withColumn("s", score_maps([(F.col("o"), F.col("h"), cutoff), (F.lit(None).cast("array<string>"), F.col("h"), cutoff)])[0])
+        got = jobs.select(F.transform("n", lambda x: score_of(x, F.col("u"), F.col("o"), F.col("s"))).alias("x"), "o").collect()
+        assert [[x >= cutoff for x in r["x"]] for r in got] == [[x >= cutoff for x in xs] for xs in scores]
+    assert got[0]["o"] == [] and got[1]["o"] == []  # pairs of letters rule both out, so nothing goes to Python
+    first = df.select(first_reaching(F.col("n"), F.array(F.lit("zz"), F.lit("abcd efgh"), F.lit("")), 70.0).alias("f")).collect()
+    assert [r["f"] for r in first] == [[1, 0, -1], [1], [1]]
+
+
+def test_pairs_of_letters_never_rule_out_a_match(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = []
+    for _ in range(1500):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 25)))
+        b = list(a + "".join(rng.choice("abc") for _ in range(rng.randint(0, 12))))
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "a"])
+        rows.append((a, "".join(b)))
+    for cutoff in (62.0, 67.0, 80.0, 85.0, 90.0, 99.0):
+        kept = spark.createDataFrame(rows, "a string, b string").select("a", "b", may_reach(F.col("a"), F.col("b"), cutoff).alias("k")).collect()
+        assert all(r.k for r in kept if r.a and r.b and best_window_score(r.a, r.b) >= cutoff)
+        assert cutoff < 67 or any(not r.k for r in kept)
 
 
 def test_lower_first_keeps_long_texts(spark):
