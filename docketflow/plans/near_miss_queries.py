@@ -4,8 +4,8 @@ Every turn of a conversation is a slide of one of three kinds, made of the turn'
 lines whose rendered form is worn (62: seen or not), lines and notes that are worn copies of a
 withheld text (90: dropped or not), and recognized lines that are worn copies of the text layer
 (80: new or not).  Each slide is cited twice by worn excerpts (85).  ``WORN(x, n)`` puts n
-sevens in the place of n letters, which leaves a score of 100 (m - n) / m of m letters: the
-number is the largest that still reaches the threshold, or one more.
+sevens in the place of the n letters in the middle, which leaves a score of 100 (m - n) / m of
+m letters: the number is the largest that still reaches the threshold, or one more.
 
 The stated results compute the window score in SQL, so a threshold or a score that is off
 by one letter gives other rows.
@@ -46,7 +46,7 @@ _TEXTS = f"""
   SELECT *, CASE kind WHEN 0 THEN a || chr(10) || b || chr(10) || c WHEN 1 THEN WORN(s, {_least('s', V.WITHHELD_THRESHOLD)}) || chr(10) || b ELSE g END AS text,
     CASE kind WHEN 1 THEN n || chr(10) || WORN(n, {_least('n', V.WITHHELD_THRESHOLD)}) || chr(10) || 'costs were confirmed' END AS speaker_notes,
     CASE kind WHEN 0 THEN WORN(a, {_least('a', V.MATCH_THRESHOLD)}) || chr(10) || WORN(b, {_least('b', V.MATCH_THRESHOLD)}) || chr(10)
-      || WORN(c, {_least('c', V.MATCH_THRESHOLD, '(d + 1) % 2')})
+      || WORN(c, {_least('c', V.MATCH_THRESHOLD, '(d IDIV 2) % 2')})
       WHEN 2 THEN WORN(g, {_least('g', V.IMAGE_TEXT_THRESHOLD)}) || chr(10) || 'axis labels' END AS seen
   FROM ({_LINES}) l"""
 NEAR_SQL = f"""
@@ -62,7 +62,7 @@ NEAR_SQL = f"""
 
 def _spelled(sql: str, spark: bool) -> str:
     everywhere = "" if spark else ", 'g'"
-    sql = re.sub(r"WORN\((\w), (CAST\(.*? AS INT\))\)", r"(substr(\1, 1, 1) || repeat('7', \2) || substr(\1, 2 + \2))", sql)
+    sql = re.sub(r"WORN\((\w), (CAST\(.*? AS INT\))\)", r"(substr(\1, 1, CAST(floor((length(\1) - \2) / 2) AS INT)) || repeat('7', \2) || substr(\1, CAST(floor((length(\1) - \2) / 2) AS INT) + 1 + \2))", sql)
     while (at := sql.find("CLEAN(")) >= 0:
         depth, end = 1, at + 6
         while depth:

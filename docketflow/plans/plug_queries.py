@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketflow import schemas as C
+from docketflow.operators import answers as A
 from docketflow.operators import brief as B
 from docketflow.operators import integrity as I
 from docketflow.operators import outside as O
@@ -23,7 +25,7 @@ from docketflow.plans.deck_entities import deck_rubric, deck_submissions, deck_u
 from docketflow.plans.deck_queries import _LIMIT, _TO_BRIEF, _refs, _rounds, _run
 from docketflow.plans.intake_queries import _docs
 from docketflow.plans.review_entities import duck_entities, entity
-from docketflow.session import cut
+from docketflow.session import cut, ensure_checkpoint_dir
 from docketflow.sources import files as FI
 from docketflow.sources.files import check_page_limit
 from docketflow.sources.sinks import json_documents
@@ -184,6 +186,10 @@ def _answer(stage: str, document: str) -> str:
 _STAGES = {"extractor": C.EXTRACTION, "rubric_analyzer": C.RUBRIC_ANALYSIS, "verifier": C.VERIFICATION, "brief_writer": C.BRIEF_WRITER}
 
 
+def _store(spark) -> A.AnswerStore:
+    return A.AnswerStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/answers")
+
+
 def outside_run(spark, folder):
     """(grounded findings, decoded answers by stage, criteria known to each submission)."""
     views, docs = _documents(spark, folder)
@@ -191,12 +197,12 @@ def outside_run(spark, folder):
     rubric = deck_rubric(spark, folder)
     known = subs.join(rubric.select("round_id", "criterion_id", "weight"), "round_id").select("submission_id", "criterion_id", "weight")
     ids = subs.join(P.render_rubric(rubric, _rounds(spark, folder)).select("round_id", "criterion_ids"), "round_id")
-    # a model is asked once: prompts and answers are stored, whatever reads them later
+    # a model is asked once for a prompt, by whichever run comes first
     prompts = cut(docs.withColumnRenamed("document", "prompt"), "prompts")
     answers = {}
     for stage, contract in _STAGES.items():
-        said = P.call_model(prompts, lambda prompt, stage=stage: _answer(stage, prompt), contract, stage)
-        answers[stage] = P.decode_answers(cut(said, "answers"), contract)
+        said = A.ask(prompts, lambda prompt, stage=stage: _answer(stage, prompt), contract, stage, _store(spark))
+        answers[stage] = P.decode_answers(said, contract)
     checked = P.check_criteria(answers["rubric_analyzer"], ids.select("submission_id", "criterion_ids"))
     found = O.of_answers(answers["extractor"], checked, answers["verifier"], answers["brief_writer"], known)
     return O.ground(found, views), answers, checked
@@ -218,6 +224,27 @@ def rubric_answers(spark, folder):
     return checked.select("submission_id", "error", F.array_join(listed, ",").alias("criteria"))
 
 
+@CATALOG.query("udf3_stored_answers", Q.deck_sql("""SELECT stage, count(*) AS submissions, count(*) AS answers, count(DISTINCT document) AS prompts, 0::BIGINT AS asked_again
+FROM docs JOIN lim USING (submission_id), (SELECT unnest(['brief_writer', 'extractor', 'rubric_analyzer', 'verifier']) AS stage) t GROUP BY stage""",
+    Q.FLAGS, Q.VIEWS, Q.NOT_ASSESSED, _DOCUMENT))
+def stored_answers(spark, folder):
+    """A second run over the same prompts asks nothing: all of its answers come from the store."""
+    _, docs = _documents(spark, folder)
+    prompts = cut(docs.withColumnRenamed("document", "prompt"), "prompts")
+    store, rows = A.AnswerStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/answers-{uuid.uuid4().hex}"), None
+    for stage, contract in _STAGES.items():
+        for call in (lambda prompt, stage=stage: _answer(stage, prompt), _never):
+            said = A.ask(prompts, call, contract, stage, store)
+        asked = store.read(spark, stage).groupBy("stage").agg(F.count("*").alias("prompts"), F.count("error").alias("asked_again"))
+        own = said.groupBy(F.lit(stage).alias("stage")).agg(F.count("*").alias("submissions"), F.count("answer").alias("answers")).join(asked, "stage")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+def _never(prompt: str) -> str:
+    raise RuntimeError("asked again")
+
+
 @CATALOG.query("grd4_topics_and_claims", Q.deck_sql("""SELECT submission_id, kind, key, label, ref AS refs FROM cite JOIN (
   SELECT unnest(['topic', 'topic', 'topic', 'topic', 'claim', 'claim']) AS kind, unnest(['solution', 'problem', 'team', 'extra', 'c1', 'c2']) AS key,
     unnest(['What is built', 'The need', 'People', 'Other', 'other', 'other']) AS label, unnest([1, 2, 3, 2, 1, 2]) AS p) t ON t.p = page_number""", *_OUT))
