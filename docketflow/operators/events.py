@@ -43,7 +43,7 @@ def append_events(events: DataFrame, path: str) -> None:
     events.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
 
 
-def _matching(events: DataFrame, round_id: int, submission_id: int | None, action: str | None) -> DataFrame:
+def matching(events: DataFrame, round_id: int, submission_id: int | None, action: str | None) -> DataFrame:
     rows = events.filter(F.col("round_id") == round_id)
     if submission_id:
         rows = rows.filter(F.col("submission_id") == submission_id)
@@ -59,14 +59,14 @@ def audit_page(
     """One page of a round's events, newest first."""
     if not 1 <= limit <= V.AUDIT_PAGE_LIMIT or offset < 0:
         raise ValueError(f"limit must be 1..{V.AUDIT_PAGE_LIMIT} and offset not negative")
-    rows = _matching(events, round_id, submission_id, action)
+    rows = matching(events, round_id, submission_id, action)
     return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
 
 
 def audit_total(
     events: DataFrame, round_id: int, submission_id: int | None = None, action: str | None = None
 ) -> DataFrame:
-    return _matching(events, round_id, submission_id, action).agg(F.count("*").alias("total"))
+    return matching(events, round_id, submission_id, action).agg(F.count("*").alias("total"))
 
 
 def action_prefix(action: Column) -> Column:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketflow import fixed_values as V
 from docketflow.functions import display
 from docketflow.operators import assignment as A
+from docketflow.operators import audit_pages as AP
 from docketflow.operators import events as E
 from docketflow.operators import reporting as R
 from docketflow.operators import scoring as S
 from docketflow.plans.catalog import Catalog, read
 from docketflow.plans.dialect import duck_lookup, duck_mean, duck_round, quote
 from docketflow.plans.review_entities import duck_entities, entity
+from docketflow.session import ensure_checkpoint_dir
 
 CATALOG = Catalog()
 
@@ -714,6 +718,37 @@ def audit_page(spark, folder):
     return E.audit_page(ev, 3, action="evaluation", limit=20, offset=5).select("id", "action", *_micros("created_at"))
 
 
+_PAGE = "SELECT id, action, epoch_us(created_at) AS created_at FROM (SELECT * FROM audit WHERE round_id = 3 ORDER BY created_at DESC, id DESC LIMIT {} OFFSET {})"
+
+
+def _indexed(spark, folder):
+    """The log in folders of days with its index, written in the shared folder."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/log-{uuid.uuid4().hex}"
+    AP.append_with_index(entity(spark, folder, "audit"), f"{path}/events", f"{path}/index")
+    return spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/index")
+
+
+@CATALOG.query("aud2_deep_page", duck_entities("audit") + _PAGE.format(25, 90))
+def deep_page(spark, folder):
+    events, index = _indexed(spark, folder)
+    return AP.deep_page(events, index, 3, limit=25, offset=90).select("id", "action", *_micros("created_at"))
+
+
+@CATALOG.query("aud2_pages_by_cursor", duck_entities("audit") + _PAGE.format(45, 0))
+def pages_by_cursor(spark, folder):
+    """Three pages, each from the last row of the one before."""
+    events, index = _indexed(spark, folder)
+    after, pages = None, None
+    for _ in range(3):
+        page = AP.next_page(events, index, 3, after, limit=15)
+        pages = page if pages is None else pages.unionByName(page)
+        last = page.orderBy("created_at", "id").select(F.unix_micros("created_at"), "id").first()
+        if last is None:
+            break
+        after = tuple(last)
+    return pages.select("id", "action", *_micros("created_at"))
+
+
 @CATALOG.query("aud2_audit_total", duck_entities("audit") + "SELECT count(*) AS total FROM audit WHERE round_id = 3 AND starts_with(action, 'submission')")
 def audit_total(spark, folder):
     return E.audit_total(entity(spark, folder, "audit"), 3, action="submission")
