@@ -24,6 +24,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -287,22 +288,30 @@ def encode(text: Column, key: Column, pieces: Pieces, seed: int = SEED) -> Colum
     return encoded(text, _drawn(key, seed))
 
 
-def encode_checked(text: Column, key: Column, pieces: Pieces, seed: int = SEED) -> Column:
-    """``piece_ids`` as by ``encode`` and ``lossless``, whether they decode to the text, in one pass."""
-    schema = T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+def with_pieces(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", seed: int = SEED) -> DataFrame:
+    """``docs`` with ``piece_ids`` as by ``encode``, their number ``n_pieces`` and ``lossless``, whether they decode to the text.
 
-    @F.pandas_udf(schema)
-    def encoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        lattices = Lattices(pieces)
-        for batch, keys in batches:
-            texts = batch.tolist()
-            found = [ids for _, _, part in _segments(texts, keys.to_numpy(), lattices) for ids in part]
-            yield pd.DataFrame({
-                "piece_ids": pd.Series(found, dtype=object),
-                "lossless": pd.Series([joined(i, pieces) == (t or "") for i, t in zip(found, texts)], dtype=bool),
-            })
+    Rows pass as Arrow columns and leave in runs of about ``TEXTS_AT_ONCE`` characters, so memory does
+    not follow the batch size.  Columns of these names that ``docs`` has are replaced.
+    """
+    added = T.StructType([
+        T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
+    own = [f for f in docs.schema.fields if f.name not in added.names]
+    place = [f.name for f in own].index(text)
 
-    return encoded(text, _drawn(key, seed))
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = Lattices(pieces)
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for a, b, found in _segments(texts, batch.column(len(own)).to_numpy(), lattices):
+                sizes = np.array([len(i) for i in found], dtype=np.int64)
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+                same = pa.array([joined(i, pieces) == (t or "") for i, t in zip(found, texts[a:b])], type=pa.bool_())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:-1], ids, pa.array(sizes), same], names=[f.name for f in own] + added.names)
+
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in own], _drawn(F.col(f"`{key}`"), seed))
+    return rows.mapInArrow(encoded, T.StructType(own + added.fields))
 
 
 def decode(ids: Column, pieces: Pieces) -> Column:
