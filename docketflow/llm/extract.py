@@ -6,16 +6,23 @@ with the share of their text that stands in links and the kind of place they sta
 Pass one decides what it can: blocks in menus, page headers, footers, sidebars, notices,
 adverts, forms and reader comments are boilerplate, and so are those made of links.  Of the
 others, long ones with enough stop words are main text, and those with few are boilerplate;
-inside an article they stay open, as short blocks do.  In pass two each open block takes the label of its nearest
+inside an article they stay open, as short blocks do.  Stop words are English, German, French
+and Spanish; on a page without any block that has enough of them, long blocks with the signs
+that end a sentence count instead.  In pass two each open block takes the label of its nearest
 decided neighbours, looked for on both sides within its own part of the page.  If they differ
 the nearer one counts, and with none the block is not text; but an article's own block is
 dropped only between boilerplate on both sides.
 
+Forms and elements named as boilerplate go whole, unless one holds at least half of the
+page's main text and no article or main element has text beside it: then it wraps the page.  An article within an article is a reader's comment,
+unless the outer one has no main text of its own, as with chapters.
+
 Scripts, styles and other content that is not shown never become blocks.  If the articles (or
 else the main element, or both) hold at least half of the main text, blocks elsewhere stay
 only if pass one alone finds them main text, as with a lead before the article.  White space is collapsed,
 blocks are joined by an empty line; nothing else is cut.  A null, empty or broken page gives
-the text that can be read, an empty one if none.  Unclosed tags end with their parents.
+the text that can be read, an empty one if none.  Unclosed tags end with their parents; an unclosed
+button or the like hides nothing behind the next block.
 """
 
 from __future__ import annotations
@@ -26,6 +33,7 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,7 +51,8 @@ BLOCKS = frozenset(
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas video audio map title textarea select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_PARAGRAPH = BLOCKS - {"caption", "thead", "tbody", "tfoot", "tr", "td", "th", "legend", "summary"}
-PLACES_OFF = frozenset("nav aside footer form menu dialog head".split())
+PLACES_OFF = frozenset("nav aside footer menu dialog head".split())
+RAW = frozenset("script style title textarea iframe".split())  # their content is no markup
 ROLES_OFF = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES_OFF = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside ad ads advert adverts advertisement advertising "
@@ -67,6 +76,9 @@ LINKS_PAGE, LINKS_ARTICLE = 0.33, 0.5
 
 GOOD, BAD, NEAR_GOOD, OPEN = "good", "bad", "near good", "open"
 ARTICLE, MAIN, PAGE, OFF = "article", "main", "page", "off"
+#: Content of a form or of an element named as boilerplate, and of an article within an article: what stands there decides.
+DOUBTED, INNER = "doubted", "inner"
+ENDS = re.compile(r"[.!?…。！？؟।]")
 
 
 @dataclass
@@ -74,6 +86,8 @@ class Block:
     text: str
     linked: int
     place: str
+    doubt: int = 0  # number of the outermost doubted element it stands in
+    inner: bool = False  # whether it stands in an article within an article
 
 
 def _names(attributes: str) -> tuple[set[str], str, bool]:
@@ -94,17 +108,19 @@ def _names(attributes: str) -> tuple[set[str], str, bool]:
 
 
 def _place(tag: str, attributes: str, around: str) -> str:
-    """Where the content of an element stands, given where the element stands."""
+    """Where the content of an element stands, given where the element stands; ``DOUBTED`` and ``INNER`` add to that."""
     if around == OFF or tag in PLACES_OFF:
         return OFF
     if tag in ("html", "body"):
         return around
     names, role, hidden = _names(attributes) if attributes.strip() else (set(), "", False)
     inside = around in (ARTICLE, MAIN)
-    if hidden or role in ROLES_OFF or names & NAMES_OFF or (not inside and (tag == "header" or names & NAMES_HEADER)):
+    if hidden or role in ROLES_OFF or (not inside and (tag == "header" or names & NAMES_HEADER)):
         return OFF
+    if tag == "form" or names & NAMES_OFF:
+        return DOUBTED
     if tag == "article" or role == "article":
-        return OFF if around == ARTICLE else ARTICLE  # an article within an article is a comment on it
+        return INNER if around == ARTICLE else ARTICLE
     if tag == "main" or role == "main":
         return around if around == ARTICLE else MAIN
     return around
@@ -115,7 +131,8 @@ class Reader:
 
     def __init__(self) -> None:
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, str]] = []  # open block elements: tag and the place of their content
+        self.open: list[tuple[str, str, int, bool]] = []  # open block elements: tag, and place, doubt and inner of their content
+        self.doubts = 0
         self.opened: Counter[str] = Counter()  # how many of each are open
         self.parts: list[str] = []
         self.linked = 0
@@ -139,7 +156,7 @@ class Reader:
     def end_block(self) -> None:
         joined = " ".join("".join(self.parts).split())
         if joined:
-            self.blocks.append(Block(joined, self.linked, self.place()))
+            self.blocks.append(Block(joined, self.linked, *(self.open[-1][1:] if self.open else (PAGE,))))
         self.parts, self.linked, self.breaks, self.skipped = [], 0, 0, []
 
     def close(self, upto: int) -> None:
@@ -161,9 +178,17 @@ class Reader:
                 if self.open and self.open[-1][0] == closed:
                     self.close(len(self.open) - 1)
             if tag not in VOID:
-                self.open.append((tag, _place(tag, attributes, self.place())))
+                around, doubt, inner = self.open[-1][1:] if self.open else (PAGE, 0, False)
+                place = _place(tag, attributes, around)
+                if place == DOUBTED:
+                    if not doubt:
+                        self.doubts += 1
+                    place, doubt = around, doubt or self.doubts
+                elif place == INNER:
+                    place, inner = ARTICLE, True
+                self.open.append((tag, place, doubt, inner))
                 self.opened[tag] += 1
-        elif tag not in VOID and (self.skipped or (attributes.strip() and self.place() != OFF and _place(tag, attributes, self.place()) == OFF)):
+        elif tag not in VOID and (self.skipped or (attributes.strip() and self.place() != OFF and _place(tag, attributes, self.place()) in (OFF, DOUBTED))):
             self.skipped.append(tag)
 
     def end(self, tag: str) -> None:
@@ -181,6 +206,23 @@ class Reader:
             while self.skipped.pop() != tag:
                 pass
 
+    def behind(self, tag: str, attributes: str, page: str, at: int) -> int:
+        """Where reading goes on after an element that is not shown, whose content starts ``at``."""
+        if tag in ("svg", "math") and attributes.rstrip().endswith("/"):
+            return at
+        closing = _ending(tag).search(page, at)
+        if tag in RAW:
+            return closing.end() if closing else len(page)
+        # It ends with its parent, and before the next of its kind where these do not stand in each other.
+        parent = _ending(self.open[-1][0]).search(page, at) if self.open else None
+        bounds = [parent.start()] if parent else []
+        if tag in ("button", "select") and (again := _starting(tag).search(page, at, closing.start() if closing else len(page))):
+            bounds.append(again.start())
+        if closing and all(closing.start() < b for b in bounds):
+            return closing.end()
+        block = _BLOCK_TAG.search(page, at)
+        return min([*bounds, block.start()] if block else bounds, default=at)
+
     def read(self, page: str) -> list[Block]:
         at = 0
         while (m := TOKEN.search(page, at)) is not None:
@@ -196,8 +238,7 @@ class Reader:
             if m[1] or m[4]:
                 self.end(tag)
             elif tag in UNSEEN:
-                closing = re.compile(rf"</{tag}(?![a-zA-Z0-9-])[^>]*>?", re.I).search(page, at)
-                at = closing.end() if closing else len(page)
+                at = self.behind(tag, m[3] or m[6] or "", page, at)
             else:
                 self.start(tag, m[3] or m[6] or "")
         self.text(page[at:])
@@ -205,15 +246,32 @@ class Reader:
         return self.blocks
 
 
-def first_pass(block: Block) -> str:
-    """A label from the block alone."""
+@cache
+def _ending(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?![a-zA-Z0-9-])[^>]*>?", re.I)
+
+
+@cache
+def _starting(tag: str) -> re.Pattern:
+    return re.compile(rf"<{tag}(?![a-zA-Z0-9-])", re.I)
+
+
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?![a-zA-Z0-9-])", re.I)
+
+
+def first_pass(block: Block, spoken: bool = True) -> str:
+    """A label from the block alone; ``spoken`` if the page is in a language whose stop words are known."""
     size = len(block.text)
+    if not spoken and size > 20 * (1 + block.text.count(" ")):
+        size *= 2  # words are not spaced, and signs stand for more
     links = block.linked / max(1, size - block.text.count(" "))
     inside = block.place in (ARTICLE, MAIN)
     if block.place == OFF or links > (LINKS_ARTICLE if inside else LINKS_PAGE):
         return BAD
     if size < SHORT:
         return BAD if block.linked and not inside else OPEN
+    if not spoken:
+        return OPEN if not ENDS.search(block.text) and inside else BAD if not ENDS.search(block.text) else GOOD if size > LONG else NEAR_GOOD
     words = block.text.lower().split()
     stops = sum(w.strip(EDGES) in STOP_WORDS for w in words) / len(words)
     if stops >= STOPS_HIGH:
@@ -277,10 +335,30 @@ def _main_places(good: list[tuple[Block, str]]) -> frozenset[str]:
     return frozenset([ARTICLE, MAIN, PAGE])
 
 
+def _settle(blocks: list[Block], labels: list[str]) -> None:
+    """Put the blocks of doubted elements and of inner articles off the text, unless they hold it.
+
+    A doubted element holds the text if at least half of what pass one finds good stands in it
+    and no article or main element has text beside it.
+    """
+    texts: Counter[int] = Counter()
+    for b, label in zip(blocks, labels):
+        if label in (GOOD, NEAR_GOOD):
+            texts[b.doubt] += len(b.text)
+    beside = any(b.place in (ARTICLE, MAIN) and not b.doubt for b in blocks)
+    chapters = not any(label in (GOOD, NEAR_GOOD) and b.place == ARTICLE and not b.inner and not b.doubt for b, label in zip(blocks, labels))
+    for b in blocks:
+        if (b.doubt and (beside or 2 * texts[b.doubt] < max(1, texts.total()))) or (b.inner and not chapters):
+            b.place = OFF
+
+
 def main_blocks(page: str | None) -> list[str]:
     """The blocks of a page's main text, in page order."""
     blocks = Reader().read(page) if page else []
-    labels = own = [first_pass(b) for b in blocks]
+    own = [first_pass(b) for b in blocks]
+    spoken = not {GOOD, NEAR_GOOD}.isdisjoint(own)
+    _settle(blocks, own if spoken else [first_pass(b, False) for b in blocks])
+    labels = own = [first_pass(b, spoken) for b in blocks]
     if GOOD not in labels:  # a page of middling blocks only: the best there is
         labels = [GOOD if label == NEAR_GOOD else label for label in labels]
     kept = second_pass([b.place for b in blocks], labels)

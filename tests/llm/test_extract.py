@@ -68,3 +68,37 @@ CODES = "zx81 qk4 plm " * 20
 ])
 def test_elements_are_evidence_only(page, blocks):
     assert extract.main_blocks(page) == blocks
+
+
+GOOD = "This is the main text of the page and it is long enough to be seen as the text that the reader came for, with all of the words that are needed in it. " * 2
+MORE = "Another part of the story that was written by the same people and is as long as it has to be for this test of the reader, and more of it. " * 2
+MENU = "<nav>Home About</nav><div><a href=x>Link one</a> <a href=y>Link two</a></div>"
+SIGN_UP = "<form><p>Please sign up for the letter that we send to all of the readers of this page each week.</p><input></form>"
+
+
+@pytest.mark.parametrize("page, texts", [
+    (f"<body><form>{MENU}<main><p>{GOOD}</p></main><button>Go</button></form></body>", [GOOD]),  # a form around the page
+    (f"<body><article><p>{GOOD}</p>{SIGN_UP}<p>{MORE}</p></article>{SIGN_UP}</body>", [GOOD, MORE]),
+    (f"<body><svg/><p>{GOOD}</p><svg><text>chart</text></svg><p>{MORE}</p></body>", [GOOD, MORE]),
+    (f"<body><button>Menu<p>{GOOD}</p><button>OK</button><p>{MORE}</p></body>", [GOOD, MORE]),  # never closed
+    (f"<body><div><select><option>One</div><p>{GOOD}</p></body>", [GOOD]),
+    (f"<article><h1>Book</h1><article><p>{GOOD}</p></article><article><p>{MORE}</p></article></article>", ["Book", GOOD, MORE]),  # chapters
+    (f"<article><p>{GOOD}</p><article><p>{MORE}</p></article></article>", [GOOD]),  # a comment
+    (f"<body><div class='search-wrapper'>{MENU}<p>{GOOD}</p></div></body>", [GOOD]),
+    (f"<body><p>{GOOD}</p><p>{GOOD}</p><div id='comments'><p>{MORE}</p></div></body>", [GOOD, GOOD]),
+])
+def test_what_wraps_or_breaks_a_page_does_not_lose_its_text(page, texts):
+    assert extract.main_text(page) == "\n\n".join(t.strip() for t in texts)
+
+
+@pytest.mark.parametrize("text", [
+    "Il governo ha presentato ieri la nuova legge di bilancio, che prevede investimenti per le scuole. I sindacati chiedono interventi maggiori e annunciano una protesta nazionale nelle prossime settimane.",
+    "Правительство представило вчера новый закон о бюджете, который предусматривает вложения в школы. Профсоюзы требуют большего и объявляют о протесте по всей стране в ближайшие недели. Ответ ожидается завтра.",
+    "政府昨天公布了新的预算法案，其中包括对学校的投资。工会要求采取更多措施，并宣布在未来几周内举行全国性抗议活动。政府预计将于明天作出回应，届时将公布更多细节。专家认为，这项法案可能会影响许多家庭的生活。",
+    "ทางการได้เผยแพร่ร่างกฎหมายงบประมาณฉบับใหม่เมื่อวานนี้ ซึ่งรวมถึงการลงทุนในโรงเรียน. สหภาพแรงงานเรียกร้องให้มีมาตรการเพิ่มเติมและประกาศการประท้วงทั่วประเทศในสัปดาห์หน้า. รัฐบาลจะตอบพรุ่งนี้.",
+    "قدمت الحكومة أمس مشروع الموازنة الجديد الذي يتضمن استثمارات في المدارس. وتطالب النقابات بإجراءات أكبر وتعلن عن احتجاج وطني في الأسابيع المقبلة. ومن المتوقع أن ترد الحكومة غدا.",
+    "Η κυβέρνηση παρουσίασε χθες τον νέο νόμο για τον προϋπολογισμό, που προβλέπει επενδύσεις για τα σχολεία. Τα συνδικάτα ζητούν περισσότερα και ανακοινώνουν διαμαρτυρία σε όλη τη χώρα τις επόμενες εβδομάδες.",
+])
+def test_pages_without_articles_in_languages_whose_stop_words_are_not_listed(text):
+    page = f"<html><body>{MENU}<div><p>{text}</p><p>{text}</p></div><div>Copyright 2024</div><footer>{text}</footer></body></html>"
+    assert extract.main_text(page) == f"{text}\n\n{text}"
