@@ -26,6 +26,8 @@ from docketflow.session import cut, ensure_checkpoint_dir
 
 #: Records of a bucket at most, on average.  Each swap copies the bucket's references, so cost per row grows with it.
 BUCKET_ROWS = 2048
+#: Buckets whose first places are broadcast, 16 bytes each; those of more are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
 #: Bytes of a bucket at most, on average.
 BUCKET_BYTES = 64 << 20
 
@@ -92,8 +94,9 @@ def shard_records(
     done = scatter_and_shuffle(records, key, size, seed, bucket_rows, bucket_bytes)
     counts = done.select("bucket", "n", F.lit(0).alias("all"))
     ahead = running_total(counts, ["all"], "bucket", {"first": F.col("n")}).select("bucket", "first")
-    # a number for each bucket goes to the tasks, so that the records are not shuffled again
-    placed = done.join(F.broadcast(ahead), "bucket").select("first", F.posexplode("items").alias("at", "rec"))
+    # a number for each bucket goes to the tasks while that is small, so that the records are not shuffled again
+    few = done.count() <= MOST_BROADCAST
+    placed = done.join(F.broadcast(ahead) if few else ahead, "bucket").select("first", F.posexplode("items").alias("at", "rec"))
     position = (F.col("first") + F.col("at")).cast("long")
     return placed.select(
         "rec.*", F.pmod(position, F.lit(shards)).cast("int").alias(shard),

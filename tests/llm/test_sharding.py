@@ -71,3 +71,13 @@ def test_buckets_of_long_texts(spark, tmp_path):
     assert {(r.id, r.text) for r in rows} == want and len(rows) == 300
     assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(3) for i in range(100)]
     assert sharding.stored_shards(sharding.shard_records(records.limit(0), ["id"], "size")).count() == 0
+
+
+def test_many_buckets_are_joined_without_a_broadcast_and_give_the_same(spark, monkeypatch):
+    records = spark.range(500).select("id", F.lit(9).cast("long").alias("size"))
+    few = sharding.shard_records(records, ["id"], "size", bucket_rows=16)
+    monkeypatch.setattr(sharding, "MOST_BROADCAST", 3)
+    many = sharding.shard_records(records, ["id"], "size", bucket_rows=16)
+    assert "rightHint=(strategy=broadcast)" in few._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
