@@ -45,9 +45,7 @@ WITHHELD_MARK = "[content withheld by integrity check]"
 
 # Round limits and their defaults.
 MAX_PAGES_DEFAULT = 30
-MAX_PAGES_BOUND = 300
 MAX_FILE_MB_DEFAULT = 25
-MAX_SUBMISSIONS_BOUND = 10000
 
 # Characters stripped around a line: blank, bullet, hyphen, dashes, star, tab.
 BULLET_CHARS = " •-–—*\t"

@@ -249,8 +249,3 @@ def replace_units(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     """All units of re-processed submissions replaced; running it twice changes nothing."""
     gone = fresh.select("submission_id").distinct()
     return existing.join(gone, "submission_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
-
-
-def lines_of(units: DataFrame) -> DataFrame:
-    """submission_id, page_number, ord, line: raw lines of the unit text."""
-    return units.select(*UNIT, F.posexplode(split_lines(F.col("text"))).alias("ord", "line"))
