@@ -44,9 +44,9 @@ def shingle_hashes(words: list[bytes], size: int) -> list[int]:
     return [digest(joined[a:b], HASH_SEED) for a, b in zip(starts, ends)]
 
 
-def majority_bits(hashes: list[int]) -> int:
+def majority_bits(hashes: list[int] | np.ndarray) -> int:
     """The number whose bits are set in over half of the hashes; zero for none."""
-    if not hashes:
+    if not len(hashes):
         return 0
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 16):
@@ -66,12 +66,12 @@ def fingerprint(text: Column, size: int = 3) -> Column:
     return simhash(text)
 
 
-def _segment(fp: Column, number: int) -> Column:
+def segment(fp: Column, number: int) -> Column:
     return F.shiftrightunsigned(fp, SEGMENT_BITS * number).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
 
 
 def _segment_bits_apart(a: Column, b: Column, number: int) -> Column:
-    return F.bit_count(_segment(a.bitwiseXOR(b), number))
+    return F.bit_count(segment(a.bitwiseXOR(b), number))
 
 
 def _slot(number: int, value: Column) -> Column:
@@ -87,10 +87,10 @@ def linked_fingerprints(prints: DataFrame, fp: str = "fp", most: int = 3) -> Dat
     flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(SEGMENT_BITS)]).cast("array<bigint>")
 
     def ball(number: int) -> Column:
-        centre = _segment(F.col("fp"), number)
+        centre = segment(F.col("fp"), number)
         return F.transform(flips, lambda m: _slot(number, centre.bitwiseXOR(m)))
 
-    stored = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*[_slot(s, _segment(F.col("fp"), s)) for s in range(SEGMENTS)])).alias("slot"))
+    stored = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*[_slot(s, segment(F.col("fp"), s)) for s in range(SEGMENTS)])).alias("slot"))
     asked = distinct.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*[ball(s) for s in range(SEGMENTS)]))).alias("slot"))
     a, b = F.col("a"), F.col("b")
     first = F.col("asked.slot") < F.lit(1 << SEGMENT_BITS)
