@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docketflow.operators import events as E
@@ -67,6 +68,50 @@ def test_guarded_lifecycle_equals_the_batch_rules_on_a_disordered_stream(spark,
         tuple(r) for r in E.assignment_states(log).select(columns).collect()}
 
 
+class Calls:
+    """A state store that counts the calls that reach it."""
+
+    def __init__(self):
+        self.n, self.timers, self.rows, self.value = 0, [], [], None
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.of(get=lambda: self.value, exists=lambda: self.value is not None, update=lambda v: setattr(self, "value", v))
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.of(get=lambda: iter(list(self.rows)), appendList=self.rows.extend, put=lambda v: setattr(self, "rows", v), clear=self.rows.clear)
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        kept = {}
+        return self.of(updateValue=kept.__setitem__, iterator=lambda: iter(list(kept.items())), keys=lambda: iter(list(kept)), removeKey=kept.pop)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.n += 1
+        self.timers.append(at)
+
+    def of(self, **calls):
+        def counted(call):
+            def one(*args):
+                self.n += 1
+                return call(*args)
+            return staticmethod(one)
+        return type("State", (), {name: counted(call) for name, call in calls.items()})()
+
+
+def test_guard_calls_the_store_a_few_times_whatever_comes_together():
+    """A hundred events of one assignment, some twice, cost the state store as many calls as ten."""
+    calls = {}
+    for size in (10, 100):
+        store, guard = Calls(), stateful.LifecycleGuard(10**12, 10**12)
+        guard.init(store)
+        came = [Row(id=i, action=NAMES[i % 7], created_at=T0 + timedelta(seconds=i)) for i in [*range(size), *range(0, size, 3)]]
+        list(guard.handleInputRows((1,), iter(came), None))
+        now = type("Times", (), {"getCurrentWatermarkInMs": lambda self: stateful._micros(T0 + timedelta(days=1)) // 1000})()
+        sent = [row for at in list(store.timers) for row in guard.handleExpiredTimer((1,), now, at)]
+        assert [r.event_id for r in sent] == list(range(size))
+        calls[size] = store.n
+    assert calls[100] == calls[10] < 12
+
+
 def test_state_goes_after_the_finish_and_unfinished_reviews_expire(spark, tmp_path):
     day = 24 * 60
     steps = ["assignment.created", "review.opened", "evaluation.submitted", "ai.revealed", "evaluation.kept"]
