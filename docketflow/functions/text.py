@@ -16,6 +16,9 @@ from docketflow import fixed_values as V
 
 _BLANK = r"[\s\x1c-\x1f]"
 _LINE_BREAK = r"\R|[\x1c-\x1e]"
+#: The phrase with the word before tried from its first letter alone and never given back: the
+#: first match starts there or at the noun, whatever letters of the word come first.
+_HARDWARE_ONCE = V.HARDWARE_PHRASE.replace(r"([\w-]+\s+)?", r"((?<![\w-])[\w-]++\s++)?")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -149,8 +152,8 @@ def unit_key(page: Column) -> Column:
 
 def dependency_phrase(key: str, sentence: Column) -> Column:
     if key == "hardware":
-        found = F.lower(strip(F.regexp_extract(sentence, "(?iUd)" + V.HARDWARE_PHRASE, 0)))
-        return F.when(found != "", found).otherwise(F.lit(V.HARDWARE_FALLBACK))
+        found = F.lower(strip(F.regexp_extract(sentence, "(?iUd)" + _HARDWARE_ONCE, 0)))
+        return let(found, lambda f: F.when(f != "", f).otherwise(F.lit(V.HARDWARE_FALLBACK)))
     quoted = truncate(strip_trailing_dots(sentence), V.DEPENDENCY_QUOTE_LIMIT)
     return F.concat(F.lit("“"), quoted, F.lit("”"))
 
