@@ -235,10 +235,11 @@ def stored_answers(spark, folder):
     for stage, contract in _STAGES.items():
         for call in (lambda prompt, stage=stage: _answer(stage, prompt), _never):
             said = A.ask(prompts, call, contract, stage, store)
-        asked = store.read(spark, stage).groupBy("stage").agg(F.count("*").alias("prompts"), F.count("error").alias("asked_again"))
-        own = said.groupBy(F.lit(stage).alias("stage")).agg(F.count("*").alias("submissions"), F.count("answer").alias("answers")).join(asked, "stage")
-        rows = own if rows is None else rows.unionByName(own)
-    return rows
+        said = said.select(F.lit(stage).alias("stage"), "answer")
+        rows = said if rows is None else rows.unionByName(said)
+    asked = store.read(spark).groupBy("stage").agg(F.count("*").alias("prompts"), F.count("error").alias("asked_again"))
+    own = rows.groupBy("stage").agg(F.count("*").alias("submissions"), F.count("answer").alias("answers"))
+    return own.join(asked, "stage")
 
 
 def _never(prompt: str) -> str:
