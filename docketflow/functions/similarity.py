@@ -14,10 +14,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docketflow.functions.text import let
+
 _ONE = np.uint64(1)
+#: Up to so many letters of the shorter string all windows are compared, about so many bytes of lanes at a time.
+_LANES_UP_TO, _LANE_BYTES = 128, 1 << 14
 
 
-def _window_lcs(short: np.ndarray, padded: np.ndarray, starts: np.ndarray | None, n_windows: int) -> np.ndarray:
+def _window_lcs(short: np.ndarray, padded: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """LCS of ``short`` with each window: 64 pattern rows per machine word."""
     m = len(short)
     n_words = (m + 63) // 64
@@ -31,11 +35,11 @@ def _window_lcs(short: np.ndarray, padded: np.ndarray, starts: np.ndarray | None
         for row in range(64 * w, min(m, 64 * w + 64)):
             bits[slot[row]] |= _ONE << np.uint64(row - 64 * w)
         tables.append(np.where(known, bits[index], np.uint64(0)))
-        state.append(np.full(n_windows, np.uint64(0xFFFFFFFFFFFFFFFF)))
+        state.append(np.full(len(starts), np.uint64(0xFFFFFFFFFFFFFFFF)))
     for k in range(m):
         carry = None
         for w in range(n_words):
-            hits = tables[w][k:k + n_windows] if starts is None else tables[w][starts + k]
+            hits = tables[w][starts + k]
             v = state[w]
             shared = v & hits
             total = v + shared
@@ -45,7 +49,7 @@ def _window_lcs(short: np.ndarray, padded: np.ndarray, starts: np.ndarray | None
                 over = over | ((total == 0) & (carry == 1))
             state[w] = total | (v - shared)
             carry = over.astype(np.uint64) if n_words > 1 else None
-    found = np.zeros(n_windows, dtype=np.int64)
+    found = np.zeros(len(starts), dtype=np.int64)
     for w in range(n_words):
         width = min(64, m - 64 * w)
         mask = np.uint64(0xFFFFFFFFFFFFFFFF) if width == 64 else (_ONE << np.uint64(width)) - _ONE
@@ -66,16 +70,44 @@ def _single_lcs(short: str, window: str) -> int:
     return len(short) - state.bit_count()
 
 
+def _lanes(short: str, long: str, cutoff: float, decide: bool) -> float:
+    """The best score over all windows, many at a time: each is a lane of one Python integer, with a bit spare for the carry."""
+    m, n = len(short), len(long)
+    size, n_windows = m // 8 + 1, n + m - 1
+    masks: dict[str, int] = {}
+    for row, ch in enumerate(short):
+        masks[ch] = masks.get(ch, 0) | 1 << row
+    none, rows = bytes(size), {ch: mask.to_bytes(size, "little") for ch, mask in masks.items()}
+    blank = none * (m - 1)
+    padded = blank + b"".join([rows.get(ch, none) for ch in long]) + blank
+    lane, step, best = ((1 << m) - 1).to_bytes(size, "little"), max(m, _LANE_BYTES // size), 0.0
+    for start in range(0, n_windows, step):
+        count = min(step, n_windows - start)
+        hits = int.from_bytes(padded[start * size:(start + count + m - 1) * size], "little")
+        state = full = int.from_bytes(lane * count, "little")
+        for _ in range(m):
+            shared = state & hits
+            state = ((state + shared) | (state - shared)) & full
+            hits >>= 8 * size
+        unmatched = np.bitwise_count(np.frombuffer(state.to_bytes(count * size, "little"), dtype=np.uint8).reshape(count, size)).sum(axis=1, dtype=np.int64)
+        at = np.arange(start, start + count)
+        width = np.minimum(np.minimum(at + 1, m), np.minimum(n_windows - at, n))
+        best = max(best, float(np.max(200.0 * (m - unmatched) / (width + m))))
+        if decide and best >= cutoff:
+            break
+    return best
+
+
 def _one_way(short: str, long: str, cutoff: float, decide: bool) -> float:
     m, n = len(short), len(long)
+    if m <= _LANES_UP_TO:
+        return _lanes(short, long, cutoff, decide)
     s = np.frombuffer(short.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     padded = np.full(n + 2 * (m - 1), -1, dtype=np.int64)
     padded[m - 1:m - 1 + n] = np.frombuffer(long.encode("utf-32-le"), dtype=np.uint32)
     n_windows = n + m - 1
     at = np.arange(n_windows)
     width = np.minimum(np.minimum(at + 1, m), np.minimum(n_windows - at, n))
-    if m <= 16:
-        return float(np.max(200.0 * _window_lcs(s, padded, None, n_windows) / (width + m)))
     # A window cannot beat its shared letter count.  Windows are taken in the
     # order of that bound until none left can beat the best score so far.
     bound = np.zeros(n_windows, dtype=np.int64)
@@ -94,7 +126,7 @@ def _one_way(short: str, long: str, cutoff: float, decide: bool) -> float:
             best, at = max(best, 200.0 * _single_lcs(short, window) / (len(window) + m)), at + 1
             continue
         chosen = order[at:at + step]
-        lcs = _window_lcs(s, padded, chosen, len(chosen))
+        lcs = _window_lcs(s, padded, chosen)
         best = max(best, float(np.max(200.0 * lcs / (width[chosen] + m))))
         at, step = at + step, step * 2
     return best
@@ -182,12 +214,16 @@ def may_reach(a: Column, b: Column, cutoff: float) -> Column:
     """
     if 3 * cutoff <= 200:
         return F.lit(True)
-    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    size = F.length(short)
-    kept = F.size(F.filter(
-        F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.contains(long, F.substr(short, i, F.lit(2)))))
-    return kept >= size * ((3 * cutoff - 200) / (200 - cutoff)) - 1 - 1e-9
+    pair = F.when(F.length(a) <= F.length(b), F.struct(a.alias("short"), b.alias("long"))).otherwise(F.struct(b.alias("short"), a.alias("long")))
+
+    def reaches(p: Column) -> Column:
+        size = F.length(p["short"])
+        kept = F.size(F.filter(
+            F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: F.contains(p["long"], F.substr(p["short"], i, F.lit(2)))))
+        return kept >= size * ((3 * cutoff - 200) / (200 - cutoff)) - 1 - 1e-9
+
+    return let(pair, reaches)
 
 
 def hopeful(rest: Column, haystacks: Column, cutoff: float) -> Column:

@@ -76,7 +76,10 @@ def ground_refs(refs: DataFrame, views: DataFrame) -> DataFrame:
         "excerpt", truncate(F.col("excerpt"), 240)).withColumn("_norm", normalize(F.col("excerpt")))
     wanted = cited.groupBy("submission_id", "slide_id").agg(F.collect_set("_norm").alias("_excerpts"))
     known = views.select("submission_id", "slide_id", "page_number", "text", "notes", "image_text", "withheld")
-    found = locate(known.join(wanted, ["submission_id", "slide_id"]), "_excerpts", "_via").select(
+    # Few bytes are much work here, so the joined slides keep all tasks of a shuffle instead of being drawn together.
+    met = known.join(wanted, ["submission_id", "slide_id"])
+    met = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = locate(met, "_excerpts", "_via").select(
         "submission_id", "slide_id", "page_number", "_via")
     via = F.element_at("_via", F.col("_norm"))
     rows = cited.join(found, ["submission_id", "slide_id"]).select(

@@ -96,3 +96,16 @@ def test_lower_first_keeps_long_texts(spark):
     rows = spark.createDataFrame([(long,), ("W" + "o" * 2_100_000,), ("NASA",), ("",), ("A",)], "t string")
     got = [r.l for r in rows.select(lower_first(F.col("t")).alias("l")).collect()]
     assert got == ["word " + "x" * 2_100_000, "w" + "o" * 2_100_000, "NASA", "", "a"]
+
+
+def test_lanes_on_either_side_of_their_limits(monkeypatch):
+    rng = random.Random(11)
+    from docketflow.functions import similarity as S
+
+    for m in (1, 2, 7, 8, 9, 63, 64, 65, 127, 128, 129):
+        for alphabet in ("ab", "abcdefgh 1%$", "é😀a"):
+            a, b = ("".join(rng.choice(alphabet) for _ in range(n)) for n in (m, m + rng.randint(0, 60)))
+            assert abs(best_window_score(a, b) - brute(a, b)) < 1e-9
+    monkeypatch.setattr(S, "_LANE_BYTES", 256)
+    a, b = "ab" * 30, "".join(rng.choice("ab") for _ in range(400))
+    assert abs(best_window_score(a, b) - brute(a, b)) < 1e-9
