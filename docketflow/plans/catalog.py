@@ -31,6 +31,8 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 SPREAD = "docketflow.spread"
+#: Most rows of a task of a dealt table, and rows for which another task is worth while.
+ROWS_OF_A_TASK, FEW_ROWS = 2_048, 64
 
 
 def read_spread(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -42,3 +44,18 @@ def read_spread(spark: SparkSession, folder: str, table: str) -> DataFrame:
     df = read(spark, folder, table)
     parts = spark.conf.get(SPREAD, None)
     return df.repartition(int(parts)) if parts else df
+
+
+def read_dealt(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table whose every row is work of milliseconds, dealt to tasks by its number of rows.
+
+    Its files are small for that work and may be uneven, so they say nothing about the tasks it
+    needs: all cores get some, and no task has more than ``ROWS_OF_A_TASK`` rows however large
+    the table is.  ``docketflow.spread`` sets another number of parts.
+    """
+    if spark.conf.get(SPREAD, None):
+        return read_spread(spark, folder, table)
+    df = read(spark, folder, table)
+    rows = df.count()
+    few = min(spark.sparkContext.defaultParallelism, -(-rows // FEW_ROWS))
+    return df.repartition(max(few, -(-rows // ROWS_OF_A_TASK), 1))

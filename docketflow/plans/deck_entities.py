@@ -12,7 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketflow.plans.catalog import read, read_spread
+from docketflow.plans.catalog import read, read_dealt
 from docketflow.plans.dialect import quote, to_duck, to_spark
 
 LISTS: dict[str, list[str]] = {
@@ -177,7 +177,7 @@ def _pick(sql: str, spark: bool) -> str:
 def deck_units(spark: SparkSession, folder: str) -> DataFrame:
     """Units with every column the integrity stage needs."""
     sql = to_spark(_pick(UNITS_SQL, True)).replace("FROM conversations", "FROM {conversations}")
-    return as_units(spark.sql(sql, conversations=read_spread(spark, folder, "conversations")))
+    return as_units(spark.sql(sql, conversations=read_dealt(spark, folder, "conversations")))
 
 
 def as_units(flat: DataFrame) -> DataFrame:

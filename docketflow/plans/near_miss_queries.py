@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docketflow import fixed_values as V
 from docketflow.operators import grounding, integrity, view
 from docketflow.plans import deck_sql as Q
-from docketflow.plans.catalog import Catalog, read_spread
+from docketflow.plans.catalog import Catalog, read_dealt
 from docketflow.plans.deck_entities import as_units
 from docketflow.plans.dialect import to_duck, to_spark
 
@@ -74,7 +74,7 @@ def _spelled(sql: str, spark: bool) -> str:
 
 def near_units(spark: SparkSession, folder: str) -> DataFrame:
     sql = _spelled(NEAR_SQL, True).replace("FROM conversations", "FROM {conversations}")
-    return as_units(spark.sql(sql, conversations=read_spread(spark, folder, "conversations")))
+    return as_units(spark.sql(sql, conversations=read_dealt(spark, folder, "conversations")))
 
 
 _DECKS = f"WITH u AS ({_spelled(NEAR_SQL, False)})\n"
@@ -106,6 +106,6 @@ _REFS = " UNION ALL ".join(f"""
     _FLAGS, _VIEWS, f"cited AS ({_spelled(_REFS, False)})", decks=_DECKS))
 def ground_refs(spark, folder):
     sql = _spelled(_REFS, True).replace("FROM conversations", "FROM {conversations}")
-    refs = spark.sql(sql, conversations=read_spread(spark, folder, "conversations")).select(
+    refs = spark.sql(sql, conversations=read_dealt(spark, folder, "conversations")).select(
         "submission_id", "owner", "ord", F.format_string("slide_%02d", "page").alias("slide_id"), "excerpt")
     return grounding.ground_refs(refs, view.build_views(integrity.flag_units(near_units(spark, folder))))
