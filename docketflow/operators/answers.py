@@ -23,6 +23,8 @@ from docketflow.operators.plugins import call_model, model_contract
 ANSWERS = "digest string, submission_id long, answer string, error string, asked_at timestamp, stage string"
 #: Questions of a wave: the most that a killed run may have asked in vain.
 WAVE = 10_000
+#: Questions of a task: whole documents, which Python takes in at once.
+BATCH = 256
 
 
 @dataclass(frozen=True)
@@ -60,11 +62,13 @@ def ask(
     wanted = prompts.select("submission_id", "prompt", digest(stage, contract, F.col("prompt")).alias("digest"))
     answered = store.read(spark, stage).filter("answer is not null").select("digest").distinct()
     new = wanted.join(answered, "digest", "left_anti").groupBy("digest").agg(F.min("submission_id").alias("submission_id"))
-    waves = -(-new.count() // wave)
+    count = new.count()
+    waves = -(-count // wave)
     for number in range(waves):
         # What earlier waves stored is no longer new, so the waves are told apart by the digest alone.
         turn = new.filter(F.pmod(F.xxhash64("digest"), F.lit(waves)) == number)
-        said = call_model(wanted.join(turn, ["digest", "submission_id"]), call, contract, stage)
+        asked = wanted.join(turn, ["digest", "submission_id"])
+        said = call_model(asked.repartition(-(-min(count, wave) // BATCH)), call, contract, stage)
         keyed = said.join(wanted.select("submission_id", "digest"), "submission_id")
         store.add(keyed.select("digest", "submission_id", "answer", "error", F.current_timestamp().alias("asked_at"), F.lit(stage).alias("stage")))
     said = store.read(spark, stage).groupBy("digest").agg(
