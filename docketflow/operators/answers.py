@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketflow.operators.plugins import call_model, model_contract
+from docketflow.session import cut
 
 ANSWERS = "digest string, submission_id long, answer string, error string, asked_at timestamp, stage string"
 #: Questions of a wave: the most that a killed run may have asked in vain.
@@ -57,20 +58,23 @@ def ask(
     """prompts(submission_id, prompt) → submission_id, answer, error; only what is new is asked.
 
     ``prompts`` is a written table.  Of submissions with one prompt the first asks, all get the answer.
+    The prompts are read a fixed number of times: new ones are written by wave, so that a wave
+    reads its own alone, and the answers meet the written digests.
     """
     spark = prompts.sparkSession
-    wanted = prompts.select("submission_id", "prompt", digest(stage, contract, F.col("prompt")).alias("digest"))
+    keyed = prompts.select("submission_id", "prompt", digest(stage, contract, F.col("prompt")).alias("digest"))
+    wanted = cut(keyed.select("submission_id", "digest"), "wanted")
     answered = store.read(spark, stage).filter("answer is not null").select("digest").distinct()
-    new = wanted.join(answered, "digest", "left_anti").groupBy("digest").agg(F.min("submission_id").alias("submission_id"))
+    new = cut(wanted.join(answered, "digest", "left_anti").groupBy("digest").agg(F.min("submission_id").alias("submission_id")), "new")
     count = new.count()
     waves = -(-count // wave)
+    if waves:
+        turn = F.pmod(F.xxhash64("digest"), F.lit(waves)).cast("int")
+        questions = cut(keyed.join(new, ["digest", "submission_id"]).withColumn("turn", turn), "questions", by="turn")
     for number in range(waves):
-        # What earlier waves stored is no longer new, so the waves are told apart by the digest alone.
-        turn = new.filter(F.pmod(F.xxhash64("digest"), F.lit(waves)) == number)
-        asked = wanted.join(turn, ["digest", "submission_id"])
-        said = call_model(asked.repartition(-(-min(count, wave) // BATCH)), call, contract, stage)
-        keyed = said.join(wanted.select("submission_id", "digest"), "submission_id")
-        store.add(keyed.select("digest", "submission_id", "answer", "error", F.current_timestamp().alias("asked_at"), F.lit(stage).alias("stage")))
+        asked = questions.filter(F.col("turn") == number).repartition(-(-min(count, wave) // BATCH))
+        said = call_model(asked, call, contract, stage, "digest string, submission_id bigint")
+        store.add(said.withColumn("asked_at", F.current_timestamp()).withColumn("stage", F.lit(stage)))
     said = store.read(spark, stage).groupBy("digest").agg(
         F.min_by("answer", F.when(F.col("answer").isNotNull(), F.col("asked_at"))).alias("answer"), F.max_by("error", "asked_at").alias("error"))
     return wanted.join(said, "digest", "left").select("submission_id", "answer", F.when(F.col("answer").isNull(), F.col("error")).alias("error"))

@@ -239,15 +239,18 @@ def contract_problems(value, schema: T.DataType, path: str = "") -> list[str]:
     return [f"{here}: {value!r} is not allowed"] if closed and value not in closed else []
 
 
-def call_model(prompts: DataFrame, call: Callable[[str], str], contract: T.StructType, stage: str) -> DataFrame:
+def call_model(
+    prompts: DataFrame, call: Callable[[str], str], contract: T.StructType, stage: str, keys: str = "submission_id bigint"
+) -> DataFrame:
     """prompts(submission_id, prompt) → submission_id, answer (JSON), error.
 
     ``call`` turns a prompt into the model's JSON text.  An object that breaks
     the contract is asked for once more with the problems named.  After that,
     for text that is no JSON object, and on any exception, the submission has an
-    error and no answer.
+    error and no answer.  ``keys`` names other columns of ``prompts`` that go with the answer.
     """
     shape = model_contract(contract)
+    names = [part.split()[0] for part in _top_level(keys)]
 
     def attempt(prompt: str) -> tuple[str | None, list[str]]:
         value = json.loads(call(prompt))
@@ -259,7 +262,7 @@ def call_model(prompts: DataFrame, call: Callable[[str], str], contract: T.Struc
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for key, prompt in zip(frame["submission_id"], frame["prompt"]):
+            for *key, prompt in zip(*[frame[n] for n in names], frame["prompt"]):
                 try:
                     answer, problems = attempt(prompt)
                     if problems:
@@ -270,12 +273,10 @@ def call_model(prompts: DataFrame, call: Callable[[str], str], contract: T.Struc
                     answer, error = None, f"{stage}: model output is not JSON"
                 except Exception as problem:
                     answer, error = None, f"{type(problem).__name__}: {problem}"
-                out.append((key, answer, error))
-            yield pd.DataFrame(out, columns=["submission_id", "answer", "error"])
+                out.append((*key, answer, error))
+            yield pd.DataFrame(out, columns=[*names, "answer", "error"])
 
-    return prompts.select("submission_id", "prompt").mapInPandas(
-        batches, "submission_id bigint, answer string, error string"
-    )
+    return prompts.select(*names, "prompt").mapInPandas(batches, f"{keys}, answer string, error string")
 
 
 def decode_answers(answers: DataFrame, contract: T.StructType) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketflow.operators import brief, extraction, integrity, not_assessed, rubric, verify, view
+from docketflow.plans.catalog import deal
 from docketflow.session import cut
 from docketflow.sources.files import check_page_limit
 from docketflow.sources.units import partial_submissions, with_render_notes
@@ -26,17 +27,32 @@ class Analysis:
     parts: DataFrame
 
 
+@dataclass
+class Seen:
+    """Units with their flags and what analysis may see of them, written once for all branches that read them."""
+
+    flagged: DataFrame
+    views: DataFrame
+
+
+def see(units: DataFrame) -> Seen:
+    """Flags and views of ``units``, stored; every row is work, so stored rows are dealt to tasks again."""
+    flagged = cut(integrity.flag_units(units), "flagged")
+    return Seen(flagged, cut(view.build_views(deal(flagged)), "views"))
+
+
 def analyse(
-    units: DataFrame, submissions: DataFrame, rubric_rows: DataFrame, rounds: DataFrame, stored: bool = False
+    units: DataFrame, submissions: DataFrame, rubric_rows: DataFrame, rounds: DataFrame, stored: bool = False, seen: Seen | None = None
 ) -> Analysis:
     """units → flags → views → findings → topics, claims → criteria → verify → brief parts.
 
     With ``stored`` the findings are written once to the checkpoint folder: they
-    are small, cost one pass over all texts, and feed every later branch.
+    are small, cost one pass over all texts, and feed every later branch.  ``seen``
+    are the flags and views of the same units, where a run has stored them before.
     """
-    flagged = integrity.flag_units(units)
-    views = view.build_views(flagged)
-    findings = extraction.unit_findings(views)
+    flagged = seen.flagged if seen else integrity.flag_units(units)
+    views = seen.views if seen else view.build_views(flagged)
+    findings = extraction.unit_findings(deal(views) if seen else views)
     if stored:
         findings = cut(findings, "findings")
     borders = extraction.border_approaches(findings)

@@ -53,9 +53,15 @@ def read_dealt(spark: SparkSession, folder: str, table: str) -> DataFrame:
     needs: all cores get some, and no task has more than ``ROWS_OF_A_TASK`` rows however large
     the table is.  ``docketflow.spread`` sets another number of parts.
     """
-    if spark.conf.get(SPREAD, None):
-        return read_spread(spark, folder, table)
-    df = read(spark, folder, table)
+    return deal(read(spark, folder, table))
+
+
+def deal(df: DataFrame) -> DataFrame:
+    """A written table dealt to tasks by its number of rows, as ``read_dealt`` says."""
+    spark = df.sparkSession
+    parts = spark.conf.get(SPREAD, None)
+    if parts:
+        return df.repartition(int(parts))
     rows = df.count()
     few = min(spark.sparkContext.defaultParallelism, -(-rows // FEW_ROWS))
     return df.repartition(max(few, -(-rows // ROWS_OF_A_TASK), 1))

@@ -19,7 +19,7 @@ from docketflow.operators import plugins as P
 from docketflow.operators import view as VW
 from docketflow.operators.not_assessed import not_assessed
 from docketflow.plans import deck_sql as Q
-from docketflow.plans.analysis import documents
+from docketflow.plans.analysis import Seen, documents, see
 from docketflow.plans.catalog import Catalog
 from docketflow.plans.deck_entities import deck_rubric, deck_submissions, deck_units
 from docketflow.plans.deck_queries import _LIMIT, _TO_BRIEF, _refs, _rounds, _run
@@ -129,19 +129,19 @@ docs AS (SELECT b.submission_id, '<submission team="' || {_esc('b.team_name')} |
   FROM subs b JOIN sd USING (submission_id) LEFT JOIN np USING (submission_id))"""
 
 
-def _documents(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """(views, submission documents) of the submissions within their page limit."""
-    units, subs = deck_units(spark, folder), deck_submissions(spark, folder)
+def _documents(spark, folder, seen: Seen | None = None) -> DataFrame:
+    """Submission documents of the submissions within their page limit."""
+    units, subs = seen.flagged if seen else deck_units(spark, folder), deck_submissions(spark, folder)
     limits = check_page_limit(units, subs.withColumnRenamed("submission_id", "id"), _rounds(spark, folder))
-    views = VW.build_views(I.flag_units(units))
+    views = seen.views if seen else VW.build_views(I.flag_units(units))
     accepted = limits.filter("reject_reason is null")
-    return views, P.render_submissions(views, subs, not_assessed(units, subs), accepted)
+    return P.render_submissions(views, subs, not_assessed(units, subs), accepted)
 
 
 @CATALOG.query("udf4_submission_documents", Q.deck_sql("SELECT submission_id, md5(document) AS digest, length(document) AS n FROM docs",
                                                        Q.FLAGS, Q.VIEWS, Q.NOT_ASSESSED, _DOCUMENT))
 def submission_documents(spark, folder):
-    _, docs = _documents(spark, folder)
+    docs = _documents(spark, folder)
     return docs.select("submission_id", F.md5("document").alias("digest"), F.length("document").alias("n"))
 
 
@@ -190,9 +190,13 @@ def _store(spark) -> A.AnswerStore:
     return A.AnswerStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/answers")
 
 
-def outside_run(spark, folder):
-    """(grounded findings, decoded answers by stage, criteria known to each submission)."""
-    views, docs = _documents(spark, folder)
+def outside_run(spark, folder, seen: Seen | None = None):
+    """(grounded findings, decoded answers by stage, criteria known to each submission).
+
+    Documents and citations come from the same stored views, and answers are decoded once.
+    """
+    seen = seen or see(deck_units(spark, folder))
+    docs = _documents(spark, folder, seen)
     subs = deck_submissions(spark, folder).select("submission_id", "round_id")
     rubric = deck_rubric(spark, folder)
     known = subs.join(rubric.select("round_id", "criterion_id", "weight"), "round_id").select("submission_id", "criterion_id", "weight")
@@ -202,10 +206,10 @@ def outside_run(spark, folder):
     answers = {}
     for stage, contract in _STAGES.items():
         said = A.ask(prompts, lambda prompt, stage=stage: _answer(stage, prompt), contract, stage, _store(spark))
-        answers[stage] = P.decode_answers(said, contract)
+        answers[stage] = cut(P.decode_answers(said, contract).drop("answer"), "answers")
     checked = P.check_criteria(answers["rubric_analyzer"], ids.select("submission_id", "criterion_ids"))
     found = O.of_answers(answers["extractor"], checked, answers["verifier"], answers["brief_writer"], known)
-    return O.ground(found, views), answers, checked
+    return O.ground(found, seen.views), answers, checked
 
 
 _EXCERPT = Q.cut("split_part(v.text, chr(10), 1)", 240)
@@ -229,7 +233,7 @@ FROM docs JOIN lim USING (submission_id), (SELECT unnest(['brief_writer', 'extra
     Q.FLAGS, Q.VIEWS, Q.NOT_ASSESSED, _DOCUMENT))
 def stored_answers(spark, folder):
     """A second run over the same prompts asks nothing: all of its answers come from the store."""
-    _, docs = _documents(spark, folder)
+    docs = _documents(spark, folder)
     prompts = cut(docs.withColumnRenamed("document", "prompt"), "prompts")
     store, rows = A.AnswerStore(f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/answers-{uuid.uuid4().hex}"), None
     for stage, contract in _STAGES.items():
@@ -293,12 +297,12 @@ JOIN (SELECT submission_id, string_agg(criterion_id || ':' || CASE WHEN ref IS N
   FROM crit GROUP BY 1) a ON a.submission_id = l.submission_id""", *_TO_BRIEF, _CITE))
 def outside_brief(spark, folder):
     """From model answers through checks and grounding to the assembled brief."""
-    found, answers, _ = outside_run(spark, folder)
-    units, subs = deck_units(spark, folder), deck_submissions(spark, folder)
-    packs, _ = documents(_run(spark, folder), units, subs, _rounds(spark, folder))
+    seen, subs = see(deck_units(spark, folder)), deck_submissions(spark, folder)
+    found, answers, _ = outside_run(spark, folder, seen)
+    packs, _ = documents(_run(spark, folder, seen), seen.flagged, subs, _rounds(spark, folder))
     scale = subs.select("submission_id", F.lit(10).alias("scale"))
     parts = O.brief_parts(found, answers["extractor"], answers["brief_writer"], scale)
-    final = B.final_verify_rows(parts, B.integrity_items(I.flag_units(units)))
+    final = B.final_verify_rows(parts, B.integrity_items(seen.flagged))
     rows = B.briefs(parts, final, packs, O.issues(found), engine="plugged", model="quoting", stages=list(_STAGES), note="")
     b, d = F.col("brief"), F.col("assessment_document")
     shown = F.transform(b["evidence_highlights"], lambda h: F.concat_ws("|", h["id"], h["label"], _refs(h["evidence"])))

@@ -53,14 +53,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, name: str = "stage", compression: str | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str = "stage", compression: str | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it from there.
 
     Used where several branches read the same costly table.  The files are on
     shared storage, so a lost executor costs one task instead of the whole plan,
-    and as Parquet each branch reads only the columns it needs.
+    and as Parquet each branch reads only the columns it needs.  A filter on the column
+    ``by`` reads the files of its value alone.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/docketflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.parquet(path, partitionBy=by, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
