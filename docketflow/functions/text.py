@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from docketflow import fixed_values as V
 
 _BLANK = r"[\s\x1c-\x1f]"
+#: The characters of ``_BLANK``.
+_BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 _LINE_BREAK = r"\R|[\x1c-\x1e]"
 #: The phrase with the word before tried from its first letter alone and never given back: the
 #: first match starts there or at the noun, whatever letters of the word come first.
@@ -36,11 +38,11 @@ def any_match(text: Column, patterns: list[str]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def collapse_blanks(text: Column) -> Column:
-    return strip(F.regexp_replace(text, rf"(?U){_BLANK}+", " "))
+    return F.trim(F.regexp_replace(text, rf"(?U){_BLANK}+", " "))
 
 
 def split_lines(text: Column) -> Column:

@@ -64,7 +64,7 @@ def ground(found: Findings, views: DataFrame) -> Findings:
             "submission_id", "owner", "ord", "r.slide_id", "r.excerpt")
         refs = own if refs is None else refs.unionByName(own)
     ref = F.struct("ord", F.struct(*REF_FIELDS).cast(REF_TYPE).alias("ref"))
-    lists = cut(ground_refs(refs, views).groupBy("submission_id", "owner").agg(
+    lists = cut(ground_refs(refs, views, stored=True).groupBy("submission_id", "owner").agg(
         F.transform(F.sort_array(F.collect_list(ref)), lambda x: x["ref"]).alias("grounded")), "grounded")
 
     def with_evidence(name: str) -> DataFrame:
