@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ _BLANK = r"[\s\x1c-\x1f]"
 #: The characters of ``_BLANK``.
 _BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 _LINE_BREAK = r"\R|[\x1c-\x1e]"
+#: Listed one by one, the characters are looked up in one table; ranges are compared one after another.
+_NOT_KEPT = f"[^{ascii_lowercase}{digits}%$]+"
 #: The phrase with the word before tried from its first letter alone and never given back: the
 #: first match starts there or at the noun, whatever letters of the word come first.
 _HARDWARE_ONCE = V.HARDWARE_PHRASE.replace(r"([\w-]+\s+)?", r"((?<![\w-])[\w-]++\s++)?")
@@ -68,7 +71,7 @@ def clean_text(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return F.trim(F.regexp_replace(lowered, "[^a-z0-9%$]+", " "))
+    return F.trim(F.regexp_replace(lowered, _NOT_KEPT, " "))
 
 
 def split_sentences(text: Column) -> Column:

@@ -70,7 +70,7 @@ def ask(
     waves = -(-count // wave)
     if waves:
         turn = F.pmod(F.xxhash64("digest"), F.lit(waves)).cast("int")
-        questions = cut(keyed.join(new, ["digest", "submission_id"]).withColumn("turn", turn), "questions", by="turn")
+        questions = cut(keyed.join(new, ["digest", "submission_id"]).withColumn("turn", turn), "questions", "zstd", by="turn")
     for number in range(waves):
         asked = questions.filter(F.col("turn") == number).repartition(-(-min(count, wave) // BATCH))
         said = call_model(asked, call, contract, stage, "digest string, submission_id bigint")
